@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op7_decontamination
 from .media import op10_media_columns
 from .packing import op3_best_fit_packing
+from .simhash import op6_simhash
 from .token_files import op8_token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op6_simhash": op6_simhash,
+        "op7_decontamination": op7_decontamination,
         "op8_token_ids": op8_token_ids,
         "op10_media_columns": op10_media_columns,
     }
