@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op7_decontamination
 from .media import op10_media_columns
 from .packing import op3_best_fit_packing
+from .pii import op5_personal_data
 from .quality import op4_quality_classifier
 from .simhash import op6_simhash
 from .token_files import op8_token_ids
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_personal_data": op5_personal_data,
         "op6_simhash": op6_simhash,
         "op7_decontamination": op7_decontamination,
         "op8_token_ids": op8_token_ids,
