@@ -2,25 +2,42 @@
 
 Both public vocabularies cut a text at white space before any merge is made, so
 the ids of a text are the ids of its white-space chunks, one after another.  A
-chunk is encoded by the tokenizers library once per worker and then looked up:
-the long tail of rare words is encoded, the rest is a dictionary access.  The
-dictionary is emptied when it is full, so a worker's memory stays bounded.
+worker encodes a chunk once and then looks it up: the long tail of rare chunks
+is encoded, the rest is a dictionary access.  A new chunk of ordinary Latin text
+is itself put together from pre-tokens (runs of letters, digits or signs, found
+by the vocabulary's own pattern), which the library's model merges once each;
+any other chunk, and any text with unusual white space, goes through the whole
+library.  Full dictionaries are emptied, so a worker's memory stays bounded.
 """
 
 from __future__ import annotations
 
 import os
-import re
+import unicodedata
+from array import array
 
-import numpy as np
+import regex
 
-#: Distinct chunks that a worker remembers (some 150 bytes each).
-CACHE_CHUNKS = 600_000
-#: Text chunks longer than this aren't kept.
-CACHE_LENGTH = 64
+#: Distinct chunks and pre-tokens that a worker remembers (some 150 bytes each), and the longest of them.
+CACHE_CHUNKS, CACHE_PARTS, CACHE_LENGTH = 500_000, 250_000, 64
 
 _LOADED: dict[tuple[str, str], "ChunkedTokenizer"] = {}
 
+#: How these vocabularies cut a text before merging, and the printable stand-ins of bytes in byte-level vocabularies.
+PREFIX_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPACE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_signs() -> list[str]:
+    """Printable bytes stand for themselves; the others get code points from 256 on, in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+_SIGNS = _byte_signs()
+_DIRTY = regex.compile(r"\s|[ɐ-\U0010FFFF]|[\x00-\x1F\x7F-\x9F]")
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -29,11 +46,7 @@ def tokenizer_path(name: str) -> str:
 
 
 class ChunkedTokenizer:
-    """mode 'space': white space only separates (it leaves no ids). mode 'prefix': a single space belongs to the chunk after it (byte-level vocabularies)."""
-
-    #: Places where a byte-level pre-tokenizer always cuts: a lone space or a lone line feed between two chunks.
-    _LONE = re.compile(r"\S[ \n]\S")
-    _OTHER = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$")
+    """mode 'space': white space only separates, letters are folded to lower case. mode 'prefix': a single space belongs to the chunk after it."""
 
     def __init__(self, path: str, mode: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,49 +55,79 @@ class ChunkedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.mode = mode
-        self.cache: dict[str, bytes] = {}
+        self.pattern = regex.compile(SPACE_PATTERN if mode == "space" else PREFIX_PATTERN)
+        self.cache: dict[str, bytes | None] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, text: str) -> list[str] | None:
+    def _keys(self, text: str) -> list[str]:
+        """Chunks. In mode 'prefix' a key stands for itself after a space, but one that begins with \\x01 or \\n for what follows this sign (after the text's beginning or a line feed)."""
         if self.mode == "space":
             return text.replace("\n", " ").split(" ")
-        if self._OTHER.search(text):
-            return None  # other white space, or runs of it: the whole text goes through the library
-        out: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + w for w in rest]
-        return out
+        return ("\x01" + text).replace("\n", " \n").split(" ")
+
+    def _assembled(self, chunk: str) -> bytes:
+        """A chunk without unusual characters, from its pre-tokens."""
+        if self.mode == "space":
+            chunk = unicodedata.normalize("NFC", chunk).lower()
+        parts, out = self.parts, []
+        for part in self.pattern.findall(chunk):
+            ids = parts.get(part)
+            if ids is None:
+                if not part.isascii() or part[0] < " ":
+                    signs = "".join([_SIGNS[b] for b in part.encode()])
+                else:
+                    signs = _SIGNS[32] + part[1:] if part[0] == " " else part
+                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(signs)]).tobytes()
+                if len(part) <= CACHE_LENGTH:
+                    parts[part] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def _learn(self, fresh: list[str], into: dict[str, bytes | None], once: dict[str, bytes | None]) -> None:
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+        rare: list[tuple[str, str]] = []
+        for key in fresh:
+            lead, word = "", key
+            if self.mode == "prefix":
+                lead, word = ("", key[1:]) if key[:1] == "\x01" else ("\n", key[1:]) if key[:1] == "\n" else (" ", key)
+            keep = into if len(key) <= CACHE_LENGTH else once
+            if not word:
+                keep[key] = b"" if self.mode == "space" else None  # None: this white space isn't a lone space or line feed
+            elif not _DIRTY.search(word):
+                keep[key] = self._assembled("\n") + self._assembled(word) if lead == "\n" else self._assembled(lead + word)
+            elif self.mode == "space":
+                rare.append((key, word))
+            elif regex.search(r"\s|[\x00-\x1F]", word):
+                keep[key] = None
+            else:
+                rare.append((key, lead + word))
+        for at in range(0, len(rare), 4096):
+            part = rare[at : at + 4096]
+            for (key, _), ids in zip(part, self._raw([w for _, w in part]), strict=True):
+                (into if len(key) <= CACHE_LENGTH else once)[key] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cache = self.cache
-        split = [self._chunks(t) for t in texts]
-        new: dict[str, None] = {}
-        for chunks in split:
-            if chunks is not None:
-                new.update((c, None) for c in set(chunks) if c not in cache)
-        fresh = list(new)
-        once: dict[str, bytes] = {}
-        if fresh:
-            if len(cache) + len(fresh) > CACHE_CHUNKS:
-                cache.clear()
-                fresh = list({c: None for chunks in split if chunks is not None for c in chunks})
-            for at in range(0, len(fresh), 4096):
-                part = fresh[at : at + 4096]
-                for c, ids in zip(part, self._raw(part), strict=True):
-                    (cache if len(c) <= CACHE_LENGTH else once)[c] = ids
-        whole = [t for t, chunks in zip(texts, split, strict=True) if chunks is None]
-        done = iter(self._raw(whole))
-        if once:
-            return [next(done) if chunks is None else b"".join([cache[c] if c in cache else once[c] for c in chunks]) for chunks in split]
-        get = cache.__getitem__
-        return [next(done) if chunks is None else b"".join(map(get, chunks)) for chunks in split]
+        """The ids of each text as unsigned 32-bit integers of this machine (little-endian)."""
+        split = [self._keys(t) for t in texts]
+        distinct = set().union(*split) if split else set()
+        fresh = [k for k in distinct if k not in self.cache]
+        if len(self.cache) + len(fresh) > CACHE_CHUNKS:
+            self.cache.clear()
+            fresh = list(distinct)
+        once: dict[str, bytes | None] = {}
+        self._learn(fresh, self.cache, once)
+        known = self.cache | once if once else self.cache
+        get, out = known.__getitem__, []
+        for text, keys in zip(texts, split, strict=True):
+            try:
+                out.append(b"".join(map(get, keys)) if "\x01" not in text else self._raw([text])[0])
+            except TypeError:  # white space that needs the whole text
+                out.append(self._raw([text])[0])
+        return out
 
 
 def load(path: str, mode: str) -> ChunkedTokenizer:
