@@ -12,17 +12,21 @@ from .packing import op3_best_fit_packing
 from .pii import op5_personal_data
 from .quality import op4_quality_classifier
 from .simhash import op6_simhash
+from .suffix_dedup import op2_suffix_dedup
 from .token_files import op8_token_ids
+from .word_windows import op9_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_personal_data": op5_personal_data,
         "op6_simhash": op6_simhash,
         "op7_decontamination": op7_decontamination,
         "op8_token_ids": op8_token_ids,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_media_columns": op10_media_columns,
     }
 

@@ -39,6 +39,8 @@ LAST = (1 << 63) - 1
 HOLD_ANCHORS, HOLD_BYTES = 1_500_000, 24_000_000
 #: Bytes of texts that are hashed together.
 GROUP_BYTES = 2_000_000
+#: Bytes of run strings that a solver is given at once (or one anchor's).
+PIECE_BYTES = 300_000
 #: Bytes of run strings in a bucket beyond which its anchors are looked at one by one, and the share of these that makes an anchor hot.
 BUCKET_BYTES, HOT_BYTES = 64_000_000, 8_000_000
 
@@ -359,10 +361,12 @@ def _solve_buckets(unit: Unit):
             edges = np.append(np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])), len(anchor))
             sizes = np.add.reduceat(np.fromiter(map(len, strings), np.int64, len(strings)), edges[:-1])
             out: list[tuple[int, int, int]] = []
-            for part in _groups(list(range(len(sizes))), lambda i: int(sizes[i]), 1_000_000):
+            for part in _groups(list(range(len(sizes))), lambda i: int(sizes[i]), PIECE_BYTES):
                 lo, hi = edges[part.start], edges[part.stop]
                 removed = unit.solve(strings[lo:hi], u[lo:hi], start[lo:hi], count[lo:hi])
                 for i, flags in enumerate(removed, lo):
+                    if not flags.any():
+                        continue
                     change = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
                     for s, e in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):
                         out.append((u[i], start[i] + s, start[i] + e - 1 + unit.window))

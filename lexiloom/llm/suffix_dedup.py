@@ -46,53 +46,65 @@ def join(text: bytes, start: int, stop: int) -> bytes:
 
 
 # --- the difference-cover suffix array ---------------------------------------------------------------------
-def _names(*columns: np.ndarray) -> np.ndarray:
-    """Dense ranks of tuples, from 0."""
+def _key(*columns: np.ndarray) -> np.ndarray:
+    """One number per tuple, in the tuples' order."""
     out = columns[0]
     for c in columns[1:]:
         top = int(c.max()) + 1
         if int(out.max()) >= (1 << 62) // top:
-            out = np.unique(out, return_inverse=True)[1].astype(np.int64)
+            out = _names(out)
         out = out * top + c
-    return np.unique(out, return_inverse=True)[1].astype(np.int64)
+    return out
+
+
+def _names(key: np.ndarray) -> np.ndarray:
+    """Dense ranks of numbers, from 0; by marking where the numbers are small, else by sorting."""
+    top = int(key.max()) + 1
+    if top <= max(1 << 16, 4 * len(key)):
+        there = np.zeros(top, bool)
+        there[key] = True
+        return (np.cumsum(there) - 1)[key]
+    return np.unique(key, return_inverse=True)[1].astype(np.int64)
+
+
+def _smaller(of: np.ndarray, than: np.ndarray) -> np.ndarray:
+    """How many of `of` are smaller than each of `than`; sorted needles keep the search in cache."""
+    order = np.argsort(than)
+    out = np.empty(len(than), np.int64)
+    out[order] = np.searchsorted(np.sort(of), than[order])
+    return out
 
 
 def suffix_ranks(s: np.ndarray, depth: int, covers: int = 1) -> np.ndarray:
-    """Ranks (from 1) of the suffixes of s, symbols of 1 or more that stand for `covers` bytes each; suffixes that agree in `depth` bytes may share a rank."""
+    """Ranks (from 1, ordered like the suffixes of s) for symbols of 1 or more that stand for `covers` bytes each; suffixes that agree in `depth` bytes may share a rank."""
     n = len(s)
     if n == 1:
         return np.ones(1, np.int64)
+    s = _names(s) + 1
     if covers >= depth:
-        return _names(s) + 1
+        return s
     t = np.zeros(n + 3, np.int64)
     t[:n] = s
-    one, two = np.arange(1, n, 3), np.arange(2, n, 3)
+    one, two, zero = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
     sample = np.concatenate([one, two])
-    names = _names(t[sample], t[sample + 1], t[sample + 2]) + 1 if len(sample) else sample
-    if len(names) and names.max() < len(names):
+    names = _names(_key(t[sample], t[sample + 1], t[sample + 2])) + 1
+    if names.max() < len(names):
         # The names of positions 1, 4, 7, ... and then those of 2, 5, 8, ...; a gap parts the two.
         text = np.concatenate([names[: len(one)], [0], names[len(one) :]])
-        ranks = suffix_ranks(text + 1, depth, 3 * covers)
-        names = _names(np.delete(ranks, len(one))) + 1
+        names = _names(np.delete(suffix_ranks(text + 1, depth, 3 * covers), len(one))) + 1
     rank = np.zeros(n + 3, np.int64)
     rank[sample] = names
-    zero = np.arange(0, n, 3)
     # Merge on comparable keys: a suffix at 0 modulo 3 against one at 1 by (symbol, rank of the next), against one at 2 by (two symbols, rank after them).
-    first = np.concatenate([zero, one])
-    by_one = _names(t[first], rank[first + 1])
-    second = np.concatenate([zero, two])
-    by_two = _names(t[second], t[second + 1], rank[second + 2])
-    key_zero = by_one[: len(zero)]
-    order = np.argsort(key_zero, kind="stable")
-    sorted_one, sorted_two = np.sort(by_one[len(zero) :]), np.sort(by_two[len(zero) :])
-    below = np.searchsorted(sorted_one, key_zero[order]) + np.searchsorted(sorted_two, by_two[: len(zero)][order])
-    # Places in the merged order: sampled suffixes by their names, each other one after those below it; equal ones share a rank.
-    sampled = np.sort(names)
-    at = np.concatenate([below, np.searchsorted(sampled, names, side="left")])
-    lead = np.concatenate([np.zeros(len(zero), np.int64), np.ones(len(sample), np.int64)])
-    inner = np.concatenate([key_zero[order], names])
-    out = np.zeros(n, np.int64)
-    out[np.concatenate([zero[order], sample])] = _names(at, lead, inner) + 1
+    by_one = _key(np.concatenate([t[zero], t[one]]), np.concatenate([rank[zero + 1], rank[one + 1]]))
+    by_two = _key(*(np.concatenate([x[zero + i], x[two + i]]) for x, i in ((t, 0), (t, 1), (rank, 2))))
+    zero_one, zero_two, one_zero, two_zero = by_one[: len(zero)], by_two[: len(zero)], by_one[len(zero) :], by_two[len(zero) :]
+    # A suffix's rank is one more than the number of smaller ones, sampled and not.
+    times = np.bincount(names)
+    out = np.empty(n, np.int64)
+    out[zero] = 1 + _smaller(zero_one, zero_one) + _smaller(one_zero, zero_one) + _smaller(two_zero, zero_two)
+    out[one] = _smaller(zero_one, one_zero)
+    out[two] = _smaller(zero_two, two_zero)
+    out[sample] += 1 + (np.cumsum(times) - times)[names]
     return out
 
 
@@ -103,7 +115,7 @@ def solve(strings: list[bytes], u: np.ndarray, start: np.ndarray, count: np.ndar
     begin = np.cumsum(sizes) - sizes
     s[begin + sizes - 1] = 1  # parts the strings; windows never reach it
     place = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    order = place[np.argsort(suffix_ranks(s, WINDOW)[place], kind="stable")]
+    order = place[np.argsort(suffix_ranks(s, WINDOW)[place])]
     owner = np.repeat(np.arange(len(strings)), sizes)
     # Adjacent prefixes, eight bytes at a time.
     eight = np.zeros(len(s) + WINDOW, np.uint64)
