@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op7_decontamination
+from .html_wrappers import op1_html_extraction
 from .media import op10_media_columns
 from .packing import op3_best_fit_packing
 from .pii import op5_personal_data
@@ -19,6 +20,7 @@ from .word_windows import op9_substring_dedup
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_quality_classifier": op4_quality_classifier,

@@ -241,12 +241,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one document of each group: the one with the smallest doc_id. Rows that repeat a doc_id count as one; rows without doc_id count by their text."""
-    found = near_duplicates(docs, radius)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    columns = docs.columns
+    found = staged(near_duplicates(docs, radius), "near-duplicates")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
+    kept = staged(kept.withColumnRenamed("doc_id", "_kept"), "kept")
+    whole = docs.join(kept.select("_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    if kept.where("count > 1").isEmpty():
+        return whole
     same = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    whole = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return whole.withColumn("_same", same).dropDuplicates(["_same"]).select(*columns)
+    return whole.withColumn("_same", same).dropDuplicates(["_same"]).select(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
