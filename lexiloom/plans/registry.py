@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexiloom.plans import texts
+
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: list = []
+_MODULES = [texts]
 
 
 def queries() -> dict[str, Query]:
