@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Word characters, spelt out: Java's and Python's \w differ, these classes don't.
 WORD = r"[\p{L}\p{N}_]"
@@ -67,8 +68,12 @@ def normalize_word(c: Column) -> Column:
     return F.regexp_replace(strip_accents(F.lower(F.trim(c))), rf"^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$", "")
 
 
-def canonical_of_normal(word: Column) -> Column:
-    """The first suffix rule that fits a normal form, as one CASE."""
+def canonical_of_normal(norm: Column) -> Column:
+    """The first suffix rule that fits a normal form. As a lambda's variable the form is worked out once, not in every branch."""
+    return F.get(F.transform(F.array(norm), _suffix_rules), F.lit(0))
+
+
+def _suffix_rules(word: Column) -> Column:
     size = F.length(word)
     out = F.when((size <= 3) | (word == "pays") | word.endswith("is"), word)
     for suffix, end in SUFFIXES:
@@ -92,7 +97,7 @@ def is_word(norm: Column) -> Column:
 def canonical_words(c: Column) -> Column:
     """Canonical forms of the word tokens, in order, with repeats."""
     norms = F.filter(F.transform(token_texts(c), normalize_word), is_word)
-    return F.filter(F.transform(norms, canonical_of_normal), lambda w: w != "")
+    return F.filter(F.transform(norms, _suffix_rules), lambda w: w != "")
 
 
 def word_set(c: Column) -> Column:
@@ -191,7 +196,7 @@ def clean_markup(c: Column) -> Column:
     return F.trim(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def remove_balanced(texts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Text outside of opener ... closer, nested; an opener without closer takes the rest, a closer without opener stays."""
     import re

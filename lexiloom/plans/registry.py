@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.plans import texts
+from lexiloom.plans import games, texts, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [texts]
+_MODULES = [texts, vectors, games]
 
 
 def queries() -> dict[str, Query]:
