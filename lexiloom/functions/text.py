@@ -48,7 +48,7 @@ def _accent_table() -> tuple[str, str]:
         if 0xAC00 <= point <= 0xD7A3 or 0xD800 <= point <= 0xDFFF:
             continue
         parts = unicodedata.normalize("NFD", chr(point))
-        if len(parts) > 1:
+        if parts != chr(point):
             kept = [c for c in parts if unicodedata.category(c) != "Mn"]
             if len(kept) == 1:
                 source.append(chr(point))
