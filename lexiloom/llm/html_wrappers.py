@@ -8,6 +8,8 @@ slots `#`, texts that agree stay fixed.  The result is the host's wrapper.  Its
 content region is the article or main element that holds slots, or else the
 innermost container with most of the slot text; its fixed texts are template.
 
+A text that every page of the host has is template too, wherever it stands.
+
 Wrappers are merged in steps: within a batch, then over salted parts of a host,
 then per host, so that a host with a third of all pages is no single task's work
 (a wrapper's size follows the template, not the number of pages).  Only regions
@@ -138,8 +140,8 @@ def squeeze(text: str) -> str:
 
 
 # --- wrappers: [key, optional, repeated, children]; a text is ["#", optional, repeated, hash or null, length] --------------------
-def expression(e: Element) -> list:
-    """The wrapper of one page: its elements, equal neighbours folded. Elements that are never main text are left out of the alignment."""
+def expression(e: Element, texts: set[int] | None = None) -> list:
+    """The wrapper of one page: its elements, equal neighbours folded. Elements that are never main text are left out of the alignment. texts: gets the hashes of all texts."""
     done: dict[int, list] = {}
     order, todo = [], [e]
     while todo:
@@ -156,6 +158,8 @@ def expression(e: Element) -> list:
                 plain = squeeze(k)
                 if plain:
                     kids.append(["#", False, False, zlib.crc32(plain.encode("utf-8", "surrogatepass")), len(plain)])
+                    if texts is not None:
+                        texts.add(kids[-1][3])
         done[id(x)] = [x.key, False, False, fold(kids)]
     return done[id(e)]
 
@@ -222,13 +226,7 @@ def text_mass(w: list) -> int:
     return w[4] if w[0] == "#" else sum(map(text_mass, w[3]))
 
 
-def fixed_texts(w: list) -> list[int]:
-    if w[0] == "#":
-        return [w[3]] if w[3] is not None and not w[1] else []
-    return [h for k in w[3] for h in fixed_texts(k)]
-
-
-def region(w: list, pages: int, share: float = 0.6) -> dict | None:
+def region(w: list, pages: int, common: list[int], share: float = 0.6) -> dict | None:
     """Where the main text is; None: in the article or main element, as by default."""
     mass = slot_mass if pages > 1 and slot_mass(w) else text_mass  # one page alone shows no slots
     todo = [w]
@@ -247,7 +245,7 @@ def region(w: list, pages: int, share: float = 0.6) -> dict | None:
             break
         here = inner[0]
         path.append(here[0])
-    return {"path": path, "fixed": sorted(set(fixed_texts(here))) if pages >= 3 else []}
+    return {"path": path, "fixed": common if pages >= 3 and slot_mass(here) else []}
 
 
 # --- extraction ------------------------------------------------------------------------------------------------------
@@ -313,12 +311,13 @@ SALTS = 64
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found: dict[str, tuple[int, list]] = {}
+        found: dict[str, tuple[int, list, set[int]]] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            new = expression(parse(page or ""))
-            pages, old = found.get(host, (0, None))
-            found[host] = (pages + 1, align(old, new) if old else new)
-        yield record_batch(PART, [(host, zlib.crc32(f"{host}{pages}{slot_mass(w)}".encode()) % SALTS, pages, json.dumps(w)) for host, (pages, w) in found.items()])
+            texts: set[int] = set()
+            new = expression(parse(page or ""), texts)
+            pages, old, common = found.get(host, (0, None, texts))
+            found[host] = (pages + 1, align(old, new) if old else new, common & texts)
+        yield record_batch(PART, [(host, zlib.crc32(f"{host}{pages}{slot_mass(w)}".encode()) % SALTS, pages, json.dumps([w, sorted(common)])) for host, (pages, w, common) in found.items()])
 
 
 def _merge_sorted(last: bool):
@@ -329,7 +328,7 @@ def _merge_sorted(last: bool):
         rows: list[tuple] = []
 
         def done() -> tuple:
-            return (group[0], group[1], pages, json.dumps(region(held, pages) if last else held))
+            return (group[0], group[1], pages, json.dumps(region(held[0], pages, held[1]) if last else held))
 
         for batch in batches:
             for host, salt, n, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -339,7 +338,8 @@ def _merge_sorted(last: bool):
                         rows.append(done())
                     group, pages, held = key, n, json.loads(w)
                 else:
-                    pages, held = pages + n, align(held, json.loads(w))
+                    more = json.loads(w)
+                    pages, held = pages + n, [align(held[0], more[0]), sorted(set(held[1]) & set(more[1]))]
                 if len(rows) >= 256:
                     yield record_batch(PART, rows)
                     rows = []

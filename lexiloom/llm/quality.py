@@ -29,7 +29,7 @@ from .tokens import text_groups
 
 #: Most labelled rows that the fit reads.
 FIT_ROWS = 4000
-BUCKETS, DIMENSIONS, EPOCHS, RATE, GROUP, SEED = 1 << 18, 8, 4, 0.5, 16, 7
+BUCKETS, DIMENSIONS, EPOCHS, LEAST_STEPS, RATE, GROUP, SEED = 1 << 18, 8, 4, 1000, 0.5, 16, 7  # few rows are gone through more often
 KEEP = 0.7
 CACHE_WORDS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -153,9 +153,10 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
     bags, rng = _bags(features, texts), np.random.default_rng(seed)
     vectors = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     head, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
-    steps = EPOCHS * -(-len(y) // GROUP)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(y) // GROUP)))
+    steps = epochs * -(-len(y) // GROUP)
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), GROUP):
             rows = order[at : at + GROUP]

@@ -33,7 +33,7 @@ from .graph import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BUCKET_ROWS = 4096
-PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_hash", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -57,14 +57,15 @@ def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed 64 bits)."""
+    """doc_id, fp (signed 64 bits), text_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.int64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(prints)], schema=PRINTS)
+            yield pa.record_batch([batch.column(0), pa.array(prints), batch.column(2)], schema=PRINTS)
 
-    return doc_bytes(docs).mapInArrow(run, "doc_id long, fp long")
+    hashed = doc_bytes(docs).withColumn("h", F.xxhash64("t"))
+    return hashed.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 # --- buckets ------------------------------------------------------------------------------------------
@@ -230,22 +231,23 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id that links reach)."""
+    """doc_id, fp, text_hash, component_id (the smallest doc_id that links reach)."""
     prints = staged(fingerprints(docs), "fingerprints")
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     linked = components(fingerprint_links(distinct.select("fp"), radius), "simhash")
     tied = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(tied.join(named, "root").select("fp", "component_id"), "fp")
+    return prints.join(tied.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "text_hash", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one document of each group: the one with the smallest doc_id. Rows that repeat a doc_id count as one; rows without doc_id count by their text."""
     found = staged(near_duplicates(docs, radius), "near-duplicates")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    kept = staged(kept.withColumnRenamed("doc_id", "_kept"), "kept")
-    whole = docs.join(kept.select("_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if kept.where("count > 1").isEmpty():
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    kept = staged(kept.withColumnsRenamed({"doc_id": "_kept", "text_hash": "_hash"}), "kept")
+    mine = F.xxhash64(F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")))
+    whole = docs.join(kept.select("_kept", "_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")) & (mine == F.col("_hash")), "left_semi")
+    if kept.agg(F.sum("n") == F.countDistinct("_kept")).first()[0]:  # no doc_id comes twice, none is null
         return whole
     same = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce("text", F.lit("")), 256)))
     return whole.withColumn("_same", same).dropDuplicates(["_same"]).select(*docs.columns)
