@@ -42,7 +42,7 @@ RESERVED = (
 
 
 def _accent_table() -> tuple[str, str]:
-    """Every letter of the basic plane that is one letter and combining marks, and that letter."""
+    """Every character of the basic plane that is one letter and combining marks (or another form of that letter), and that letter."""
     source, target = [], []
     for point in range(0xC0, min(sys.maxunicode, 0xFFFF)):
         if 0xAC00 <= point <= 0xD7A3 or 0xD800 <= point <= 0xDFFF:
