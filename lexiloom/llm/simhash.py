@@ -246,7 +246,8 @@ def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
     kept = staged(kept.withColumnsRenamed({"doc_id": "_kept", "text_hash": "_hash"}), "kept")
     mine = F.xxhash64(F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")))
-    whole = docs.join(kept.select("_kept", "_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")) & (mine == F.col("_hash")), "left_semi")
+    # Sort-merge at every size: a broadcast of the small inputs' ids would be another plan than that of large ones.
+    whole = docs.join(kept.select("_kept", "_hash").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")) & (mine == F.col("_hash")), "left_semi")
     if kept.agg(F.sum("n") == F.countDistinct("_kept")).first()[0]:  # no doc_id comes twice, none is null
         return whole
     same = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce("text", F.lit("")), 256)))
