@@ -36,9 +36,9 @@ from .common import doc_bytes, record_batch, shuffle_partitions, staged
 
 LAST = (1 << 63) - 1
 #: Anchor occurrences, and bytes of run strings, that a task gathers before it passes them on.
-HOLD_ANCHORS, HOLD_BYTES = 1_500_000, 24_000_000
+HOLD_ANCHORS, HOLD_BYTES = 400_000, 12_000_000
 #: Bytes of texts that are hashed together.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 400_000
 #: Bytes of run strings that a solver is given at once (or one anchor's).
 PIECE_BYTES = 300_000
 #: Bytes of run strings in a bucket beyond which its anchors are looked at one by one, and the share of these that makes an anchor hot.
@@ -355,12 +355,13 @@ def _solve_buckets(unit: Unit):
             anchor, u, start, count = (np.concatenate(c) for c in zip(*(unpack(blob, 4) for blob, _ in cells), strict=True))
             strings = [x for _, s in cells for x in unpack_strings(s)]
             cells.clear()
+            kept, out = _distinct(unit, anchor.tolist(), u.tolist(), start.tolist(), count.tolist(), strings)
+            anchor, u, start, count = anchor[kept], u[kept], start[kept], count[kept]
             order = np.lexsort((start, u, anchor))
             anchor, u, start, count = anchor[order], u[order], start[order], count[order]
-            strings = [strings[i] for i in order]
-            edges = np.append(np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])), len(anchor))
-            sizes = np.add.reduceat(np.fromiter(map(len, strings), np.int64, len(strings)), edges[:-1])
-            out: list[tuple[int, int, int]] = []
+            strings = [strings[i] for i in kept[order]]
+            edges = np.append(np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])), len(anchor)) if len(anchor) else np.zeros(1, np.int64)
+            sizes = np.add.reduceat(np.fromiter(map(len, strings), np.int64, len(strings)), edges[:-1]) if len(anchor) else edges[:-1]
             for part in _groups(list(range(len(sizes))), lambda i: int(sizes[i]), PIECE_BYTES):
                 lo, hi = edges[part.start], edges[part.stop]
                 removed = unit.solve(strings[lo:hi], u[lo:hi], start[lo:hi], count[lo:hi])
@@ -377,6 +378,31 @@ def _solve_buckets(unit: Unit):
     return run
 
 
+def _distinct(unit: Unit, anchor: list[int], u: list[int], start: list[int], count: list[int], strings: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Of equal runs only the earliest is left to solve; later ones are removed whole. A run that is then its anchor's only one has nothing to be compared with: its windows all differ, for they hold its anchor at different places."""
+    best: dict[tuple[int, bytes], list[int]] = {}
+    gone: list[tuple[int, int, int]] = []
+    for i, key in enumerate(zip(anchor, strings, strict=True)):
+        found = best.get(key)
+        if found is None:
+            best[key] = [i]
+            continue
+        j = found[0]
+        if u[i] == u[j] and not unit.same_document:
+            found.append(i)
+            continue
+        if (u[i], start[i]) == (u[j], start[j]):
+            continue
+        later = [i]
+        if (u[i], start[i]) < (u[j], start[j]):
+            later, best[key] = found, [i]
+        gone += [(u[k], start[k], start[k] + count[k] - 1 + unit.window) for k in later]
+    times: dict[int, int] = {}
+    for a, _ in best:
+        times[a] = times.get(a, 0) + 1
+    return np.array([i for (a, _), found in best.items() if times[a] > 1 for i in found], np.int64), gone
+
+
 def removed_stretches(docs: DataFrame, unit: Unit) -> DataFrame:
     """docs: u, k, t. Returns u, blobs: per document with removed windows the packed (start, stop) of stretches of units; they may overlap."""
     spark = docs.sparkSession
