@@ -33,5 +33,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Words are looked up as strings of their windows; ties of doc_id don't occur in the tables.
+_OP7 = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+d AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM dw),
+dl AS (WINDOWS),
+bw AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bs AS (SELECT item, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM bw WHERE len(ws) > 0),
+b AS (SELECT DISTINCT item, n, array_to_string(ws[i : i + n - 1], ' ') AS x FROM bs),
+m AS (SELECT doc_id, i, b.n, item FROM dl JOIN b ON b.n = dl.n AND b.x = dl.x AND dl.k = dl.n),
+hit AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM m, (SELECT unnest(range(10)) AS o) WHERE o < n GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""".replace(
+    "WINDOWS",
+    " UNION ALL ".join(f"SELECT doc_id, i, {n} AS n, string_agg(w, ' ') OVER f AS x, count(*) OVER f AS k FROM d WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)" for n in range(1, 11)),
+)
+_OP9 = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+d AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM dw),
+x AS (SELECT doc_id, i, string_agg(w, ' ') OVER f AS x, count(*) OVER f AS n FROM d WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+e AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS m FROM x WHERE n = 13),
+r AS (SELECT DISTINCT doc_id, i + o AS i FROM e, (SELECT unnest(range(13)) AS o) WHERE m < doc_id),
+k AS (SELECT d.doc_id, count(r.i) AS n_removed, string_agg(w, ' ' ORDER BY d.i) FILTER (r.i IS NULL) AS s FROM d LEFT JOIN r ON r.doc_id = d.doc_id AND r.i = d.i GROUP BY d.doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM dw LEFT JOIN k USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontamination": _OP7, "op9_substring_dedup": _OP9}
