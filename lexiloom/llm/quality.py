@@ -31,7 +31,7 @@ from .tokens import text_groups
 FIT_ROWS = 4000
 BUCKETS, DIMENSIONS, EPOCHS, LEAST_STEPS, RATE, GROUP, SEED = 1 << 18, 8, 4, 1000, 0.5, 16, 7  # few rows are gone through more often
 KEEP = 0.7
-CACHE_WORDS = 500_000
+CACHE_WORDS = 120_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(31)
 

@@ -7,7 +7,8 @@ is encoded, the rest is a dictionary access.  A new chunk of ordinary Latin text
 is itself put together from pre-tokens (runs of letters, digits or signs, found
 by the vocabulary's own pattern), which the library's model merges once each;
 any other chunk, and any text with unusual white space, goes through the whole
-library.  Full dictionaries are emptied, so a worker's memory stays bounded.
+library.  Memory has two generations of bounded size, of which the older one is
+forgotten in time, so a worker stays small and frequent chunks stay known.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from array import array
 
 import regex
 
-#: Distinct chunks and pre-tokens that a worker remembers (some 150 bytes each), and the longest of them.
-CACHE_CHUNKS, CACHE_PARTS, CACHE_LENGTH = 500_000, 250_000, 64
+#: Distinct chunks in each of a worker's two generations of memory (some 200 bytes each), and the longest of them.
+CACHE_CHUNKS, CACHE_LENGTH = 100_000, 64
 
 _LOADED: dict[tuple[str, str], "ChunkedTokenizer"] = {}
 
@@ -45,6 +46,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Memory(dict):
+    """Chunk -> ids (None: the whole text must be encoded); a chunk that isn't known is worked out on access."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key: str) -> bytes | None:
+        ids = self.find(key)
+        if len(key) <= CACHE_LENGTH:
+            self[key] = ids
+        return ids
+
+
 class ChunkedTokenizer:
     """mode 'space': white space only separates, letters are folded to lower case. mode 'prefix': a single space belongs to the chunk after it."""
 
@@ -56,8 +71,8 @@ class ChunkedTokenizer:
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.mode = mode
         self.pattern = regex.compile(SPACE_PATTERN if mode == "space" else PREFIX_PATTERN)
-        self.cache: dict[str, bytes | None] = {}
-        self.parts: dict[str, bytes] = {}
+        self.young = _Memory(self._find)
+        self.old: dict[str, bytes | None] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,65 +83,55 @@ class ChunkedTokenizer:
             return text.replace("\n", " ").split(" ")
         return ("\x01" + text).replace("\n", " \n").split(" ")
 
-    def _assembled(self, chunk: str) -> bytes:
-        """A chunk without unusual characters, from its pre-tokens."""
+    def _merged(self, part: str) -> bytes:
+        """The ids of one pre-token."""
+        if not part.isascii() or part[0] < " ":
+            signs = "".join([_SIGNS[b] for b in part.encode()])
+        else:
+            signs = _SIGNS[32] + part[1:] if part[0] == " " else part
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(signs)]).tobytes()
+
+    def _assembled(self, lead: str, word: str) -> bytes:
+        """A chunk without unusual characters, from its pre-tokens; these are remembered as chunks of their own."""
         if self.mode == "space":
-            chunk = unicodedata.normalize("NFC", chunk).lower()
-        parts, out = self.parts, []
-        for part in self.pattern.findall(chunk):
-            ids = parts.get(part)
+            word = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
+        if word.isalpha():
+            return self._merged(lead + word)
+        out, young, old = [], self.young, self.old
+        for part in self.pattern.findall(lead + word):
+            key = part if self.mode == "space" else part[1:] if part[0] == " " else "\x01" + part
+            ids = young.get(key) or old.get(key)
             if ids is None:
-                if not part.isascii() or part[0] < " ":
-                    signs = "".join([_SIGNS[b] for b in part.encode()])
-                else:
-                    signs = _SIGNS[32] + part[1:] if part[0] == " " else part
-                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(signs)]).tobytes()
-                if len(part) <= CACHE_LENGTH:
-                    parts[part] = ids
+                ids = self._merged(part)
+                if key and len(part) <= CACHE_LENGTH:
+                    young[key] = ids
             out.append(ids)
         return b"".join(out)
 
-    def _learn(self, fresh: list[str], into: dict[str, bytes | None], once: dict[str, bytes | None]) -> None:
-        if len(self.parts) > CACHE_PARTS:
-            self.parts.clear()
-        rare: list[tuple[str, str]] = []
-        for key in fresh:
-            lead, word = "", key
-            if self.mode == "prefix":
-                lead, word = ("", key[1:]) if key[:1] == "\x01" else ("\n", key[1:]) if key[:1] == "\n" else (" ", key)
-            keep = into if len(key) <= CACHE_LENGTH else once
-            if not word:
-                keep[key] = b"" if self.mode == "space" else None  # None: this white space isn't a lone space or line feed
-            elif not _DIRTY.search(word):
-                keep[key] = self._assembled("\n") + self._assembled(word) if lead == "\n" else self._assembled(lead + word)
-            elif self.mode == "space":
-                rare.append((key, word))
-            elif regex.search(r"\s|[\x00-\x1F]", word):
-                keep[key] = None
-            else:
-                rare.append((key, lead + word))
-        for at in range(0, len(rare), 4096):
-            part = rare[at : at + 4096]
-            for (key, _), ids in zip(part, self._raw([w for _, w in part]), strict=True):
-                (into if len(key) <= CACHE_LENGTH else once)[key] = ids
+    def _find(self, key: str) -> bytes | None:
+        if key in self.old:
+            return self.old[key]
+        lead, word = "", key
+        if self.mode == "prefix":
+            lead, word = ("", key[1:]) if key[:1] == "\x01" else ("\n", key[1:]) if key[:1] == "\n" else (" ", key)
+        if not word:
+            return b"" if self.mode == "space" else None  # None: this white space isn't a lone space or line feed
+        if (word.isascii() and word.isalnum()) or not _DIRTY.search(word):
+            return self._merged("\n") + self._assembled("", word) if lead == "\n" else self._assembled(lead, word)
+        if self.mode == "prefix" and regex.search(r"\s|[\x00-\x1F]", word):
+            return None
+        return self._raw([word if self.mode == "space" else lead + word])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned 32-bit integers of this machine (little-endian)."""
-        split = [self._keys(t) for t in texts]
-        distinct = set().union(*split) if split else set()
-        fresh = [k for k in distinct if k not in self.cache]
-        if len(self.cache) + len(fresh) > CACHE_CHUNKS:
-            self.cache.clear()
-            fresh = list(distinct)
-        once: dict[str, bytes | None] = {}
-        self._learn(fresh, self.cache, once)
-        known = self.cache | once if once else self.cache
-        get, out = known.__getitem__, []
-        for text, keys in zip(texts, split, strict=True):
+        get, out = self.young.__getitem__, []
+        for text in texts:
             try:
-                out.append(b"".join(map(get, keys)) if "\x01" not in text else self._raw([text])[0])
+                out.append(b"".join(map(get, self._keys(text))) if "\x01" not in text else self._raw([text])[0])
             except TypeError:  # white space that needs the whole text
                 out.append(self._raw([text])[0])
+        if len(self.young) > CACHE_CHUNKS:  # what the next texts use comes back from `old`, the rest is forgotten
+            self.old, self.young = dict(self.young), _Memory(self._find)
         return out
 
 
@@ -137,7 +142,7 @@ def load(path: str, mode: str) -> ChunkedTokenizer:
     return _LOADED[path, mode]
 
 
-def text_groups(texts: list[str], most_chars: int = 4_000_000) -> list[slice]:
+def text_groups(texts: list[str], most_chars: int = 1_500_000) -> list[slice]:
     """Slices of a batch of at most so many characters (or one text), so that very long texts don't add up."""
     out, start, size = [], 0, 0
     for i, t in enumerate(texts):

@@ -25,7 +25,7 @@ from .common import record_batch, table
 from .repeats import Unit, from_places, merged, with_stretches
 
 WINDOW, MINIMISER = 13, 5
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 _HASHES: dict[bytes, int] = {}
 
 
