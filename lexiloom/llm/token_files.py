@@ -2,8 +2,8 @@
 
 A shard holds the ids of a range of doc_ids, in ascending order, as record batches
 of two columns: `ids`, fixed_size_list<uint16 or uint32>[length], and `mask`,
-fixed_size_list<uint8>[length], 1 for real ids (only a shard's last sequence is
-padded).  Buffers are uncompressed, so sequence i of a memory-mapped shard is a
+fixed_size_list<uint8>[length / 8], a bit for each place, lowest first, 1 for real
+ids (only a shard's last sequence is padded).  Buffers are uncompressed, so sequence i of a memory-mapped shard is a
 view of the file: no copy, no parsing.  Beside each shard lies a small Arrow
 stream with the doc_id, first id and number of ids of its documents.
 
@@ -37,7 +37,7 @@ SHARD = pa.schema([("shard", pa.string()), ("number", pa.int32()), ("n_docs", pa
 
 def sequence_schema(bits: int, length: int) -> pa.Schema:
     kind = pa.uint16() if bits == 16 else pa.uint32()
-    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), -(-length // 8)))])
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -72,11 +72,12 @@ class ShardWriter:
         self.held, self.n_held = [rest], len(rest)
         if n + padding:
             ids = np.concatenate([now, np.zeros(padding, self.kind)])
-            mask = np.ones(n + padding, np.uint8)
-            mask[n:] = 0
-            for at in range(0, n + padding, GROUP * self.length):
-                part = slice(at, at + GROUP * self.length)
-                columns = [pa.FixedSizeListArray.from_arrays(pa.array(x[part]), self.length) for x in (ids, mask)]
+            real = np.ones(n + padding, np.uint8)
+            real[n:] = 0
+            mask = np.packbits(real.reshape(-1, self.length), axis=1, bitorder="little")
+            for at in range(0, len(mask), GROUP):
+                part = ids[at * self.length : (at + GROUP) * self.length], mask[at : at + GROUP].ravel()
+                columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), f.type.list_size) for x, f in zip(part, self.schema, strict=True)]
                 self.writer.write_batch(pa.record_batch(columns, schema=self.schema))
 
     def close(self) -> None:
@@ -102,9 +103,10 @@ class ShardReader:
         self.docs = pa.ipc.open_stream(docs).read_all()
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and the packed mask of a sequence, as views."""
         k = int(np.searchsorted(self.starts, i * self.length, side="right")) - 1
-        part = slice(i * self.length - self.starts[k], (i + 1) * self.length - self.starts[k])
-        return self.batches[k][0][part], self.batches[k][1][part]
+        at, wide = i - int(self.starts[k]) // self.length, -(-self.length // 8)
+        return self.batches[k][0][at * self.length : (at + 1) * self.length], self.batches[k][1][at * wide : (at + 1) * wide]
 
     def ids(self, first: int, n: int) -> np.ndarray:
         k = int(np.searchsorted(self.starts, first, side="right")) - 1
