@@ -4,17 +4,19 @@ A page's token stream (tags with their classes, and texts) is read as nested
 elements.  Equal neighbours in an element fold into a repeated group `( ... )+`;
 streams of the same host are then aligned one after another: what both have is
 matched, what one lacks becomes optional `( ... )?`, texts that differ become
-slots `#`, texts that agree stay fixed.  The result is the host's wrapper.  Its
-content region is the article or main element that holds slots, or else the
-innermost container with most of the slot text; its fixed texts are template.
+slots `#`, texts that agree stay fixed.  The result is the host's wrapper, one for
+the pages with an article or main element and one for those without.  Its content
+region is the innermost container with most of the slot text, inside or outside
+an article or main element; one of these is preferred to a container in it, and is
+the region where no container has most of the slots or the host shows no template.
 
-A text that every page of the host has is template too, wherever it stands.
+A block of text that every page has is template, wherever it stands, but for list
+items that stand directly in an article or main element: they are its iterator's.
 
 Wrappers are merged in steps: within a batch, then over salted parts of a host,
 then per host, so that a host with a third of all pages is no single task's work
-(a wrapper's size follows the template, not the number of pages).  Only regions
-that differ from the default (the article or main element) are kept as a table
-and joined to the pages by host.
+(a wrapper's size follows the template, not the number of pages).  The regions
+are kept as a table and joined to the pages by host.
 
 Null html has no text; pages without a host are their own group; repeated rows
 repeat; an empty table gives an empty result; other columns are not read.
@@ -42,6 +44,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+ITEM = frozenset("li dt dd".split())
 CONTAINER = frozenset("html body div section main article table tbody tr td center".split())
 #: A start tag that ends an open element of these kinds (up to the nearest of the second kinds).
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
@@ -139,9 +142,13 @@ def squeeze(text: str) -> str:
     return " ".join(html_entities.unescape(text).split())
 
 
+def text_hash(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
 # --- wrappers: [key, optional, repeated, children]; a text is ["#", optional, repeated, hash or null, length] --------------------
-def expression(e: Element, texts: set[int] | None = None) -> list:
-    """The wrapper of one page: its elements, equal neighbours folded. Elements that are never main text are left out of the alignment. texts: gets the hashes of all texts."""
+def expression(e: Element) -> list:
+    """The wrapper of one page: its elements, equal neighbours folded. Elements that are never main text are left out of the alignment."""
     done: dict[int, list] = {}
     order, todo = [], [e]
     while todo:
@@ -157,9 +164,7 @@ def expression(e: Element, texts: set[int] | None = None) -> list:
             elif k and not k.isspace():
                 plain = squeeze(k)
                 if plain:
-                    kids.append(["#", False, False, zlib.crc32(plain.encode("utf-8", "surrogatepass")), len(plain)])
-                    if texts is not None:
-                        texts.add(kids[-1][3])
+                    kids.append(["#", False, False, text_hash(plain), len(plain)])
         done[id(x)] = [x.key, False, False, fold(kids)]
     return done[id(e)]
 
@@ -226,32 +231,36 @@ def text_mass(w: list) -> int:
     return w[4] if w[0] == "#" else sum(map(text_mass, w[3]))
 
 
-def region(w: list, pages: int, common: list[int], share: float = 0.6) -> dict | None:
-    """Where the main text is; None: in the article or main element, as by default."""
+def _is_article(key: str) -> bool:
+    return key.split(".")[0] in ("article", "main")
+
+
+def region(w: list, pages: int, common: list[int], share: float = 0.6) -> dict:
+    """path: the keys down to the container of the main text; articles: the article and main elements in it have most of its slots; fixed: template."""
     mass = slot_mass if pages > 1 and slot_mass(w) else text_mass  # one page alone shows no slots
-    todo = [w]
-    while todo:
-        x = todo.pop()
-        if x[0] == "#":
-            continue
-        if x[0].split(".")[0] in ("article", "main") and mass(x):
-            return None
-        todo += x[3]
     path, here = [], w
-    while True:
+    while not _is_article(here[0]):
         total = mass(here)
         inner = [k for k in here[3] if k[0] != "#" and k[0].split(".")[0] in CONTAINER and not k[2] and mass(k) >= share * total > 0]
         if not inner:
             break
         here = inner[0]
         path.append(here[0])
-    return {"path": path, "fixed": common if pages >= 3 and slot_mass(here) else []}
+    inside, todo = 0, [here]
+    while todo:
+        x = todo.pop()
+        if _is_article(x[0]):
+            inside += mass(x)
+        elif x[0] != "#":
+            todo += x[3]
+    return {"path": path, "articles": 2 * inside >= mass(here) > 0, "fixed": common if pages > 1 and slot_mass(here) else []}
 
 
 # --- extraction ------------------------------------------------------------------------------------------------------
-def _regions(root: Element, rule: dict | None) -> list[Element]:
-    found, todo = [], [root]
-    while todo:  # outermost article and main elements, in page order
+def _articles(top: Element) -> list[Element]:
+    """Outermost article and main elements, in page order."""
+    found, todo = [], [top]
+    while todo:
         x = todo.pop()
         if x.tag in ("article", "main"):
             inner = [k for k in x.kids if isinstance(k, Element)]
@@ -261,78 +270,105 @@ def _regions(root: Element, rule: dict | None) -> list[Element]:
             found.append(x)
             continue
         todo += [k for k in reversed(x.kids) if isinstance(k, Element) and not k.skip]
-    if found:
-        return found
+    return found
+
+
+def shape(root: Element) -> str:
+    """Pages of a host with and without an article or main element have wrappers of their own."""
+    return "article" if _articles(root) else ""
+
+
+def _regions(root: Element, rule: dict | None) -> list[Element]:
+    if not rule or not rule["fixed"]:  # no template is seen: as the page itself says
+        found = _articles(root)
+        if found or not rule:
+            return found or [root]
     here = root
-    for key in (rule or {}).get("path", []):
+    for key in rule["path"]:
         step = next((k for k in here.kids if isinstance(k, Element) and k.key == key and not k.skip), None)
-        if step is None:
-            break
+        if step is None:  # another layout
+            return _articles(here) or [here]
         here = step
-    return [here]
+    return (_articles(here) if rule["articles"] else []) or [here]
 
 
-def main_text(page: str | None, rule: dict | None = None) -> str:
-    if not page:
-        return ""
-    fixed = frozenset((rule or {}).get("fixed", ()))
-    blocks: list[str] = []
+def blocks(regions: list[Element]) -> Iterator[tuple[str, bool]]:
+    """text, and if it is a list item directly in an article or main element, of each block."""
     held: list[str] = []
-
-    def close() -> None:
-        text = squeeze("".join(held))
-        held.clear()
-        if text and not (fixed and zlib.crc32(text.encode("utf-8", "surrogatepass")) in fixed):
-            blocks.append(text)
-
-    todo: list = list(reversed(_regions(parse(page), rule)))
+    article = item = False
+    todo: list = list(reversed(regions))
     while todo:
         x = todo.pop()
-        if x is None:
-            close()
-        elif isinstance(x, str):
+        if isinstance(x, str):
             held.append(x)
-        elif x.tag == "br":
-            held.append(" ")
-        elif not x.skip:
-            if x.tag in BLOCK:
-                close()
-                todo.append(None)
-            todo += reversed(x.kids)
-    close()
-    return "\n\n".join(blocks)
+            continue
+        if not isinstance(x, tuple):
+            if x.tag == "br":
+                held.append(" ")
+                continue
+            if x.skip:
+                continue
+            if x.tag not in BLOCK:
+                todo += reversed(x.kids)
+                continue
+        text = squeeze("".join(held))
+        held.clear()
+        if text:
+            yield text, item
+        if isinstance(x, tuple):  # a block ends
+            article, item = x
+            continue
+        todo.append((article, item))
+        if x.tag in CONTAINER:
+            article, item = x.tag in ("article", "main"), False
+        item = item or (article and x.tag in ITEM)
+        todo += reversed(x.kids)
+    text = squeeze("".join(held))
+    if text:
+        yield text, item
+
+
+def main_text(page: str | None, rule: dict | None = None) -> str:
+    """rule: that of the page's host and shape."""
+    return _main_text(parse(page), rule) if page else ""
+
+
+def _main_text(root: Element, rule: dict | None) -> str:
+    fixed = frozenset(rule["fixed"]) if rule else ()
+    return "\n\n".join(text for text, item in blocks(_regions(root, rule)) if item or not fixed or text_hash(text) not in fixed)
 
 
 # --- operator ---------------------------------------------------------------------------------------------------------
-PART = pa.schema([("host", pa.string()), ("salt", pa.int32()), ("pages", pa.int64()), ("wrapper", pa.string())])
-PART_DDL = "host string, salt int, pages long, wrapper string"
+PART = pa.schema([("host", pa.string()), ("shape", pa.string()), ("salt", pa.int32()), ("pages", pa.int64()), ("wrapper", pa.string())])
+PART_DDL = "host string, shape string, salt int, pages long, wrapper string"
 SALTS = 64
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found: dict[str, tuple[int, list, set[int]]] = {}
+        found: dict[tuple[str, str], tuple[int, list, set[int]]] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            texts: set[int] = set()
-            new = expression(parse(page or ""), texts)
-            pages, old, common = found.get(host, (0, None, texts))
-            found[host] = (pages + 1, align(old, new) if old else new, common & texts)
-        yield record_batch(PART, [(host, zlib.crc32(f"{host}{pages}{slot_mass(w)}".encode()) % SALTS, pages, json.dumps([w, sorted(common)])) for host, (pages, w, common) in found.items()])
+            root = parse(page or "")
+            texts = {text_hash(text) for text, item in blocks([root]) if not item}
+            key, new = (host, shape(root)), expression(root)
+            pages, old, common = found.get(key, (0, None, texts))
+            found[key] = (pages + 1, align(old, new) if old else new, common & texts)
+        yield record_batch(PART, [(host, kind, zlib.crc32(f"{host}{pages}{slot_mass(w)}".encode()) % SALTS, pages, json.dumps([w, sorted(common)])) for (host, kind), (pages, w, common) in found.items()])
 
 
 def _merge_sorted(last: bool):
-    """Wrappers sorted by their group (host and salt, or host): one each."""
+    """Wrappers sorted by their group (host, shape and salt, or host and shape): one each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, pages, held = None, 0, None
         rows: list[tuple] = []
 
         def done() -> tuple:
-            return (group[0], group[1], pages, json.dumps(region(held[0], pages, held[1]) if last else held))
+            return (*group, pages, json.dumps(region(held[0], pages, held[1]) if last else held))
 
         for batch in batches:
-            for host, salt, n, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key = (host, 0 if last else salt)
+            for host, kind, salt, n, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = (host, kind, 0 if last else salt)
                 if key != group:
                     if group is not None:
                         rows.append(done())
@@ -356,11 +392,12 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def host_regions(pages: DataFrame) -> DataFrame:
-    """host, rule (JSON) of the hosts whose main text isn't in an article or main element. pages: host, html."""
+    """host, rule_article, rule_other: rules (JSON) of its pages with and without an article or main element. pages: host, html."""
     parts = pages.select("host", "html").mapInArrow(_infer, PART_DDL)
-    salted = parts.repartition("host", "salt").sortWithinPartitions("host", "salt", "pages", "wrapper").mapInArrow(_merge_sorted(False), PART_DDL)
-    whole = salted.repartition("host").sortWithinPartitions("host", "pages", "wrapper").mapInArrow(_merge_sorted(True), PART_DDL)
-    return whole.where("wrapper <> 'null'").select("host", F.col("wrapper").alias("rule"))
+    salted = parts.repartition("host", "shape", "salt").sortWithinPartitions("host", "shape", "salt", "pages", "wrapper").mapInArrow(_merge_sorted(False), PART_DDL)
+    whole = salted.repartition("host", "shape").sortWithinPartitions("host", "shape", "pages", "wrapper").mapInArrow(_merge_sorted(True), PART_DDL)
+    rule = lambda kind: F.max(F.when(F.col("shape") == kind, F.col("wrapper")))
+    return whole.groupBy("host").agg(rule("article").alias("rule_article"), rule("").alias("rule_other"))
 
 
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
@@ -371,13 +408,17 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, u, main_text(page, json.loads(rule) if rule else None)) for page, k, u, rule in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            rows = []
+            for page, k, u, article, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                root = parse(page or "")
+                rule = article if shape(root) else other
+                rows.append((k, u, _main_text(root, json.loads(rule) if rule else None)))
             yield record_batch(TEXTS, rows)
 
     keyed = with_host(pages)
     rules = staged(host_regions(keyed), "regions").withColumnRenamed("host", "_host")
     # A left join: the regions are broadcast only where their measured size is under Spark's limit.
-    joined = keyed.join(rules, F.col("host") == F.col("_host"), "left").select("html", F.col("page_id").cast("long").alias("page_id"), "url", "rule")
+    joined = keyed.join(rules, F.col("host") == F.col("_host"), "left").select("html", F.col("page_id").cast("long").alias("page_id"), "url", "rule_article", "rule_other")
     return joined.mapInArrow(run, "page_id long, url string, text string")
 
 

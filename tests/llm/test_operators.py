@@ -340,3 +340,17 @@ def test_main_text(spark):
     assert "#" in text and "<table></table>?" in text and "</li>+" in text
     assert html_wrappers.main_texts(df.where("page_id < 0")).count() == 0
     assert html_wrappers.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+
+
+def test_main_text_wrapper_decides_articles(spark):
+    inside = "<body><article><h1>Title {n}</h1><div class=box>Read our paper every day</div><p>Body text number {n} here</p><ul><li>one<li>two</ul></article></body>"
+    plain = "<body><div id=top>Site name</div><p>Plain text number {n} here</p><div>All rights kept</div></body>"
+    outside = "<body><article>Teaser {n}</article><div class=strap>Strap line</div><section><p>The long story number {n}, told from its beginning to its end</p></section></body>"
+    rows = [(i, "http://mixed.org/x", inside.replace("{n}", str(i))) for i in range(4)] + [(10 + i, "http://mixed.org/y", plain.replace("{n}", str(i))) for i in range(4)]
+    rows += [(20, "http://one.org/x", inside.replace("{n}", "1"))] + [(30 + i, "http://one.org/y", plain.replace("{n}", str(i))) for i in range(4)]
+    rows += [(40 + i, "http://teaser.org/y", outside.replace("{n}", str(i))) for i in range(4)]
+    got = {r.page_id: r.text for r in html_wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got[2] == "Title 2\n\nBody text number 2 here\n\none\n\ntwo"
+    assert got[12] == got[32] == "Plain text number 2 here"
+    assert got[20].startswith("Title 1\n\n")
+    assert got[42] == "The long story number 2, told from its beginning to its end"
