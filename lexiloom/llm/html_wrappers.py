@@ -10,8 +10,11 @@ region is the innermost container with most of the slot text, inside or outside
 an article or main element; one of these is preferred to a container in it, and is
 the region where no container has most of the slots or the host shows no template.
 
-A block of text that every page has is template, wherever it stands, but for list
-items that stand directly in an article or main element: they are its iterator's.
+A block of text is template, wherever it stands, if it is on more than one page and
+on most pages (TEMPLATE_SHARE) of the host, or of those of the host's pages that
+have, or lack, an article or main element.  Pages without text don't count, and
+copies of a page count once.  List items that stand directly in an article or main
+element are its iterator's, and never template.
 
 Wrappers are merged in steps: within a batch, then over salted parts of a host,
 then per host, so that a host with a third of all pages is no single task's work
@@ -24,6 +27,7 @@ repeat; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_entities
 import json
 import re
@@ -57,6 +61,8 @@ ASIDE_WORDS = frozenset(
     "popup modal widget pagination pager toolbar masthead complementary contentinfo".split()
 )
 COMMENT_WORDS = frozenset("comment comments reply replies disqus ad ads advert sponsored promo".split())
+#: A text on so much of a host's pages is template.
+TEMPLATE_SHARE = 0.6
 #: Elements deeper than this are read as part of the one at this depth.
 DEPTH = 48
 
@@ -235,8 +241,8 @@ def _is_article(key: str) -> bool:
     return key.split(".")[0] in ("article", "main")
 
 
-def region(w: list, pages: int, common: list[int], share: float = 0.6) -> dict:
-    """path: the keys down to the container of the main text; articles: the article and main elements in it have most of its slots; fixed: template."""
+def region(w: list, pages: int, share: float = 0.6) -> dict:
+    """path: the keys down to the container of the main text; articles: the article and main elements in it have most of its slots."""
     mass = slot_mass if pages > 1 and slot_mass(w) else text_mass  # one page alone shows no slots
     path, here = [], w
     while not _is_article(here[0]):
@@ -253,7 +259,7 @@ def region(w: list, pages: int, common: list[int], share: float = 0.6) -> dict:
             inside += mass(x)
         elif x[0] != "#":
             todo += x[3]
-    return {"path": path, "articles": 2 * inside >= mass(here) > 0, "fixed": common if pages > 1 and slot_mass(here) else []}
+    return {"path": path, "articles": 2 * inside >= mass(here) > 0}
 
 
 # --- extraction ------------------------------------------------------------------------------------------------------
@@ -278,8 +284,8 @@ def shape(root: Element) -> str:
     return "article" if _articles(root) else ""
 
 
-def _regions(root: Element, rule: dict | None) -> list[Element]:
-    if not rule or not rule["fixed"]:  # no template is seen: as the page itself says
+def _regions(root: Element, rule: dict | None, fixed: frozenset[int]) -> list[Element]:
+    if not rule or not fixed:  # no template is seen: as the page itself says
         found = _articles(root)
         if found or not rule:
             return found or [root]
@@ -328,14 +334,13 @@ def blocks(regions: list[Element]) -> Iterator[tuple[str, bool]]:
         yield text, item
 
 
-def main_text(page: str | None, rule: dict | None = None) -> str:
-    """rule: that of the page's host and shape."""
-    return _main_text(parse(page), rule) if page else ""
+def main_text(page: str | None, rule: dict | None = None, fixed: frozenset[int] = frozenset()) -> str:
+    """rule, fixed: the region and the hashes of template texts of the page's host and shape."""
+    return _main_text(parse(page), rule, fixed) if page else ""
 
 
-def _main_text(root: Element, rule: dict | None) -> str:
-    fixed = frozenset(rule["fixed"]) if rule else ()
-    return "\n\n".join(text for text, item in blocks(_regions(root, rule)) if item or not fixed or text_hash(text) not in fixed)
+def _main_text(root: Element, rule: dict | None, fixed: frozenset[int]) -> str:
+    return "\n\n".join(text for text, item in blocks(_regions(root, rule, fixed)) if item or not fixed or text_hash(text) not in fixed)
 
 
 # --- operator ---------------------------------------------------------------------------------------------------------
@@ -346,14 +351,53 @@ SALTS = 64
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found: dict[tuple[str, str], tuple[int, list, set[int]]] = {}
+        found: dict[tuple[str, str], tuple[int, list]] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             root = parse(page or "")
-            texts = {text_hash(text) for text, item in blocks([root]) if not item}
+            if next(blocks([root]), None) is None:
+                continue
             key, new = (host, shape(root)), expression(root)
-            pages, old, common = found.get(key, (0, None, texts))
-            found[key] = (pages + 1, align(old, new) if old else new, common & texts)
-        yield record_batch(PART, [(host, kind, zlib.crc32(f"{host}{pages}{slot_mass(w)}".encode()) % SALTS, pages, json.dumps([w, sorted(common)])) for (host, kind), (pages, w, common) in found.items()])
+            pages, old = found.get(key, (0, None))
+            found[key] = (pages + 1, align(old, new) if old else new)
+        yield record_batch(PART, [(host, kind, zlib.crc32(f"{host}{pages}{slot_mass(w)}".encode()) % SALTS, pages, json.dumps(w)) for (host, kind), (pages, w) in found.items()])
+
+
+SEEN = pa.schema([("host", pa.string()), ("shape", pa.string()), ("page", pa.int64()), ("text", pa.int64())])
+SEEN_DDL = "host string, shape string, page long, text long"
+#: In the place of a text: the page itself.
+WHOLE = -1
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each page, which is known by a hash of them."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            root = parse(page or "")
+            found = list(blocks([root]))
+            if not found:
+                continue
+            kind = shape(root)
+            known = int.from_bytes(hashlib.blake2b("\n".join(text for text, _ in found).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+            rows += [(host, kind, known, t) for t in {WHOLE, *(text_hash(text) for text, item in found if not item)}]
+        yield record_batch(SEEN, rows)
+
+
+def template_texts(pages: DataFrame) -> DataFrame:
+    """host, fixed_article, fixed_other: hashes of the template texts of its pages with and without an article or main element. pages: host, html.
+
+    Counts of (host, text) add up from every task; of a host only the texts on more than one page meet its number of pages.
+    """
+    seen = pages.select("host", "html").mapInArrow(_seen, SEEN_DDL).distinct()
+    of = lambda kind: F.count(F.when(F.col("shape") == kind, 1))
+    counts = staged(seen.groupBy("host", "text").agg(of("article").alias("a"), of("").alias("o")).where(f"text = {WHOLE} or a + o > 1"), "texts")
+    whole = counts.where(f"text = {WHOLE}").select(F.col("host").alias("_host"), F.col("a").alias("_a"), F.col("o").alias("_o"))
+    texts = counts.where(f"text <> {WHOLE}").join(whole, F.col("host") == F.col("_host"))
+    often = lambda n, of: (n > 1) & (n >= TEMPLATE_SHARE * of)
+    a, o = F.col("a"), F.col("o")
+    texts = texts.withColumn("_every", often(a + o, F.col("_a") + F.col("_o"))).withColumn("_in_a", F.col("_every") | often(a, F.col("_a"))).withColumn("_in_o", F.col("_every") | often(o, F.col("_o")))
+    fixed = lambda part: F.collect_list(F.when(F.col(part), F.col("text")))  # noqa: E731  (at most 1 / TEMPLATE_SHARE times a page's texts)
+    return texts.where("_in_a or _in_o").groupBy("host").agg(fixed("_in_a").alias("fixed_article"), fixed("_in_o").alias("fixed_other"))
 
 
 def _merge_sorted(last: bool):
@@ -364,7 +408,7 @@ def _merge_sorted(last: bool):
         rows: list[tuple] = []
 
         def done() -> tuple:
-            return (*group, pages, json.dumps(region(held[0], pages, held[1]) if last else held))
+            return (*group, pages, json.dumps(region(held, pages) if last else held))
 
         for batch in batches:
             for host, kind, salt, n, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -374,8 +418,7 @@ def _merge_sorted(last: bool):
                         rows.append(done())
                     group, pages, held = key, n, json.loads(w)
                 else:
-                    more = json.loads(w)
-                    pages, held = pages + n, [align(held[0], more[0]), sorted(set(held[1]) & set(more[1]))]
+                    pages, held = pages + n, align(held, json.loads(w))
                 if len(rows) >= 256:
                     yield record_batch(PART, rows)
                     rows = []
@@ -409,16 +452,16 @@ def main_texts(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for page, k, u, article, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page, k, u, article, other, fixed_article, fixed_other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 root = parse(page or "")
-                rule = article if shape(root) else other
-                rows.append((k, u, _main_text(root, json.loads(rule) if rule else None)))
+                rule, fixed = (article, fixed_article) if shape(root) else (other, fixed_other)
+                rows.append((k, u, _main_text(root, json.loads(rule) if rule else None, frozenset(fixed or ()))))
             yield record_batch(TEXTS, rows)
 
     keyed = with_host(pages)
-    rules = staged(host_regions(keyed), "regions").withColumnRenamed("host", "_host")
+    rules = staged(host_regions(keyed).join(template_texts(keyed), "host", "left"), "regions").withColumnRenamed("host", "_host")
     # A left join: the regions are broadcast only where their measured size is under Spark's limit.
-    joined = keyed.join(rules, F.col("host") == F.col("_host"), "left").select("html", F.col("page_id").cast("long").alias("page_id"), "url", "rule_article", "rule_other")
+    joined = keyed.join(rules, F.col("host") == F.col("_host"), "left").select("html", F.col("page_id").cast("long").alias("page_id"), "url", "rule_article", "rule_other", "fixed_article", "fixed_other")
     return joined.mapInArrow(run, "page_id long, url string, text string")
 
 

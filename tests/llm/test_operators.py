@@ -354,3 +354,17 @@ def test_main_text_wrapper_decides_articles(spark):
     assert got[12] == got[32] == "Plain text number 2 here"
     assert got[20].startswith("Title 1\n\n")
     assert got[42] == "The long story number 2, told from its beginning to its end"
+
+
+def test_main_text_template_in_spite_of_odd_pages(spark):
+    plain = "<body><div id=top>Site name</div><p>Plain text number {n} here</p><div>All rights kept</div></body>"
+    inside = "<body><article><h1>Title {n}</h1><div class=box>Read our paper every day</div></article></body>"
+    rows = [(100 * h + i, f"http://{host}/x", page.replace("{n}", str(i))) for h, (host, page) in enumerate((("a.org", plain), ("b.org", inside), ("c.org", plain))) for i in range(2 if host == "c.org" else 9)]
+    rows += [(h + i, f"http://{host}/x", page) for h, host in ((50, "a.org"), (150, "b.org")) for i, page in enumerate((None, "", " ", "<h2>Error 404</h2>"))]
+    rows += [(300 + i, "http://copies.org/x", plain.replace("{n}", "7")) for i in range(5)]
+    got = {r.page_id: r.text for r in html_wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert [got[i] for i in range(9)] == [f"Plain text number {i} here" for i in range(9)]
+    assert [got[100 + i] for i in range(9)] == [f"Title {i}" for i in range(9)]
+    assert got[201] == "Plain text number 1 here"  # two pages show a template as more do
+    assert [got[i] for i in (50, 51, 52, 53, 153)] == ["", "", "", "Error 404", "Error 404"]
+    assert {got[300 + i] for i in range(5)} == {"Site name\n\nPlain text number 7 here\n\nAll rights kept"}  # one page, whatever its copies
