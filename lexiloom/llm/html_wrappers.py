@@ -63,8 +63,10 @@ ASIDE_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments reply replies disqus ad ads advert sponsored promo".split())
 #: A text on so much of a host's pages is template.
 TEMPLATE_SHARE = 0.6
-#: Elements deeper than this are read as part of the one at this depth.
+#: In a wrapper, what is in elements deeper than this stands in the one at this depth (pages are parsed and read at every depth).
 DEPTH = 48
+#: Open elements that keep a block from ending a paragraph around them.
+HOLDS = "td th div article section body li table".split()
 
 _TAG = re.compile(r"""<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -97,6 +99,16 @@ def parse(page: str) -> Element:
     """Nested elements with their texts (markup that browsers forgive is forgiven)."""
     root = Element("", "", False)
     stack, at, n = [root], 0, len(page)
+    places: dict[str, list[int]] = {}  # of each tag's open elements in the stack, so that no search walks a deep stack
+
+    def nearest(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def end(i: int) -> None:
+        for x in reversed(stack[i:]):
+            places[x.tag].pop()
+        del stack[i:]
+
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
@@ -109,37 +121,28 @@ def parse(page: str) -> Element:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if i := nearest((tag,)):
+                end(i)
             continue
         if tag in BLOCK and tag != "option":
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("td", "th", "div", "article", "section", "body", "li", "table"):
-                    break
+            if (i := nearest(("p",))) > nearest(HOLDS):  # a block ends an open paragraph
+                end(i)
         if tag in CLOSES:
             ends, bound = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in bound:
-                    break
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
+            if (i := nearest(ends)) > nearest(bound):
+                end(i)
         new = _element(tag, m[3])
         stack[-1].kids.append(new)
         if tag in RAW:
-            end = re.compile(f"</{tag}", re.I).search(page, at)
-            if end is None:
+            last = re.compile(f"</{tag}", re.I).search(page, at)
+            if last is None:
                 at = n
             else:
-                close = page.find(">", end.end())
+                close = page.find(">", last.end())
                 at = n if close < 0 else close + 1
             new.skip = True
-        elif tag not in VOID and not m[3].endswith("/") and len(stack) <= DEPTH:
+        elif tag not in VOID and not m[3].endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
             stack.append(new)
     return root
 
@@ -156,14 +159,14 @@ def text_hash(text: str) -> int:
 def expression(e: Element) -> list:
     """The wrapper of one page: its elements, equal neighbours folded. Elements that are never main text are left out of the alignment."""
     done: dict[int, list] = {}
-    order, todo = [], [e]
+    order, todo = [], [(e, 0)]
     while todo:
-        x = todo.pop()
-        order.append(x)
-        todo += [k for k in x.kids if isinstance(k, Element) and not k.skip]
-    for x in reversed(order):
+        x, depth = todo.pop()
+        order.append((x, kids := x.kids if depth < DEPTH else _flat(x)))
+        todo += [(k, depth + 1) for k in kids if isinstance(k, Element) and not k.skip]
+    for x, inner in reversed(order):
         kids = []
-        for k in x.kids:
+        for k in inner:
             if isinstance(k, Element):
                 if not k.skip:
                     kids.append(done.pop(id(k)))
@@ -175,6 +178,18 @@ def expression(e: Element) -> list:
     return done[id(e)]
 
 
+def _flat(e: Element) -> list[str]:
+    """The texts in an element, at every depth."""
+    found, todo = [], list(reversed(e.kids))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            found.append(x)
+        elif not x.skip:
+            todo += reversed(x.kids)
+    return found
+
+
 def fold(kids: list[list], longest: int = 4) -> list[list]:
     """Tandem repeats of up to `longest` nodes become repeated nodes or repeated groups."""
     for period in range(1, longest + 1):

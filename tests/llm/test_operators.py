@@ -368,3 +368,15 @@ def test_main_text_template_in_spite_of_odd_pages(spark):
     assert got[201] == "Plain text number 1 here"  # two pages show a template as more do
     assert [got[i] for i in (50, 51, 52, 53, 153)] == ["", "", "", "Error 404", "Error 404"]
     assert {got[300 + i] for i in range(5)} == {"Site name\n\nPlain text number 7 here\n\nAll rights kept"}  # one page, whatever its copies
+
+
+def test_main_text_below_any_depth(spark):
+    for n in (60, 5000):
+        deep, end = "<div>" * n, "</div>" * n
+        page = f"<html><body><div><article>{deep}<nav>menu</nav><div class=ad>buy</div><p>deep</p>{end}<p>tail</p></article></div></body></html>"
+        assert html_wrappers.main_text(page) == "deep\n\ntail"
+        rows = [(i, "http://a.org/x", page.replace("tail", f"tail {i}")) for i in range(3)]
+        got = {r.page_id: r.text for r in html_wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {i: f"tail {i}" for i in range(3)}
+    n = 200_000  # neither the open elements nor unmatched end tags are searched one by one
+    assert html_wrappers.main_text("<b>" * n + "<ul></x>" * n + "text") == "text"
