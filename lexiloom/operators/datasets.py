@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,47 +100,78 @@ def batch_results(states: DataFrame, results: DataFrame) -> DataFrame:
     return found.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("custom_id", "game_id", "guess")
 
 
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    """A table of one round, written to the shared folder (spark.checkpoint.dir; local runs have one of their own) and read back."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def solve_closed_set(games: DataFrame, page_words: DataFrame, title_words_: DataFrame, idf: DataFrame, starters: list[str], most_steps: int = 20) -> DataFrame:
-    """Plays every game (game_id, page_id) against the closed set of pages, all games of a task one after another: game_id, turn, guess, candidates, solved.
+    """Plays every game (game_id, page_id) against the closed set of pages: game_id, turn, guess, candidates, solved.
 
-    The set's words are a dictionary of bounded size (a closed set is small by definition; it is refused over a million words).
+    All games play a turn together. Those that got equal answers so far are at the same node of a guess tree: they have
+    the same candidate pages and make the same guess, so a node's words are counted once. Pages, words, nodes and games
+    are tables; the driver holds none of them.
     """
-    if page_words.count() > 1_000_000:
-        raise ValueError("the closed set is too large")
-    words = page_words.toPandas().groupby("page_id")["word"].agg(frozenset).to_dict()
-    titles = title_words_.toPandas().groupby("page_id")["word"].agg(frozenset).to_dict()
-    weights = dict(idf.select("word", "idf").toPandas().itertuples(index=False))
-    shared = games.sparkSession.sparkContext.broadcast((words, titles, weights))
-
-    def play(batches):
-        words, titles, weights = shared.value
-        for batch in batches:
-            rows = []
-            for game, page in zip(batch["game_id"], batch["page_id"], strict=True):
-                left, known, guessed = list(words), set(), []
-                for turn in range(1, most_steps + 1):
-                    guess = next((s for s in starters if s not in guessed), None) if len(left) > 3 else None
-                    if guess is None and len(left) <= 3:
-                        pool = sorted((w for p in left for w in titles.get(p, ()) if w not in guessed), key=lambda w: (-weights.get(w, 0.0), w))
-                        guess = pool[0] if pool else None
-                    if guess is None:
-                        count: dict[str, int] = {}
-                        for p in left:
-                            for w in words[p]:
-                                if w not in guessed:
-                                    count[w] = count.get(w, 0) + 1
-                        n = max(1, len(left))
-                        guess = min(count, key=lambda w: (-(count[w] / n * (1 - count[w] / n) + 0.18 * count[w] / n * weights.get(w, 0.0)), w), default=None)
-                    if guess is None:
-                        break
-                    guessed.append(guess)
-                    hit = guess in words.get(page, ())
-                    known |= {guess} if hit else set()
-                    left = [p for p in left if (guess in words[p]) == hit] or left
-                    solved = bool(titles.get(page)) and titles[page] <= known
-                    rows.append((game, turn, guess, len(left), solved))
-                    if solved:
-                        break
-            yield pd.DataFrame(rows, columns=["game_id", "turn", "guess", "candidates", "solved"])
-
-    return games.select("game_id", "page_id").mapInPandas(play, f"game_id {dict(games.dtypes)['game_id']}, turn int, guess string, candidates int, solved boolean")
+    words = _staged(page_words.where("page_id is not null").select("page_id", "word").distinct(), "words")
+    titles = _staged(title_words_.where("page_id is not null").select("page_id", "word").distinct(), "titles")
+    weights = _staged(idf.groupBy("word").agg(F.max("idf").cast("double").alias("weight")), "weights")
+    candidates = words.select("page_id").distinct().withColumn("node", F.lit(""))
+    need = titles.groupBy("page_id").agg(F.count("*").alias("need"))
+    players = games.select("page_id").distinct().join(need, "page_id", "left").select("page_id", F.lit("").alias("node"), F.coalesce("need", F.lit(0)).alias("need"))
+    nodes = games.sparkSession.range(1).select(F.lit("").alias("node"), F.array().cast("array<string>").alias("guessed")).crossJoin(candidates.agg(F.count("*").alias("n")))
+    candidates, players, nodes = _staged(candidates, "candidates"), _staged(players, "players"), _staged(nodes, "nodes")
+    outside = not players.join(candidates, "page_id", "left_anti").isEmpty()
+    listed = F.array(*map(F.lit, starters)).cast("array<string>")
+    rows: DataFrame | None = None
+    for turn in range(1, most_steps + 1):
+        fresh = F.get(F.array_except(listed, F.coalesce("guessed", F.array().cast("array<string>"))), F.lit(0))
+        opening = nodes.withColumn("opener", F.when(F.col("n") > 3, fresh))
+        # The most telling title word of at most three candidates, or else the word that splits the candidates best.
+        late = nodes.where("n <= 3").join(candidates, "node").join(titles, "page_id").where(~F.array_contains("guessed", F.col("word")))
+        late = late.join(weights, "word", "left").groupBy("node").agg(F.min(F.struct((-F.coalesce("weight", F.lit(0.0))).alias("at"), "word"))["word"].alias("titled"))
+        asking = _staged(opening.join(late, "node", "left"), "asking")
+        open_nodes = asking.where("opener is null and titled is null").select("node", "guessed", "n")
+        counts = candidates.join(open_nodes.select("node"), "node", "left_semi").join(words, "page_id").groupBy("node", "word").agg(F.count("*").alias("c"))
+        share = F.col("c") / F.greatest(F.lit(1), F.col("n"))
+        score = share * (1 - share) + F.lit(0.18) * F.col("c") / F.greatest(F.lit(1), F.col("n")) * F.coalesce("weight", F.lit(0.0))
+        best = counts.join(open_nodes, "node").where(~F.array_contains("guessed", F.col("word"))).join(weights, "word", "left")
+        best = best.groupBy("node").agg(F.min(F.struct((-score).alias("at"), "word"))["word"].alias("split"))
+        asked = asking.join(best, "node", "left").withColumn("guess", F.coalesce("opener", "titled", "split")).where("guess is not null")
+        asked = _staged(asked.select("node", "guessed", "n", "guess"), "asked")
+
+        def answered(df: DataFrame, asked: DataFrame = asked) -> DataFrame:
+            hits = words.select(F.col("page_id").alias("_page"), F.col("word").alias("_word"))
+            found = df.join(asked, "node").join(hits, (F.col("page_id") == F.col("_page")) & (F.col("guess") == F.col("_word")), "left")
+            return found.withColumn("hit", F.col("_page").isNotNull()).withColumn("next", F.concat("node", F.col("hit").cast("int").cast("string"))).drop("_page", "_word")
+
+        in_title = titles.select(F.col("page_id").alias("_page"), F.col("word").alias("_word"))
+        told = answered(players).join(in_title, (F.col("page_id") == F.col("_page")) & (F.col("guess") == F.col("_word")) & F.col("hit"), "left")
+        told = told.withColumn("left", F.col("need") - F.col("_page").isNotNull().cast("int")).withColumn("solved", (F.col("left") == 0) & F.col("_page").isNotNull())
+        told = _staged(told.select("page_id", "node", "next", "guessed", "n", "guess", F.col("left").alias("need"), "solved"), "told")
+        kept = answered(candidates.select("page_id", "node")).select("page_id", "node", F.col("next"))
+        if outside:  # a page outside of the set can rule out every candidate; then all stay
+            gone = told.select("node", "next").distinct().join(kept.select("next").distinct(), "next", "left_anti")
+            kept = kept.union(candidates.join(gone, "node").select("page_id", "node", "next"))
+        kept = _staged(kept.select("page_id", F.col("next").alias("node")), "kept")
+        sizes = kept.groupBy("node").agg(F.count("*").alias("_n"))
+        told = told.join(sizes.withColumnRenamed("node", "next"), "next", "left").withColumn("candidates", F.coalesce("_n", F.lit(0)).cast("int"))
+        told = _staged(told.drop("_n", "n"), "played")
+        some = told.select("page_id", F.lit(turn).alias("turn"), "guess", "candidates", "solved")
+        rows = some if rows is None else rows.union(some)
+        going = told.where("not solved")
+        nodes = _staged(going.groupBy(F.col("next").alias("node")).agg(F.first(F.array_append("guessed", F.col("guess"))).alias("guessed"), F.first(F.col("candidates").cast("long")).alias("n")), "nodes")
+        players = _staged(going.select("page_id", F.col("next").alias("node"), "need"), "players")
+        candidates = _staged(kept.join(nodes.select("node"), "node", "left_semi"), "candidates")
+        if players.isEmpty():
+            break
+    played = rows.withColumnRenamed("page_id", "_page")
+    return games.join(played, F.col("page_id").eqNullSafe(F.col("_page"))).select("game_id", "turn", "guess", "candidates", "solved")

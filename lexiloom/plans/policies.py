@@ -134,7 +134,7 @@ def closed_set_solver(spark, sf):
     body = tokens.where("is_word").select(F.col("game_id").alias("page_id"), F.col("canon").alias("word")).distinct()
     head = tokens.where("is_word and in_title").select(F.col("game_id").alias("page_id"), F.col("canon").alias("word")).distinct()
     idf = L.smoothed_idf(L.document_frequency(body), p.count())
-    return D.solve_closed_set(p.select(F.col("page_id").alias("game_id"), "page_id").where("page_id <= 100"), body, head, idf, ["steel", "small"], 20)
+    return D.solve_closed_set(p.select(F.col("page_id").alias("game_id"), "page_id"), body, head, idf, ["steel", "small"], 20)
 
 
 QUERIES = {

@@ -42,6 +42,48 @@ def test_solver_ends_solved(spark):
     assert {r.game_id for r in steps if r.solved} == {7, 8}
 
 
+def _solved_alone(words, titles, weights, page, starters, most_steps):
+    left, known, guessed, rows = list(words), set(), [], []
+    for turn in range(1, most_steps + 1):
+        free = [s for s in starters if s not in guessed] if len(left) > 3 else []
+        pool = sorted({w for p in left for w in titles.get(p, ()) if w not in guessed}, key=lambda w: (-weights.get(w, 0.0), w)) if len(left) <= 3 else []
+        count = {w: sum(w in words[p] for p in left) for p in left for w in words[p] if w not in guessed}
+        n = max(1, len(left))
+        split = sorted(count, key=lambda w: (-(count[w] / n * (1 - count[w] / n) + 0.18 * count[w] / n * weights.get(w, 0.0)), w))
+        guess = next(iter([*free[:1], *pool[:1], *split[:1]]), None)
+        if guess is None:
+            break
+        guessed.append(guess)
+        hit = guess in words.get(page, ())
+        known |= {guess} if hit else set()
+        left = [p for p in left if (guess in words[p]) == hit] or left
+        rows.append((turn, guess, len(left), bool(titles.get(page)) and titles[page] <= known))
+        if rows[-1][3]:
+            break
+    return rows
+
+
+def test_solver_equals_games_played_alone(spark):
+    words = {p: {f"w{(p * k * k + k) % 23}" for k in range(2, 7)} | {f"t{p % 11}"} for p in range(1, 120)}
+    titles = {p: {f"t{p % 11}", min(words[p])} for p in words if p % 9}
+    weights = {f"w{i}": 1 + i % 7 / 3 for i in range(20)}
+    table = lambda d: spark.createDataFrame([(p, w) for p in d for w in d[p]], "page_id long, word string")
+    games = spark.createDataFrame([(1000 + p, p) for p in words] + [(1, 3), (2, 999), (3, None)], "game_id long, page_id long")
+    idf = spark.createDataFrame(list(weights.items()), "word string, idf double")
+    got = {}
+    for r in datasets.solve_closed_set(games, table(words), table(titles), idf, ["w1", "zz"], 9).collect():
+        got.setdefault(r.game_id, []).append((r.turn, r.guess, r.candidates, r.solved))
+    for game_id, page in [(1000 + p, p) for p in words] + [(1, 3), (2, 999), (3, None)]:
+        assert sorted(got[game_id]) == _solved_alone(words, titles, weights, page, ["w1", "zz"], 9), game_id
+
+
+def test_solver_query_plays_every_page(spark):
+    from lexiloom.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    assert registry.queries()["closed_set_solver"](spark, sf).select("game_id").distinct().count() == spark.read.parquet(f"{sf}/part.parquet").count()
+
+
 def test_oracles_and_curriculum(spark):
     tokens = game.page_tokens(pages(spark))
     idf = spark.createDataFrame([("capitale", 3.0)], "word string, idf double")
