@@ -78,11 +78,44 @@ def soft_label_distribution(spark, sf):
     return V.soft_labels(V.nearest_words(sims, 5, 0.3), token).select("l", "token", F.round("p", 6).alias("p"))
 
 
+def _all_similarities(spark, sf):
+    """Every vector's word belongs to the page of its label. The queries above take a fifth of them, as their SQL does; those below have no SQL and leave nothing out."""
+    v = _vectors(spark, sf)
+    return V.page_similarities(v.select("word", "vec"), v.select(F.col("label").alias("page_id"), "word"))
+
+
+def contrastive_similarity_every_page(spark, sf):
+    best = _all_similarities(spark, sf).groupBy("page_id", "word").agg(F.max("sim").alias("best"))
+    return best.join(V.background(_vectors(spark, sf)), "word").select("page_id", "word", F.round(F.greatest(F.lit(0.0), F.col("best") - F.col("background")), 6).alias("contrast"))
+
+
+def page_rank_table_every_word(spark, sf):
+    return V.rank_table(_all_similarities(spark, sf), 100)
+
+
+def similarity_inverted_index_every_word(spark, sf):
+    return V.inverted_index(_all_similarities(spark, sf), 20, 0.1)
+
+
+def _every_nearest(spark, sf):
+    return V.nearest_words(_all_similarities(spark, sf).select(F.col("page_word").alias("l"), F.col("word").alias("r"), "sim"), 5, 0.3)
+
+
+def nearest_vector_words_every_word(spark, sf):
+    return _every_nearest(spark, sf).select("l", "r", "rank", F.round("sim", 6).alias("sim"))
+
+
+def soft_label_distribution_every_word(spark, sf):
+    token = _vectors(spark, sf).select("word", (F.substring("word", 2, 9).cast("long") % 31).alias("token"))
+    return V.soft_labels(_every_nearest(spark, sf), token).select("l", "token", F.round("p", 6).alias("p"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         vector_centroid, background_similarity, word_pair_cosine, word_pair_cosine_clipped, contrastive_similarity, page_rank_table, similarity_inverted_index,
         normalized_vector_merge, oov_vectors, nearest_vector_words, soft_label_distribution,
+        contrastive_similarity_every_page, page_rank_table_every_word, similarity_inverted_index_every_word, nearest_vector_words_every_word, soft_label_distribution_every_word,
     )
 }
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,29 @@ def test_sources(spark, tmp_path):
     assert len(got) == 1 and [round(x, 3) for x in got[0].vec] == [0.6, 0.8]
     (tmp_path / "views").write_text("fr.wikipedia Paris 1 7 x\nfr.wikipedia A_b 2 no x\nen.wikipedia Z 1 9\n")
     assert [(r.title, r.n) for r in readers.read_pageviews(spark, str(tmp_path / "views"), "2024-01").collect()] == [("Paris", 7)]
+
+
+def test_vector_queries_of_every_page_word(spark, tmp_path):
+    from lexiloom.plans import registry
+
+    n = 40
+    m = np.random.default_rng(5).normal(size=(n, 6)).astype(np.float32)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    spark.createDataFrame([(i, m[i].tolist(), i % 3) for i in range(n)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sims, mean = m.astype(float) @ m.astype(float).T, m.astype(float).mean(0)
+    back = np.clip(m.astype(float) @ (mean / np.linalg.norm(mean)), 0, 1)
+    best = {p: sims[:, [i for i in range(n) if i % 3 == p]].max(1) for p in range(3)}
+    rows = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    got = {(r.page_id, r.word): r.contrast for r in rows("contrastive_similarity_every_page")}
+    assert got == pytest.approx({(p, f"w{i}"): max(0.0, best[p][i] - back[i]) for p in best for i in range(n)}, abs=2e-6)
+    ranks = {(r.page_id, r.word): r["rank"] for r in rows("page_rank_table_every_word")}
+    assert ranks == {(p, w): k + 1 for p in best for k, w in enumerate(sorted((f"w{i}" for i in range(n)), key=lambda w: (-round(best[p][int(w[1:])], 9), w)))}
+    top = {i: sorted(range(n), key=lambda j: (-round(sims[i, j], 9), f"w{j}")) for i in range(n)}
+    index = {(r.page_word, r.word) for r in rows("similarity_inverted_index_every_word")}
+    assert index == {(f"w{i}", f"w{j}") for i in range(n) for j in top[i][:20] if sims[i, j] >= 0.1}
+    near = {(r.l, r.r, r["rank"]) for r in rows("nearest_vector_words_every_word")}
+    assert near == {(f"w{i}", f"w{j}", k + 1) for i in range(n) for k, j in enumerate([j for j in top[i] if j != i and sims[i, j] >= 0.3][:5])}
+    soft = {}
+    for r in rows("soft_label_distribution_every_word"):
+        soft[r.l] = soft.get(r.l, 0) + r.p
+    assert set(soft) == {l for l, _, _ in near} and list(soft.values()) == pytest.approx([1.0] * len(soft), abs=1e-5)
