@@ -1,4 +1,4 @@
-"""Training-data builders: oracle pools, greedy and teacher guesses, curriculum rows, transcripts, batch requests and results."""
+"""Training-data builders: oracle pools and their best guesses, trajectories, curriculum rows, batch requests and results, closed-set games."""
 
 from __future__ import annotations
 
