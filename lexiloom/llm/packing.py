@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import doc_bytes, record_batch, shuffle_partitions, staged, table
-from .tokens import load, text_groups, tokenizer_path
+from .tokens import load, tokenizer_path
 
 CAPACITY = 1024
 #: Pricing rounds of the linear program and step of the weights.
@@ -166,17 +166,19 @@ def token_pieces(docs: DataFrame, vocabulary: str, mode: str, end_id: int, capac
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = load(vocabulary, mode), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [str(t.as_py(), "utf-8") for t in batch.column(1)]
-            for part in text_groups(texts):
-                rows = []
-                for k, ids in zip(keys[part], tokenizer.encode(texts[part]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    at, piece = 0, 0
-                    while at < n:
-                        size = (n % capacity or capacity) if at == 0 else capacity
-                        rows.append((k, piece, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
-                        at, piece = at + size, piece + 1
+            rows = []
+            for k, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1).cast(pa.string())), strict=True):
+                ids = ids.tobytes() + end
+                n = len(ids) // 4
+                at, piece = 0, 0
+                while at < n:
+                    size = (n % capacity or capacity) if at == 0 else capacity
+                    rows.append((k, piece, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
+                    at, piece = at + size, piece + 1
+                if len(rows) >= 4096:
+                    yield record_batch(PIECES, rows)
+                    rows = []
+            if rows:
                 yield record_batch(PIECES, rows)
 
     return doc_bytes(docs).mapInArrow(run, PIECES_DDL)

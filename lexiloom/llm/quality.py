@@ -32,6 +32,8 @@ FIT_ROWS = 4000
 BUCKETS, DIMENSIONS, EPOCHS, LEAST_STEPS, RATE, GROUP, SEED = 1 << 18, 8, 4, 1000, 0.5, 16, 7  # few rows are gone through more often
 KEEP = 0.7
 CACHE_WORDS = 120_000
+#: Characters scored at a time.
+GROUP_CHARS = 1_500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(31)
 
@@ -203,7 +205,7 @@ def _model(broadcast) -> Model:
 
 def _scored(model: Model, texts: list[bytes | str | None]) -> np.ndarray:
     plain = [t.decode() if isinstance(t, bytes) else t or "" for t in texts]
-    parts = [model.scores(plain[part]) for part in text_groups(plain)]
+    parts = [model.scores(plain[part]) for part in text_groups([len(t) for t in plain], GROUP_CHARS)]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 

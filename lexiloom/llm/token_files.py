@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import doc_bytes, record_batch, scratch_path, shuffle_partitions, table
-from .tokens import load, text_groups, tokenizer_path
+from .tokens import load, tokenizer_path
 
 LENGTH = 1024
 #: Sequences in a record batch.
@@ -133,13 +133,11 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, mode: str,
         tokenizer = load(vocabulary, mode)
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [str(t.as_py(), "utf-8") for t in batch.column(1)]
-            for part in text_groups(texts):
-                for k, ids in zip(keys[part], tokenizer.encode(texts[part]), strict=True):
-                    if writer is None:
-                        uri = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
-                        writer = ShardWriter(uri, bits, length)
-                    writer.add(k, np.concatenate([np.frombuffer(ids, "<u4"), end]))
+            for k, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1).cast(pa.string())), strict=True):
+                if writer is None:
+                    uri = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
+                    writer = ShardWriter(uri, bits, length)
+                writer.add(k, np.concatenate([ids, end]))
         if writer is not None:
             writer.close()
             yield record_batch(SHARD, [(uri, task.partitionId(), len(writer.index), writer.n_ids)])

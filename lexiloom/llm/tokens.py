@@ -2,8 +2,9 @@
 
 Both public vocabularies cut a text at white space before any merge is made, so
 the ids of a text are the ids of its white-space chunks, one after another.  A
-worker encodes a chunk once and then looks it up: the long tail of rare chunks
-is encoded, the rest is a dictionary access.  A new chunk of ordinary Latin text
+worker cuts a group of texts at once, in Arrow, and codes its chunks by a
+dictionary, so each distinct chunk of a group is looked up once and ids are
+gathered by code.  A worker encodes a chunk once and then looks it up.  A new chunk of ordinary Latin text
 is itself put together from pre-tokens (runs of letters, digits or signs, found
 by the vocabulary's own pattern), which the library's model merges once each;
 any other chunk, and any text with unusual white space, goes through the whole
@@ -16,11 +17,17 @@ from __future__ import annotations
 import os
 import unicodedata
 from array import array
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Distinct chunks in each of a worker's two generations of memory (some 200 bytes each), and the longest of them.
-CACHE_CHUNKS, CACHE_LENGTH = 100_000, 64
+CACHE_CHUNKS, CACHE_LENGTH = 150_000, 64
+#: Bytes of text that are cut into chunks at a time; equal chunks of a group are looked up once.
+GROUP_BYTES = 8_000_000
 
 _LOADED: dict[tuple[str, str], "ChunkedTokenizer"] = {}
 
@@ -37,27 +44,24 @@ def _byte_signs() -> list[str]:
 
 
 _SIGNS = _byte_signs()
-_DIRTY = regex.compile(r"\s|[ɐ-\U0010FFFF]|[\x00-\x1F\x7F-\x9F]")
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
+class _StandIns(dict):
+    """Code point -> how byte-level vocabularies write it."""
 
-    return public_tokenizers.path(name)
+    def __missing__(self, point: int) -> str:
+        self[point] = "".join([_SIGNS[b] for b in chr(point).encode()])
+        return self[point]
 
 
-class _Memory(dict):
-    """Chunk -> ids (None: the whole text must be encoded); a chunk that isn't known is worked out on access."""
+_STAND_INS = _StandIns()
+_DIRTY = regex.compile(r"\s|[ɐ-\U0010FFFF]|[\x00-\x1F\x7F-\x9F]")
 
-    def __init__(self, find):
-        super().__init__()
-        self.find = find
 
-    def __missing__(self, key: str) -> bytes | None:
-        ids = self.find(key)
-        if len(key) <= CACHE_LENGTH:
-            self[key] = ids
-        return ids
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 class ChunkedTokenizer:
@@ -69,27 +73,24 @@ class ChunkedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.mode = mode
         self.pattern = regex.compile(SPACE_PATTERN if mode == "space" else PREFIX_PATTERN)
-        self.young = _Memory(self._find)
-        self.old: dict[str, bytes | None] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _raw(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def _keys(self, text: str) -> list[str]:
-        """Chunks. In mode 'prefix' a key stands for itself after a space, but one that begins with \\x01 or \\n for what follows this sign (after the text's beginning or a line feed)."""
+    def _chunks(self, texts: pa.Array) -> pa.Array:
+        """Lists of chunks. In mode 'prefix' a key stands for itself after a space, but one that begins with \\x01 or \\n for what follows this sign (after the text's beginning or a line feed)."""
         if self.mode == "space":
-            return text.replace("\n", " ").split(" ")
-        return ("\x01" + text).replace("\n", " \n").split(" ")
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        return pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\x01", texts.type), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", texts.type)), " ")
 
     def _merged(self, part: str) -> bytes:
         """The ids of one pre-token."""
-        if not part.isascii() or part[0] < " ":
-            signs = "".join([_SIGNS[b] for b in part.encode()])
-        else:
-            signs = _SIGNS[32] + part[1:] if part[0] == " " else part
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(signs)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(part.translate(_STAND_INS))]).tobytes()
 
     def _assembled(self, lead: str, word: str) -> bytes:
         """A chunk without unusual characters, from its pre-tokens; these are remembered as chunks of their own."""
@@ -108,9 +109,8 @@ class ChunkedTokenizer:
             out.append(ids)
         return b"".join(out)
 
-    def _find(self, key: str) -> bytes | None:
-        if key in self.old:
-            return self.old[key]
+    def _worked_out(self, key: str) -> bytes | None:
+        """The ids of a chunk (None: the whole text must be encoded)."""
         lead, word = "", key
         if self.mode == "prefix":
             lead, word = ("", key[1:]) if key[:1] == "\x01" else ("\n", key[1:]) if key[:1] == "\n" else (" ", key)
@@ -120,19 +120,52 @@ class ChunkedTokenizer:
             return self._merged("\n") + self._assembled("", word) if lead == "\n" else self._assembled(lead, word)
         if self.mode == "prefix" and regex.search(r"\s|[\x00-\x1F]", word):
             return None
-        return self._raw([word if self.mode == "space" else lead + word])[0]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as unsigned 32-bit integers of this machine (little-endian)."""
-        get, out = self.young.__getitem__, []
-        for text in texts:
-            try:
-                out.append(b"".join(map(get, self._keys(text))) if "\x01" not in text else self._raw([text])[0])
-            except TypeError:  # white space that needs the whole text
-                out.append(self._raw([text])[0])
-        if len(self.young) > CACHE_CHUNKS:  # what the next texts use comes back from `old`, the rest is forgotten
-            self.old, self.young = dict(self.young), _Memory(self._find)
-        return out
+        return self._raw(word if self.mode == "space" else lead + word)
+
+    def _find(self, keys: list[str]) -> list[bytes | None]:
+        """The ids of distinct chunks, from memory where it has them."""
+        found = list(map(self.young.get, keys))
+        missing = [i for i, f in enumerate(found) if f is None]
+        lead, fold, ids_of = _STAND_INS[32] if self.mode == "prefix" else "", self.mode == "space", self.model.tokenize
+        for i, known in zip(missing, map(self.old.get, [keys[i] for i in missing]), strict=True):
+            key = keys[i]
+            if known is None:
+                if key.isalpha() and key.isascii():  # most new chunks: one pre-token, no stand-ins
+                    known = array("I", [t.id for t in ids_of(lead + (key.lower() if fold else key))]).tobytes()
+                else:
+                    known = self._worked_out(key)
+            found[i] = known
+            if known is not None and len(key) <= CACHE_LENGTH:
+                self.young[key] = known
+        return found
+
+    def _group(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        lists = self._chunks(texts)
+        coded = lists.flatten().dictionary_encode()
+        found = self._find(coded.dictionary.to_pylist())
+        at, odd = coded.indices.to_numpy(), np.zeros(len(texts), bool)
+        edges = lists.offsets.to_numpy()
+        edges = edges - edges[0]
+        if None in found:  # white space that needs the whole text
+            whole = np.array([f is None for f in found])
+            odd |= np.diff(np.concatenate([[0], np.cumsum(whole[at])])[edges]) > 0
+            found = [f or b"" for f in found]
+        if self.mode == "prefix":
+            odd |= pc.match_substring(texts, "\x01").to_numpy(zero_copy_only=False)
+        n_ids = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        table = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_ids)])), pa.array(np.frombuffer(b"".join(found), "<u4")))
+        ids = table.take(coded.indices).flatten().to_numpy()
+        starts = np.concatenate([[0], np.cumsum(n_ids[at])])[edges]
+        for i, rare in enumerate(odd.tolist()):
+            yield np.frombuffer(self._raw(texts[i].as_py()), "<u4") if rare else ids[starts[i] : starts[i + 1]]
+
+    def encode(self, texts: pa.Array | list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text as unsigned 32-bit integers, in order; memory holds a group of texts at a time."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        for part in text_groups(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
+            yield from self._group(texts[part])
+            if len(self.young) > CACHE_CHUNKS:  # what the next texts use comes back from `old`, the rest is forgotten
+                self.old, self.young = self.young, {}
 
 
 def load(path: str, mode: str) -> ChunkedTokenizer:
@@ -142,14 +175,14 @@ def load(path: str, mode: str) -> ChunkedTokenizer:
     return _LOADED[path, mode]
 
 
-def text_groups(texts: list[str], most_chars: int = 1_500_000) -> list[slice]:
-    """Slices of a batch of at most so many characters (or one text), so that very long texts don't add up."""
-    out, start, size = [], 0, 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > most_chars:
+def text_groups(sizes: Sequence[int], most: int = GROUP_BYTES) -> list[slice]:
+    """Slices of a batch of at most so many bytes (or one text), so that very long texts don't add up."""
+    out, start, held = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > most:
             out.append(slice(start, i))
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        out.append(slice(start, len(texts)))
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        out.append(slice(start, len(sizes)))
     return out
