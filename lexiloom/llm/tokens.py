@@ -15,6 +15,7 @@ forgotten in time, so a worker stays small and frequent chunks stay known.
 from __future__ import annotations
 
 import os
+import string
 import unicodedata
 from array import array
 from collections.abc import Iterator, Sequence
@@ -74,7 +75,7 @@ class ChunkedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.model = self.tokenizer.model
-        self.mode = mode
+        self.mode, self.lead = mode, _STAND_INS[32] if mode == "prefix" else ""
         self.pattern = regex.compile(SPACE_PATTERN if mode == "space" else PREFIX_PATTERN)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -122,21 +123,37 @@ class ChunkedTokenizer:
             return None
         return self._raw(word if self.mode == "space" else lead + word)
 
+    def _letters(self, word: str) -> bytes | None:
+        """The ids of a chunk of ordinary letters (None: it isn't that)."""
+        folded = word.lower() if self.mode == "space" else word
+        if not folded.isascii() and (not folded.isalpha() or _DIRTY.search(word)):
+            return None
+        return array("I", [t.id for t in self.model.tokenize(self.lead + (folded if folded.isascii() else folded.translate(_STAND_INS)))]).tobytes()
+
     def _find(self, keys: list[str]) -> list[bytes | None]:
-        """The ids of distinct chunks, from memory where it has them."""
-        found = list(map(self.young.get, keys))
+        """The ids of distinct chunks, from memory where it has them. Most new ones are letters, or letters and then signs: two pre-tokens, each of which may be known."""
+        young, old, glued = self.young, self.old, "\x01" if self.mode == "prefix" else ""
+        found = list(map(young.get, keys))
         missing = [i for i, f in enumerate(found) if f is None]
-        lead, fold, ids_of = _STAND_INS[32] if self.mode == "prefix" else "", self.mode == "space", self.model.tokenize
-        for i, known in zip(missing, map(self.old.get, [keys[i] for i in missing]), strict=True):
+        for i, known in zip(missing, map(old.get, [keys[i] for i in missing]), strict=True):
             key = keys[i]
             if known is None:
-                if key.isalpha() and key.isascii():  # most new chunks: one pre-token, no stand-ins
-                    known = array("I", [t.id for t in ids_of(lead + (key.lower() if fold else key))]).tobytes()
-                else:
+                word = key.rstrip(string.punctuation)
+                if word.isalpha():
+                    known = young.get(word) or old.get(word) or self._letters(word)
+                    if known and len(word) < len(key):
+                        if len(word) <= CACHE_LENGTH:
+                            young[word] = known
+                        signs = glued + key[len(word) :]
+                        tail = young.get(signs) or old.get(signs) or self._worked_out(signs)
+                        if len(signs) <= CACHE_LENGTH:
+                            young[signs] = tail
+                        known += tail
+                if known is None:
                     known = self._worked_out(key)
             found[i] = known
             if known is not None and len(key) <= CACHE_LENGTH:
-                self.young[key] = known
+                young[key] = known
         return found
 
     def _group(self, texts: pa.Array) -> Iterator[np.ndarray]:
