@@ -6,7 +6,8 @@ There a fractional covering program over configurations (ways to fill one
 sequence) is solved by multiplicative weights: the pricing problem, the most
 valuable configuration under the current weights, is an integer knapsack solved
 by dynamic programming.  The solution is rounded down so that nothing is packed
-twice, and the rest of the histogram goes by best fit, longest first, on counts.
+twice, pricing goes on over what is left as long as it fills whole sequences, and
+the last pieces go by best fit, longest first, on counts.
 The plan is a bounded table (ranks of each length -> sequence and offset) that
 tasks apply to pieces ranked by a window over (length, bucket).
 
@@ -30,19 +31,20 @@ from .common import doc_bytes, record_batch, shuffle_partitions, staged, table
 from .tokens import load, tokenizer_path
 
 CAPACITY = 1024
-#: Pricing rounds of the linear program and step of the weights.
-ROUNDS, STEP = 240, 0.25
+#: Step of the weights, configurations taken from one pricing, and the power of its length that a piece weighs to begin with
+#: (over 1: a few long pieces are worth more than many short ones, which fill the last gaps).
+STEP, COLUMNS, POWER = 1.0, 4, 1.2
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 # --- the plan, on the histogram ------------------------------------------------------------------
-def best_configuration(value: np.ndarray, limit: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack by dynamic programming over capacity: {length: copies} of greatest value. Copies beyond `limit` are cut off afterwards."""
+def price(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack by dynamic programming over capacity: the greatest value that fits each room, and the last length put in (0: none)."""
     lengths = np.flatnonzero(value > 0)
-    if not len(lengths):
-        return {}
     best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    if not len(lengths):
+        return best, last
     worth = value[lengths]
     for room in range(int(lengths[0]), capacity + 1):
         n = np.searchsorted(lengths, room, side="right")
@@ -52,47 +54,71 @@ def best_configuration(value: np.ndarray, limit: np.ndarray, capacity: int) -> d
             best[room], last[room] = got[i], lengths[i]
         else:
             best[room] = best[room - 1]
-    out: dict[int, int] = defaultdict(int)
-    room = capacity
-    while room > 0:
-        if best[room] == best[room - 1]:
+    return best, last
+
+
+def configuration(first: int, last: np.ndarray, limit: np.ndarray, capacity: int) -> dict[int, int]:
+    """{length: copies}: the most valuable filling of a sequence that holds `first`, as far as `limit` allows."""
+    out, room = {first: 1}, capacity - first
+    while room > 0 and last[room]:
+        size = int(last[room])
+        if out.get(size, 0) < limit[size]:
+            out[size] = out.get(size, 0) + 1
+            room -= size
+        else:  # no copy is left: fill the room without this one more
             room -= 1
-            continue
-        out[int(last[room])] += 1
-        room -= int(last[room])
-    return {size: min(k, int(limit[size])) for size, k in out.items()}
-
-
-def fractional_cover(need: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often each is used, fractionally, by multiplicative weights."""
-    weight = np.where(need > 0, np.arange(len(need)) / np.maximum(need, 1), 0.0)  # to begin with, value as its length
-    cover, used = np.zeros(len(need)), defaultdict(float)
-    for _ in range(rounds):
-        config = best_configuration(weight, need, capacity)
-        if not config:
+    return out
+
+
+def price_out(need: np.ndarray, capacity: int, whole: bool, step: float = STEP, columns: int = COLUMNS) -> tuple[list[tuple[dict[int, int], float]], np.ndarray, float]:
+    """Configurations with their amounts, what they leave uncovered, and a lower bound on all sequences, by multiplicative weights.
+
+    A length weighs a power of itself, times a factor that falls with its covered
+    share.  One pricing table gives a most valuable configuration for each
+    length that it must hold; a round takes those of the `columns` longest lengths
+    that are open and covers what is left of a length of theirs, then weighs
+    again.  It ends when pricing finds no configuration that fills a sequence.
+    Weights over the best configuration's worth are a dual solution: the
+    bound, as are the lengths themselves.
+    """
+    left, used, bound = need.astype(np.int64 if whole else np.float64), [], float(need @ np.arange(len(need))) / capacity
+    sizes = np.flatnonzero(need)
+    weight = np.zeros(len(need))
+    while len(sizes):
+        share = 1 - left[sizes] / need[sizes]
+        weight[sizes] = sizes**POWER * np.exp(-step * (share - share.mean()))
+        bound = max(bound, float(weight @ need) / price(weight, capacity)[0][capacity]) if not used else bound
+        open_weight = np.where(left > 0, weight, 0.0)
+        _, last = price(open_weight, capacity)
+        taken = 0
+        for size in np.flatnonzero(left > 0)[::-1].tolist():
+            if left[size] <= 0:
+                continue
+            config = configuration(size, last, np.ceil(left), capacity)
+            if sum(s * k for s, k in config.items()) < capacity:
+                continue
+            amount = min(left[s] // k if whole else left[s] / k for s, k in config.items())
+            used.append((config, amount))
+            for s, k in config.items():
+                left[s] = max(left[s] - amount * k, 0)
+            taken += 1
+            if taken == columns:
+                break
+        if not taken:
             break
-        key = tuple(sorted(config.items()))
-        amount = min(need[size] / k for size, k in key)  # how often until a length of it is covered once more
-        used[key] += amount
-        for size, k in key:
-            cover[size] += amount * k
-            weight[size] *= np.exp(-step * amount * k / need[size])
-    return [(dict(key), x) for key, x in used.items()]
+    return used, left, bound
 
 
-def round_down(fractional: list[tuple[dict[int, int], float]], need: np.ndarray, capacity: int, fill: float) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
-    """Whole multiplicities within the demand; fuller configurations are served first, and only those filled to `fill` at least."""
+def round_down(used: list[tuple[dict[int, int], float]], need: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Whole multiplicities within the demand: the whole part of every amount, then pricing over what that leaves."""
     left, out = need.copy(), []
-    ranked = sorted(fractional, key=lambda c: (-sum(s * k for s, k in c[0].items()), -c[1], sorted(c[0].items())))
-    for config, _ in ranked:
-        if sum(s * k for s, k in config.items()) < fill * capacity:
-            continue
-        times = min(int(left[size]) // k for size, k in config.items())
+    for config, amount in used:
+        times = int(amount + 1e-9)
         if times:
             out.append((config, times))
             for size, k in config.items():
                 left[size] -= times * k
-    return out, left
+    return out + [(config, int(times)) for config, times in price_out(left, capacity, whole=True)[0]]
 
 
 def best_fit_counts(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -127,6 +153,8 @@ class Plan:
     """For each length: ascending first ranks, and for each of these the first sequence, copies in a sequence and offset of the first copy."""
 
     n_sequences: int
+    n_priced: int  # sequences that are configurations of the program
+    bound: float  # no packing needs fewer sequences
     by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     def place(self, length: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,12 +170,12 @@ def make_plan(need: np.ndarray, capacity: int = CAPACITY) -> Plan:
     groups: list[tuple[dict[int, int], int]] = [({capacity: 1}, int(need[capacity]))] if need[capacity] else []
     open_need = need.copy()
     open_need[capacity] = 0
-    fractional = fractional_cover(open_need, capacity)
-    choices = []
-    for fill in (1.0, 0.995, 0.98, 2.0):  # 2.0: the program's configurations are not used at all
-        whole, left = round_down(fractional, open_need, capacity, fill)
-        choices.append(whole + best_fit_counts(left, capacity))
-    groups += min(choices, key=lambda g: sum(times for _, times in g))
+    used, _, bound = price_out(open_need, capacity, whole=False)
+    whole, left = round_down(used, open_need, capacity), open_need.copy()
+    for config, times in whole:
+        for size, k in config.items():
+            left[size] -= times * k
+    groups += whole + best_fit_counts(left, capacity)
     spans, taken, sequence = defaultdict(list), defaultdict(int), 0
     for config, times in groups:
         offset = 0
@@ -156,7 +184,7 @@ def make_plan(need: np.ndarray, capacity: int = CAPACITY) -> Plan:
             taken[size] += times * k
             offset += size * k
         sequence += times
-    return Plan(sequence, {size: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for size, rows in spans.items()})
+    return Plan(sequence, sum(times for _, times in whole), int(need[capacity]) + bound, {size: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for size, rows in spans.items()})
 
 
 # --- pieces ---------------------------------------------------------------------------------------

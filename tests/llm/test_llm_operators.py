@@ -99,6 +99,17 @@ def test_plan_places_every_piece_once():
     assert plan.n_sequences <= 1.02 * least + 1
 
 
+def test_plan_comes_from_the_program():
+    rnd = np.random.default_rng(1)
+    need = np.zeros(1025, np.int64)
+    for size in np.minimum(rnd.exponential(400, 8000).astype(int) + 1, 1024):
+        need[size] += 1
+    plan = packing.make_plan(need)
+    plain = int(need[1024]) + sum(times for _, times in packing.best_fit_counts(np.where(np.arange(1025) < 1024, need, 0), 1024))
+    assert plan.n_priced > (plan.n_sequences - need[1024]) / 2
+    assert plan.bound <= plan.n_sequences <= min(plain, 1.005 * plan.bound + 1)
+
+
 def test_token_files(spark, docs, rows):
     t = tokens.load(tokens.tokenizer_path("word_bpe_49k.json"), "space")
     shards = token_files.write_token_files(docs, scratch_path(spark, "t"), tokens.tokenizer_path("word_bpe_49k.json"), "space", 2, length=64)
