@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,7 +17,10 @@ from pyspark.sql.types import StringType
 
 #: Word characters, spelt out: Java's and Python's \w differ, these classes don't.
 WORD = r"[\p{L}\p{N}_]"
-TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+|\s+"
+#: White space as Unicode has it (fixed values: the 29 code points at which words are split), for use in a character class.
+BLANK = r"\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+NONBLANK = f"[^{BLANK}]+"
+TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{BLANK}]+|[{BLANK}]+"
 LETTER_WORD = r"[\p{L}](?:[\p{L}]|['’-])*"
 
 # Fixed values (they decide results): suffixes of the canonical form in the order in which they are tried, and reserved words.
@@ -25,26 +28,29 @@ SUFFIXES = [
     ("aux", "al"), ("eaux", "eau"), ("euses", "eur"), ("euse", "eur"), ("trices", "teur"), ("trice", "teur"), ("ives", "if"), ("ive", "if"),
     ("aises", "ais"), ("oises", "ois"), ("ees", "e"), ("ee", "e"), ("es", "e"), ("s", ""), ("x", ""),
 ]
-THEME_SEEDS = (
-    "personne ville pays france monde histoire politique guerre science art sport musique cinema europe etat groupe langue culture "
-    "naissance mort siecle annee club universite religion"
-).split()
-STOPWORDS = (
-    "afin ainsi alors apres aucun aussi autre aux avec avoir car ceci cela ces cet cette chez comme dans dan des deux donc dont elle elles "
-    "entre est etre eux fait font hors ils les leur leurs lors mais meme mes ont par pas peu plus plu pour puis quand que quel qui quoi "
-    "sans ses son sont sous sur tres une vers via janvier fevrier mars avril mai juin juillet aout septembre octobre novembre decembre pendant"
-).split()
+THEME_SEEDS = [  # fixed values
+    "personne", "ville", "pays", "france", "monde", "histoire", "politique", "guerre", "science", "art", "sport", "musique", "cinema", "europe",
+    "etat", "groupe", "langue", "culture", "naissance", "mort", "siecle", "annee", "club", "universite", "religion",
+]
+STOPWORDS = [  # fixed values
+    "afin", "ainsi", "alors", "apres", "aucun", "aussi", "autre", "aux", "avec", "avoir", "car", "ceci", "cela", "ces", "cet", "cette", "chez",
+    "comme", "dans", "dan", "des", "deux", "donc", "dont", "elle", "elles", "entre", "est", "etre", "eux", "fait", "font", "hors", "ils", "les",
+    "leur", "leurs", "lors", "mais", "meme", "mes", "ont", "par", "pas", "peu", "plus", "plu", "pour", "puis", "quand", "que", "quel", "qui", "quoi",
+    "sans", "ses", "son", "sont", "sous", "sur", "tres", "une", "vers", "via", "janvier", "fevrier", "mars", "avril", "mai", "juin", "juillet",
+    "aout", "septembre", "octobre", "novembre", "decembre", "pendant",
+]
 #: Words that are never guesses. The game's own name is one more; callers give it as `extra`.
-RESERVED = (
-    "mot mots motcle motcles prochain seul un une format cache cachee cacher page jeu pay think thinking thought reasoning raisonnement "
-    "reflexion réflexion assistant tool tools appel fonction system user historique feedback exact proche titre solved visible texte reponse réponse"
-).split()
+RESERVED = [  # fixed values
+    "mot", "mots", "motcle", "motcles", "prochain", "seul", "un", "une", "format", "cache", "cachee", "cacher", "page", "jeu", "pay", "think",
+    "thinking", "thought", "reasoning", "raisonnement", "reflexion", "réflexion", "assistant", "tool", "tools", "appel", "fonction", "system",
+    "user", "historique", "feedback", "exact", "proche", "titre", "solved", "visible", "texte", "reponse", "réponse",
+]
 
 
 def _accent_table() -> tuple[str, str]:
-    """Every character of the basic plane that is one letter and combining marks (or another form of that letter), and that letter."""
+    """Every character of the basic plane that is one letter and combining marks (or another form of that letter), and that letter; then the marks themselves, which go."""
     source, target = [], []
-    for point in range(0xC0, min(sys.maxunicode, 0xFFFF)):
+    for point in range(0xC0, 0x10000):
         if 0xAC00 <= point <= 0xD7A3 or 0xD800 <= point <= 0xDFFF:
             continue
         parts = unicodedata.normalize("NFD", chr(point))
@@ -53,24 +59,38 @@ def _accent_table() -> tuple[str, str]:
             if len(kept) == 1:
                 source.append(chr(point))
                 target.append(kept[0])
-    return "".join(source), "".join(target)
+    marks = [chr(point) for point in range(sys.maxunicode + 1) if unicodedata.category(chr(point)) == "Mn"]
+    return "".join([*source, *marks]), "".join(target)
 
 
 _SOURCE, _TARGET = _accent_table()
 
 
 def strip_accents(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, _SOURCE, _TARGET), r"\p{Mn}", "")
+    return F.translate(c, _SOURCE, _TARGET)
+
+
+_BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
+def strip(c: Column) -> Column:
+    """No white space at either end."""
+    return F.btrim(c, F.lit(_BLANKS))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value as a lambda's variable: it is worked out once, not at every place where it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def normalize_word(c: Column) -> Column:
-    """Lower case, no outer blanks, no accents, no signs at either end."""
-    return F.regexp_replace(strip_accents(F.lower(F.trim(c))), rf"^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$", "")
+    """Lower case, no outer blanks, no accents, no signs at either end. Most tokens are plain words already."""
+    return _once(F.lower(c), lambda low: F.when(low.rlike("^[a-z0-9_]+$"), low).otherwise(F.regexp_replace(strip_accents(low), rf"^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$", "")))
 
 
 def canonical_of_normal(norm: Column) -> Column:
-    """The first suffix rule that fits a normal form. As a lambda's variable the form is worked out once, not in every branch."""
-    return F.get(F.transform(F.array(norm), _suffix_rules), F.lit(0))
+    """The first suffix rule that fits a normal form."""
+    return _once(norm, _suffix_rules)
 
 
 def _suffix_rules(word: Column) -> Column:
@@ -101,12 +121,13 @@ def canonical_words(c: Column) -> Column:
 
 
 def word_set(c: Column) -> Column:
-    return F.array_distinct(canonical_words(c))
+    return content_words(c, 1)
 
 
 def content_words(c: Column, least: int = 3) -> Column:
-    """Distinct canonical forms of `least` letters or more in the order of their first use."""
-    return F.array_distinct(F.filter(canonical_words(c), lambda w: F.length(w) >= least))
+    """Distinct canonical forms of `least` letters or more in the order of their first use; a token is worked out once."""
+    norms = F.filter(F.transform(F.array_distinct(token_texts(c)), normalize_word), is_word)
+    return F.array_distinct(F.filter(F.transform(F.array_distinct(norms), _suffix_rules), lambda w: F.length(w) >= least))
 
 
 def web_form(c: Column) -> Column:
@@ -126,7 +147,7 @@ CLITICS = ["l", "d", "qu", "n", "m", "t", "s", "j", "c", "lorsqu", "puisqu", "ju
 
 def article_words(c: Column) -> Column:
     """Distinct web forms of white-space words cut at apostrophes, sorted; an elided head before an apostrophe is left out."""
-    chunks = F.transform(F.regexp_extract_all(c, F.lit(r"[^\s]+"), F.lit(0)), lambda w: F.split(w, "['’ʼʹ`]"))
+    chunks = F.transform(F.regexp_extract_all(c, F.lit(NONBLANK), F.lit(0)), lambda w: F.split(w, "['’ʼʹ`]"))
 
     def forms(parts: Column) -> Column:
         return F.transform(parts, lambda x, i: F.when((i < F.size(parts) - 1) & web_form(x).isin(*CLITICS), F.lit("")).otherwise(web_form(x)))
@@ -134,9 +155,14 @@ def article_words(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(chunks, forms)), lambda w: F.length(w) > 1)))
 
 
+def first_words(c: Column, n: int) -> Column:
+    """The first n white-space separated words; the rest of the text isn't cut."""
+    return F.filter(F.slice(F.split(F.ltrim(c, F.lit(_BLANKS)), f"[{BLANK}]+", n + 1), 1, n), lambda w: w != "")
+
+
 def words_by_blanks(c: Column) -> Column:
     """Number of white-space separated words."""
-    return F.size(F.regexp_extract_all(c, F.lit(r"[^\s]+"), F.lit(0)))
+    return F.size(F.regexp_extract_all(c, F.lit(NONBLANK), F.lit(0)))
 
 
 # --- guesses ------------------------------------------------------------------------------------------
@@ -188,6 +214,7 @@ def is_excluded_page(title: Column, intro: Column) -> Column:
 
 
 def clean_markup(c: Column) -> Column:
+    # What is replaced, in this order.
     for pattern, put in (
         (r"'''?", ""), (r"\[\[([^|\]]+)\|([^\]]+)\]\]", "$2"), (r"\[\[([^\]]+)\]\]", "$1"),
         (r"\[https?://[^\s\]]+\s+([^\]]+)\]", "$1"), (r"\[https?://[^\]]+\]", " "), ("&nbsp;", " "), (r"(?U)\s+", " "),
@@ -222,6 +249,7 @@ def remove_balanced(texts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) ->
 def extract_intro(c: Column, least: int = 30, enough: int = 1200) -> Column:
     """The first paragraphs of an article's wikitext, without templates, references, images and links."""
     c = F.replace(c, F.lit("\r\n"), F.lit("\n"))
+    # What goes first.
     for pattern in (r"(?s)<!--.*?-->", r"(?i)<ref\b[^>/]*/>", r"(?is)<ref\b.*?</ref>", r"<[^>]+>"):
         c = F.regexp_replace(c, pattern, " ")
     c = remove_balanced(remove_balanced(c, F.lit("{{"), F.lit("}}")), F.lit("{|"), F.lit("|}"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.operators import game as G
+from lexiloom.operators.stage import staged
 
 HISTORY = "array<struct<guess:string,score:int,exact:int,semantic:int,title:int,reward:double,solved:boolean>>"
 
@@ -21,11 +19,11 @@ def title_words(tokens: DataFrame) -> DataFrame:
 
 def probe_words(tokens: DataFrame, idf: DataFrame, n: int = 20) -> DataFrame:
     """game_id, word, info, rank: words of the text, not of the title, that tell most."""
-    body = tokens.where("is_word").where(T.is_valid_guess(F.col("norm"))).select("game_id", F.col("norm").alias("word"), "canon").distinct()
+    body = tokens.where("is_word and not in_title").where(T.is_valid_guess(F.col("norm"))).select("game_id", F.col("norm").alias("word"), "canon").distinct()
     known = body.join(idf.withColumnRenamed("word", "canon"), "canon", "left").select("game_id", "word", G.information(F.col("canon"), F.col("idf")).alias("info"))
     best = known.groupBy("game_id", "word").agg(F.max("info").alias("info")).join(title_words(tokens).select("game_id", "word"), ["game_id", "word"], "left_anti")
     order = Window.partitionBy("game_id").orderBy(F.desc("info"), "word")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return best.where("info > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def oracle_pool(tokens: DataFrame, idf: DataFrame, guessed: DataFrame, extras: list[str], with_title: bool) -> DataFrame:
@@ -100,53 +98,57 @@ def batch_results(states: DataFrame, results: DataFrame) -> DataFrame:
     return found.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("custom_id", "game_id", "guess")
 
 
-def _staged(df: DataFrame, name: str) -> DataFrame:
-    """A table of one round, written to the shared folder (spark.checkpoint.dir; local runs have one of their own) and read back."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Candidates whose words the solver weighs, and how few it takes to try their titles.
+POOL, FEW = 250, 3
 
 
-def solve_closed_set(games: DataFrame, page_words: DataFrame, title_words_: DataFrame, idf: DataFrame, starters: list[str], most_steps: int = 20) -> DataFrame:
+def solve_closed_set(
+    games: DataFrame, page_words: DataFrame, title_words_: DataFrame, idf: DataFrame, starters: list[str], most_steps: int = 20, vocabulary: tuple[str, ...] = ()
+) -> DataFrame:
     """Plays every game (game_id, page_id) against the closed set of pages: game_id, turn, guess, candidates, solved.
 
+    The starters come first. Then, with at most FEW candidates left, the title words of the best ranked one, the rarest
+    first; else the word that tells most about the POOL best ranked; else the vocabulary in its order. Unknown words have
+    an IDF of 1. Candidates rank by what game.candidate_ranking says, ties by page.
+
     All games play a turn together. Those that got equal answers so far are at the same node of a guess tree: they have
     the same candidate pages and make the same guess, so a node's words are counted once. Pages, words, nodes and games
     are tables; the driver holds none of them.
     """
-    words = _staged(page_words.where("page_id is not null").select("page_id", "word").distinct(), "words")
-    titles = _staged(title_words_.where("page_id is not null").select("page_id", "word").distinct(), "titles")
-    weights = _staged(idf.groupBy("word").agg(F.max("idf").cast("double").alias("weight")), "weights")
-    candidates = words.select("page_id").distinct().withColumn("node", F.lit(""))
+    words = staged(page_words.where("page_id is not null").select("page_id", "word").distinct(), "words")
+    titles = staged(title_words_.where("page_id is not null").select("page_id", "word").distinct(), "titles")
+    weights = staged(idf.groupBy("word").agg(F.max("idf").cast("double").alias("weight")), "weights")
+    candidates = words.groupBy("page_id").agg((-0.01 * F.count("*")).alias("score")).withColumn("node", F.lit(""))
     need = titles.groupBy("page_id").agg(F.count("*").alias("need"))
     players = games.select("page_id").distinct().join(need, "page_id", "left").select("page_id", F.lit("").alias("node"), F.coalesce("need", F.lit(0)).alias("need"))
-    nodes = games.sparkSession.range(1).select(F.lit("").alias("node"), F.array().cast("array<string>").alias("guessed")).crossJoin(candidates.agg(F.count("*").alias("n")))
-    candidates, players, nodes = _staged(candidates, "candidates"), _staged(players, "players"), _staged(nodes, "nodes")
+    nodes = games.sparkSession.range(1).select(F.lit("").alias("node"), F.array().cast("array<string>").alias("guessed")).crossJoin(candidates.agg(F.count("*").alias("n")))  # one row each
+    candidates, players, nodes = staged(candidates, "candidates"), staged(players, "players"), staged(nodes, "nodes")
     outside = not players.join(candidates, "page_id", "left_anti").isEmpty()
-    listed = F.array(*map(F.lit, starters)).cast("array<string>")
+    listed, spare = (F.array(*map(F.lit, some)).cast("array<string>") for some in (starters, vocabulary))
+    weight = F.coalesce("weight", F.lit(1.0))
     rows: DataFrame | None = None
     for turn in range(1, most_steps + 1):
-        fresh = F.get(F.array_except(listed, F.coalesce("guessed", F.array().cast("array<string>"))), F.lit(0))
-        opening = nodes.withColumn("opener", F.when(F.col("n") > 3, fresh))
-        # The most telling title word of at most three candidates, or else the word that splits the candidates best.
-        late = nodes.where("n <= 3").join(candidates, "node").join(titles, "page_id").where(~F.array_contains("guessed", F.col("word")))
-        late = late.join(weights, "word", "left").groupBy("node").agg(F.min(F.struct((-F.coalesce("weight", F.lit(0.0))).alias("at"), "word"))["word"].alias("titled"))
-        asking = _staged(opening.join(late, "node", "left"), "asking")
-        open_nodes = asking.where("opener is null and titled is null").select("node", "guessed", "n")
-        counts = candidates.join(open_nodes.select("node"), "node", "left_semi").join(words, "page_id").groupBy("node", "word").agg(F.count("*").alias("c"))
-        share = F.col("c") / F.greatest(F.lit(1), F.col("n"))
-        score = share * (1 - share) + F.lit(0.18) * F.col("c") / F.greatest(F.lit(1), F.col("n")) * F.coalesce("weight", F.lit(0.0))
-        best = counts.join(open_nodes, "node").where(~F.array_contains("guessed", F.col("word"))).join(weights, "word", "left")
-        best = best.groupBy("node").agg(F.min(F.struct((-score).alias("at"), "word"))["word"].alias("split"))
-        asked = asking.join(best, "node", "left").withColumn("guess", F.coalesce("opener", "titled", "split")).where("guess is not null")
-        asked = _staged(asked.select("node", "guessed", "n", "guess"), "asked")
+        guessed = F.coalesce("guessed", F.array().cast("array<string>"))
+        opening = nodes.withColumn("opener", F.get(F.array_except(listed, guessed), F.lit(0))).withColumn("spare", F.get(F.array_except(spare, guessed), F.lit(0)))
+        opening = staged(opening, "opening")
+        open_nodes = opening.where("opener is null").select("node", "guessed", "n")
+        place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "page_id"))
+        pool = candidates.join(open_nodes, "node").withColumn("place", place).where(F.col("place") <= POOL)
+        pool = staged(pool.select("page_id", "node", "guessed", "n", "place"), "pool")
+        fresh = ~F.array_contains("guessed", F.col("word"))
+        late = pool.where(F.col("n") <= FEW).join(titles, "page_id").where(fresh).join(weights, "word", "left")
+        late = late.groupBy("node").agg(F.min(F.struct("place", (-weight).alias("at"), "word"))["word"].alias("titled"))
+        size = pool.groupBy("node").agg(F.count("*").alias("size"))
+        good = (F.length("word") >= 3) & ~F.col("word").rlike(r"^\p{Nd}+$")
+        counts = pool.join(words, "page_id").where(fresh & good).groupBy("node", "word").agg(F.count("*").alias("c"))
+        named = pool.join(titles, "page_id").groupBy("node", "word").agg(F.count("*").alias("t"))
+        told_by = counts.join(named, ["node", "word"], "left").join(size, "node").join(weights, "word", "left")
+        share = F.col("c") / F.col("size")
+        score = share * (1 - share) + 0.18 * share * weight + 0.8 * F.coalesce("t", F.lit(0)) / F.col("size")
+        best = told_by.groupBy("node").agg(F.min(F.struct((-F.round(score, 9)).alias("at"), "word"))["word"].alias("split"))
+        asking = opening.join(late, "node", "left")
+        asked = asking.join(best, "node", "left").withColumn("guess", F.coalesce("opener", "titled", "split", "spare")).where("guess is not null")
+        asked = staged(asked.select("node", "guessed", "n", "guess"), "asked")
 
         def answered(df: DataFrame, asked: DataFrame = asked) -> DataFrame:
             hits = words.select(F.col("page_id").alias("_page"), F.col("word").alias("_word"))
@@ -156,21 +158,24 @@ def solve_closed_set(games: DataFrame, page_words: DataFrame, title_words_: Data
         in_title = titles.select(F.col("page_id").alias("_page"), F.col("word").alias("_word"))
         told = answered(players).join(in_title, (F.col("page_id") == F.col("_page")) & (F.col("guess") == F.col("_word")) & F.col("hit"), "left")
         told = told.withColumn("left", F.col("need") - F.col("_page").isNotNull().cast("int")).withColumn("solved", (F.col("left") == 0) & F.col("_page").isNotNull())
-        told = _staged(told.select("page_id", "node", "next", "guessed", "n", "guess", F.col("left").alias("need"), "solved"), "told")
-        kept = answered(candidates.select("page_id", "node")).select("page_id", "node", F.col("next"))
+        told = staged(told.select("page_id", "node", "next", "guessed", "n", "guess", F.col("left").alias("need"), "solved"), "told")
+        kept = answered(candidates.select("page_id", "node", "score")).join(in_title, (F.col("page_id") == F.col("_page")) & (F.col("guess") == F.col("_word")), "left")
+        kept = kept.join(weights.withColumnRenamed("word", "guess"), "guess", "left")
+        gain = F.when(F.col("hit"), weight * F.when(F.col("_page").isNotNull(), 3.5).otherwise(1.0)).otherwise(0.0)
+        kept = kept.select("page_id", "node", "next", (F.col("score") + gain).alias("score"))
         if outside:  # a page outside of the set can rule out every candidate; then all stay
             gone = told.select("node", "next").distinct().join(kept.select("next").distinct(), "next", "left_anti")
-            kept = kept.union(candidates.join(gone, "node").select("page_id", "node", "next"))
-        kept = _staged(kept.select("page_id", F.col("next").alias("node")), "kept")
+            kept = kept.union(candidates.join(gone, "node").select("page_id", "node", "next", "score"))
+        kept = staged(kept.select("page_id", F.col("next").alias("node"), "score"), "kept")
         sizes = kept.groupBy("node").agg(F.count("*").alias("_n"))
         told = told.join(sizes.withColumnRenamed("node", "next"), "next", "left").withColumn("candidates", F.coalesce("_n", F.lit(0)).cast("int"))
-        told = _staged(told.drop("_n", "n"), "played")
+        told = staged(told.drop("_n", "n"), "played")
         some = told.select("page_id", F.lit(turn).alias("turn"), "guess", "candidates", "solved")
         rows = some if rows is None else rows.union(some)
         going = told.where("not solved")
-        nodes = _staged(going.groupBy(F.col("next").alias("node")).agg(F.first(F.array_append("guessed", F.col("guess"))).alias("guessed"), F.first(F.col("candidates").cast("long")).alias("n")), "nodes")
-        players = _staged(going.select("page_id", F.col("next").alias("node"), "need"), "players")
-        candidates = _staged(kept.join(nodes.select("node"), "node", "left_semi"), "candidates")
+        nodes = staged(going.groupBy(F.col("next").alias("node")).agg(F.first(F.array_append("guessed", F.col("guess"))).alias("guessed"), F.first(F.col("candidates").cast("long")).alias("n")), "nodes")
+        players = staged(going.select("page_id", F.col("next").alias("node"), "need"), "players")
+        candidates = staged(kept.join(nodes.select("node"), "node", "left_semi"), "candidates")
         if players.isEmpty():
             break
     played = rows.withColumnRenamed("page_id", "_page")

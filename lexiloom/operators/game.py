@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
+from lexiloom.operators.stage import staged
 
 SEMANTIC_THRESHOLD = 0.34
 # Fixed values of the reward.
@@ -19,14 +20,20 @@ REPEATED, INVALID, NON_WORD, NO_INFORMATION, STEP, SOLVED, SEMANTIC_WEIGHT, NEAR
 BLOCK = "█"
 
 
-def page_tokens(pages: DataFrame, game_id: str = "page_id") -> DataFrame:
-    """Tokens of the title, one separator, tokens of the intro."""
+def page_tokens(pages: DataFrame, game_id: str = "page_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Tokens of the title, one separator, tokens of the intro; columns of the page that are named in `carry` stay.
+
+    Pages are dealt out by game before they are cut, so what is counted by game
+    later needs no shuffle of tokens.
+    """
     title, intro = T.token_texts(F.col("title")), T.token_texts(F.col("intro"))
     whole = F.concat(title, F.array(F.lit("\n\n")), intro)
-    rows = pages.select(F.col(game_id).alias("game_id"), F.size(title).alias("_n"), F.posexplode(whole).alias("idx", "text"))
-    norm = T.normalize_word(F.col("text"))
-    rows = rows.withColumn("norm", F.when(T.is_word(norm), norm).otherwise(""))
-    return rows.select("game_id", "idx", "text", (F.col("norm") != "").alias("is_word"), "norm", T.canonical_of_normal(F.col("norm")).alias("canon"), (F.col("idx") < F.col("_n")).alias("in_title"))
+    rows = pages.select(F.col(game_id).alias("game_id"), "title", "intro", *carry)
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "game_id")  # a number of its own: bytes tell little of what the tokens cost
+    rows = rows.select("game_id", *carry, F.size(title).alias("_n"), whole.alias("_t"))
+    rows = rows.select("game_id", *carry, "_n", F.posexplode("_t").alias("idx", "text")).withColumn("norm", T.normalize_word(F.col("text")))
+    rows = rows.withColumn("norm", F.when(T.is_word(F.col("norm")), F.col("norm")).otherwise(""))
+    return rows.select("game_id", "idx", "text", (F.col("norm") != "").alias("is_word"), "norm", T.canonical_of_normal(F.col("norm")).alias("canon"), (F.col("idx") < F.col("_n")).alias("in_title"), *carry)
 
 
 def prepared_guesses(guesses: DataFrame) -> DataFrame:
@@ -37,15 +44,26 @@ def prepared_guesses(guesses: DataFrame) -> DataFrame:
 def reveals(tokens: DataFrame, guesses: DataFrame, by_canon: bool = True) -> DataFrame:
     """tokens with reveal_turn (null: never). by_canon: a guess matches a token whose canonical or normal form is the guess's canonical form; else the normal forms must be equal."""
     g = prepared_guesses(guesses)
-    words = tokens.where("is_word")
     if by_canon:
-        form = words.select("game_id", "idx", F.explode(F.array_distinct(F.array("canon", "norm"))).alias("_f"))
         first = g.groupBy("game_id", F.col("canon_guess").alias("_f")).agg(F.min("turn").alias("t"))
-    else:
-        form = words.select("game_id", "idx", F.col("norm").alias("_f"))
-        first = g.groupBy("game_id", F.col("norm_guess").alias("_f")).agg(F.min("turn").alias("t"))
-    found = form.join(first, ["game_id", "_f"]).groupBy("game_id", "idx").agg(F.min("t").alias("reveal_turn"))
-    return tokens.join(found, ["game_id", "idx"], "left")
+        forms = tokens.where("is_word").select("game_id", "norm", "canon").distinct()
+        either = forms.select("game_id", "norm", "canon", F.explode(F.array_distinct(F.array("canon", "norm"))).alias("_f"))
+        found = either.join(first, ["game_id", "_f"]).groupBy("game_id", "norm", "canon").agg(F.min("t").alias("reveal_turn"))
+        return tokens.join(found, ["game_id", "norm", "canon"], "left").select(*tokens.columns, "reveal_turn")
+    first = g.where("norm_guess <> ''").groupBy("game_id", F.col("norm_guess").alias("norm")).agg(F.min("turn").alias("reveal_turn"))
+    return tokens.join(first, ["game_id", "norm"], "left").select(*tokens.columns, "reveal_turn")
+
+
+def revealed_pages(pages: DataFrame, guesses: DataFrame, by_canon: bool = True, game_id: str = "page_id") -> DataFrame:
+    """reveals() of whole pages: a game's guesses travel to its page as a map, so tokens are never shuffled."""
+    form = "canon_guess" if by_canon else "norm_guess"
+    first = prepared_guesses(guesses).where(F.col(form) != "").groupBy("game_id", F.col(form).alias("f")).agg(F.min("turn").alias("t"))
+    turns = first.groupBy(F.col("game_id").alias("_game")).agg(F.map_from_entries(F.collect_list(F.struct("f", "t"))).alias("_turns"))
+    told = pages.join(turns, F.col(game_id) == F.col("_game"), "left")
+    tokens = page_tokens(told, game_id, ("_turns",))
+    at = F.try_element_at("_turns", F.col("norm"))
+    turn = F.least(F.try_element_at("_turns", F.col("canon")), at) if by_canon else at
+    return tokens.withColumn("reveal_turn", F.when(F.col("is_word"), turn)).drop("_turns")
 
 
 def solved_at(revealed: DataFrame) -> DataFrame:
@@ -85,42 +103,59 @@ def information(canon: Column, idf: Column) -> Column:
     return F.when(again.isin(*T.STOPWORDS) | (F.length(again) < 3), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(8.0), F.coalesce(idf, F.lit(1.0)))))
 
 
-def guess_rewards(tokens: DataFrame, guesses: DataFrame, idf: DataFrame, similarity: DataFrame, real_words: DataFrame | None = None, scale: float = 1.0) -> DataFrame:
+def page_profile(tokens: DataFrame) -> DataFrame:
+    """game_id, norm, canon, n_title, n_body: a page's distinct words. What a guess earns depends on nothing else."""
+    t = F.col("in_title").cast("long")
+    return tokens.where("is_word").groupBy("game_id", "norm", "canon").agg(F.sum(t).alias("n_title"), F.sum(1 - t).alias("n_body"))
+
+
+def guess_rewards(
+    tokens: DataFrame, guesses: DataFrame, idf: DataFrame, similarity: DataFrame, real_words: DataFrame | None = None, background: DataFrame | None = None, scale: float = 1.0
+) -> DataFrame:
     """The reward of every guess of every game, all at once: game_id, turn, guess, reward, exact, semantic, title, solved, invalid.
 
     idf(word, idf); similarity(l, r, sim), without equal words; real_words(word):
-    what counts as a word besides the page's own (None: everything).
+    what counts as a word besides the page's own (None: everything);
+    background(word, bg): how near a word is to any page, taken from its similarities.
+    Every guess reveals its tokens to the turns after it, an invalid one too; only
+    valid, new and real ones earn.
     """
+    words = staged(page_profile(tokens), "profile")
     g = prepared_guesses(guesses).select("game_id", "turn", F.col("norm_guess").alias("guess"), "canon_guess")
     earlier = Window.partitionBy("game_id", "guess").orderBy("turn")
     g = g.withColumn("repeated", F.row_number().over(earlier) > 1).withColumn("valid", T.is_valid_guess(F.col("guess")))
     if real_words is None:
         g = g.withColumn("real", F.lit(True))
     else:
-        own = tokens.where("is_word").select("game_id", F.col("norm").alias("guess")).union(tokens.where("is_word").select("game_id", F.col("canon").alias("guess"))).distinct().withColumn("_own", F.lit(True))
+        own = words.select("game_id", F.col("norm").alias("guess")).distinct().withColumn("_own", F.lit(True))
         known = real_words.select(F.col("word").alias("guess")).distinct().withColumn("_known", F.lit(True))
         g = g.join(own, ["game_id", "guess"], "left").join(known, "guess", "left").withColumn("real", F.coalesce("_own", "_known", F.lit(False))).drop("_own", "_known")
-    # Guesses that count reveal tokens; invalid and repeated ones change nothing.
+    if background is None:
+        g = g.withColumn("bg", F.lit(0.0))
+    else:
+        g = g.join(background.groupBy(F.col("word").alias("canon_guess")).agg(F.max("bg").cast("double").alias("bg")), "canon_guess", "left").fillna(0.0, ["bg"])
+    g = staged(g, "guesses")
     live = g.where("valid and not repeated and real")
-    first = live.select("game_id", F.col("guess").alias("norm"), F.col("turn").alias("t"))
-    words = tokens.where("is_word").select("game_id", "idx", "norm", "canon", "in_title")
+    first = g.where("guess <> ''").groupBy("game_id", F.col("guess").alias("norm")).agg(F.min("turn").alias("t"))
     infos = words.select("canon").distinct().join(idf.withColumnRenamed("word", "canon"), "canon", "left").select("canon", information(F.col("canon"), F.col("idf")).alias("info"))
-    shown = words.join(infos, "canon").join(first, ["game_id", "norm"], "left")
+    shown = staged(words.join(infos, "canon").join(first, ["game_id", "norm"], "left"), "shown")
+    n = F.col("n_title") + F.col("n_body")
     hits = shown.where("t is not null").groupBy("game_id", F.col("t").alias("turn")).agg(
-        F.count("*").alias("exact"), F.sum("info").alias("exact_info"), F.sum(F.when(F.col("in_title"), F.col("info")).otherwise(0.0)).alias("title_info"), F.sum(F.col("in_title").cast("long")).alias("title"))
-    near = live.select("game_id", "turn", F.col("canon_guess").alias("l")).join(similarity, "l").select("game_id", "turn", F.col("r").alias("canon"), "sim")
+        F.sum(n).alias("exact"), F.sum(F.col("info") * n).alias("exact_info"), F.sum(F.col("info") * F.col("n_title")).alias("title_info"), F.sum("n_title").alias("title"))
+    near = live.select("game_id", "turn", F.col("canon_guess").alias("l"), "bg").join(similarity, "l").select("game_id", "turn", F.col("r").alias("canon"), "sim", "bg")
     # Hidden words with the guess's own canonical form (and another normal form) are as similar as can be.
-    same = live.select("game_id", "turn", F.col("canon_guess").alias("canon"), F.lit(1.0).alias("sim"))
-    close = near.where(F.col("sim") > 0).union(same).groupBy("game_id", "turn", "canon").agg(F.max("sim").alias("c"))
+    same = live.select("game_id", "turn", F.col("canon_guess").alias("canon"), F.lit(1.0).alias("sim"), "bg")
+    close = near.where(F.col("sim") > 0).union(same).groupBy("game_id", "turn", "canon").agg(F.max("sim").alias("s"), F.max("bg").alias("bg"))
+    close = close.withColumn("c", F.greatest(F.lit(0.0), F.col("s") - F.col("bg")))
     hidden = close.join(shown, ["game_id", "canon"]).where(F.col("t").isNull() | (F.col("t") > F.col("turn")))
-    body = ~F.col("in_title") & (F.col("c") >= SEMANTIC_THRESHOLD)
+    body = F.when(F.col("c") >= SEMANTIC_THRESHOLD, F.col("n_body")).otherwise(0)
     soft = hidden.groupBy("game_id", "turn").agg(
-        F.sum(F.when(F.col("in_title"), F.col("info") * F.col("c")).otherwise(0.0)).alias("title_sem"), F.sum(F.when(body, F.col("info") * F.col("c")).otherwise(0.0)).alias("sem"),
-        F.sum(body.cast("long")).alias("semantic"), F.max(F.when(F.col("in_title"), F.col("c"))).alias("nearest"))
-    title = shown.where("in_title").groupBy("game_id").agg(F.count("*").alias("n_title"), F.count("t").alias("k_title"), F.max("t").alias("last_title"))
-    row = g.join(hits, ["game_id", "turn"], "left").join(soft, ["game_id", "turn"], "left").join(title, "game_id", "left")
-    row = row.fillna(0, ["exact", "exact_info", "title_info", "title", "title_sem", "sem", "semantic", "nearest", "n_title", "k_title"])
-    solved = F.coalesce((F.col("n_title") > 0) & (F.col("n_title") == F.col("k_title")) & (F.col("turn") == F.col("last_title")), F.lit(False))
+        F.sum(F.col("info") * F.col("c") * F.col("n_title")).alias("title_sem"), F.sum(F.col("info") * F.col("c") * body).alias("sem"),
+        F.sum(body).alias("semantic"), F.max(F.when(F.col("n_title") > 0, F.col("s"))).alias("nearest"))
+    titles = shown.where("n_title > 0").groupBy("game_id").agg(F.count("*").alias("n_words"), F.count("t").alias("k_words"), F.max("t").alias("last_title"))
+    row = g.join(hits, ["game_id", "turn"], "left").join(soft, ["game_id", "turn"], "left").join(titles, "game_id", "left")
+    row = row.fillna(0, ["exact", "exact_info", "title_info", "title", "title_sem", "sem", "semantic", "nearest", "n_words", "k_words"])
+    solved = F.coalesce((F.col("n_words") > 0) & (F.col("n_words") == F.col("k_words")) & (F.col("turn") == F.col("last_title")), F.lit(False))
     base = (
         F.lit(STEP) + 0.8 * F.least(F.lit(40.0), "exact_info") + SEMANTIC_WEIGHT * F.least(F.lit(80.0), "sem") + 3 * F.least(F.lit(7.0), "title_sem")
         + 25 * F.least(F.lit(30.0), "title_info") + 200 * F.least(F.lit(4), "title")
@@ -134,6 +169,35 @@ def guess_rewards(tokens: DataFrame, guesses: DataFrame, idf: DataFrame, similar
     return row.select("game_id", "turn", "guess", reward.alias("reward"), *[F.when(counts, F.col(c)).otherwise(0).cast("long").alias(c) for c in ("exact", "semantic", "title")], (solved & counts).alias("solved"), (~counts).alias("invalid"))
 
 
+def feedback_steps(tokens: DataFrame, guesses: DataFrame, idf: DataFrame, similarity: DataFrame, real_words: DataFrame | None = None) -> DataFrame:
+    """What a player is told after every guess: guess, score, exact, semantic, title, reward, solved, invalid, repeated. A repeated guess isn't called invalid."""
+    told = guess_rewards(tokens, guesses, idf, similarity, real_words).join(display_score(tokens, guesses, similarity), ["game_id", "turn"])
+    seen = F.row_number().over(Window.partitionBy("game_id", "guess").orderBy("turn")) > 1
+    told = told.withColumn("repeated", seen)
+    return told.select("game_id", "turn", "guess", "score", "exact", "semantic", "title", "reward", "solved", (F.col("invalid") & ~F.col("repeated")).alias("invalid"), "repeated")
+
+
+def completion_rewards(tokens: DataFrame, histories: DataFrame, completions: DataFrame, idf: DataFrame, similarity: DataFrame, real_words: DataFrame | None = None, scale: float = 1.0) -> DataFrame:
+    """The reward of the guess in a model's completion(game_id, completion) after the guesses of histories(game_id, turn, guess)."""
+    after = histories.groupBy("game_id").agg(F.max("turn").alias("n"))
+    said = completions.join(after, "game_id", "left").select("game_id", (F.coalesce("n", F.lit(0)) + 1).alias("turn"), T.extract_guess(F.col("completion")).alias("guess"))
+    every = histories.select("game_id", "turn", "guess").union(said)
+    return guess_rewards(tokens, every, idf, similarity, real_words, scale=scale).join(said.select("game_id", "turn"), ["game_id", "turn"], "left_semi")
+
+
+def shaped_rewards(tokens: DataFrame, guesses: DataFrame, idf: DataFrame, similarity: DataFrame, weight: float) -> DataFrame:
+    """guess_rewards with `shaped`: the reward and `weight` times the guess's greatest similarity to a title word still hidden before it, by normal forms; none for guesses that don't count."""
+    scored = guess_rewards(tokens, guesses, idf, similarity)
+    shown = scored.where("guess <> ''").groupBy("game_id", F.col("guess").alias("norm")).agg(F.min("turn").alias("t"))
+    titles = tokens.where("is_word and in_title").select("game_id", "norm").distinct().join(shown, ["game_id", "norm"], "left")
+    live = scored.where("not invalid").select("game_id", "turn", "guess")
+    near = live.join(similarity.withColumnsRenamed({"l": "guess", "r": "norm"}), "guess").select("game_id", "turn", "norm", "sim")
+    near = near.union(live.select("game_id", "turn", F.col("guess").alias("norm"), F.lit(1.0).alias("sim")))
+    hidden = near.join(titles, ["game_id", "norm"]).where(F.col("t").isNull() | (F.col("t") >= F.col("turn")))
+    best = hidden.groupBy("game_id", "turn").agg(F.max("sim").alias("best"))
+    return scored.join(best, ["game_id", "turn"], "left").withColumn("shaped", F.col("reward") + weight * F.greatest(F.lit(0.0), F.coalesce("best", F.lit(0.0)))).drop("best")
+
+
 # --- renderings: per game at the end of a turn --------------------------------------------------------------------
 def masked_text(revealed: DataFrame, turn: Column | int = 1 << 30) -> DataFrame:
     """game_id, text: hidden words as blocks of their length."""
@@ -158,6 +222,21 @@ def compact_text(revealed: DataFrame, turn: Column | int = 1 << 30, most: int =
     return text.select("game_id", F.when(F.length("t") <= most, F.trim("t")).otherwise(cut).alias("text"))
 
 
+def full_text(revealed: DataFrame, turn: Column | int = 1 << 30) -> DataFrame:
+    """game_id, text: the title's line, with hidden words as ?(length), then the body, with hidden words as _(length)."""
+    shown = F.coalesce(~F.col("is_word") | (F.col("reveal_turn") <= turn), F.lit(False))
+    part = F.when(shown, F.col("text")).otherwise(F.concat(F.when(F.col("in_title"), F.lit("?(")).otherwise(F.lit("_(")), F.length("text").cast("string"), F.lit(")")))
+    parts = revealed.where("text <> '\n\n'").select("game_id", "in_title", "idx", part.alias("p"))
+    ordered = F.array_sort(F.collect_list(F.struct("idx", "p", "in_title")))
+    whole = parts.groupBy("game_id").agg(ordered.alias("o"))
+
+    def line(of_title: bool) -> Column:
+        kept = F.filter("o", lambda s: s["in_title"] == F.lit(of_title))
+        return T.strip(F.regexp_replace(F.array_join(F.transform(kept, lambda s: s["p"]), ""), "[ \t]+", " "))
+
+    return whole.select("game_id", F.concat(F.lit("TITRE: "), line(True), F.lit("\n\n"), line(False)).alias("text"))
+
+
 # --- closed-set solver ------------------------------------------------------------------------------------------------
 def candidates(page_words: DataFrame, present: list[str], absent: list[str]) -> DataFrame:
     """Pages (page_id) with all of `present` and none of `absent`; all pages if no page fits. page_words: page_id, word (distinct)."""
@@ -172,19 +251,20 @@ def candidates(page_words: DataFrame, present: list[str], absent: list[str]) ->
 
 
 def candidate_ranking(pages: DataFrame, page_words: DataFrame, title_words: DataFrame, idf: DataFrame, present: list[str]) -> DataFrame:
-    """page_id, score: IDF of the present words in the page, 2.5 times those in its title, less a hundredth of its words."""
-    know = idf.where(F.col("word").isin(present))
+    """page_id, score: IDF (1 if unknown) of the present words in the page, 2.5 times those in its title, less a hundredth of its words."""
+    asked = page_words.sparkSession.createDataFrame([(w,) for w in sorted(set(present))], "word string")
+    know = F.broadcast(asked.join(idf, "word", "left").select("word", F.coalesce("idf", F.lit(1.0)).alias("idf")))  # the guesses of one game
     body = page_words.join(know, "word", "left").groupBy("page_id").agg(F.sum(F.coalesce("idf", F.lit(0.0))).alias("b"), F.count("*").alias("n"))
     head = title_words.join(know, "word").groupBy("page_id").agg(F.sum("idf").alias("h"))
     return pages.select("page_id").join(body, "page_id", "left").join(head, "page_id", "left").select("page_id", (F.coalesce("b", F.lit(0.0)) + 2.5 * F.coalesce("h", F.lit(0.0)) - 0.01 * F.coalesce("n", F.lit(0))).alias("score"))
 
 
 def information_words(page_words: DataFrame, title_words: DataFrame, idf: DataFrame, n: int = 50) -> DataFrame:
-    """word, score: how well a word splits the candidate pages: p(1-p) + 0.18 p idf + 0.8 share of titles."""
+    """word, score: how well a word of three letters or more, no number, splits the candidate pages: p(1-p) + 0.18 p idf (1 if unknown) + 0.8 share of titles."""
     total = F.broadcast(page_words.agg(F.greatest(F.countDistinct("page_id"), F.lit(1)).alias("total")))
-    counts = page_words.groupBy("word").agg(F.count("*").alias("c"))
+    counts = page_words.where((F.length("word") >= 3) & ~F.col("word").rlike(r"^\p{Nd}+$")).groupBy("word").agg(F.count("*").alias("c"))
     titles = title_words.groupBy("word").agg(F.count("*").alias("t"))
     p = F.col("c") / F.col("total")
-    score = p * (1 - p) + 0.18 * p * F.coalesce("idf", F.lit(0.0)) + 0.8 * F.coalesce("t", F.lit(0)) / F.col("total")
-    found = counts.join(titles, "word", "left").join(idf.select("word", "idf"), "word", "left").crossJoin(total)
+    score = p * (1 - p) + 0.18 * p * F.coalesce("idf", F.lit(1.0)) + 0.8 * F.coalesce("t", F.lit(0)) / F.col("total")
+    found = counts.join(titles, "word", "left").join(idf.select("word", "idf"), "word", "left").crossJoin(total)  # one row
     return found.select("word", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "word").limit(n)

@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
+from lexiloom.operators.stage import spread
 
 MAX_VOCABULARY, MAX_NEIGHBOURS, PAIR_WORDS = 5000, 25, 250
 
 
 def page_words(pages: DataFrame, page_id: str, text: str) -> DataFrame:
     """page_id, pos, word: the content words of a page, once each."""
-    return pages.select(F.col(page_id).alias("page_id"), F.posexplode(T.content_words(F.col(text))).alias("pos", "word"))
+    return spread(pages.select(page_id, text)).select(F.col(page_id).alias("page_id"), F.posexplode(T.content_words(F.col(text))).alias("pos", "word"))
+
+
+def canonical_counts(parts: DataFrame) -> DataFrame:
+    """canon, n of all tokens (part). Equal tokens are counted first, so a form is worked out once, not at every place."""
+    counts = parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("norm", T.normalize_word(F.col("part")))
+    forms = counts.where(T.is_word(F.col("norm"))).select(T.canonical_of_normal(F.col("norm")).alias("canon"), "n")
+    return forms.where("canon <> ''").groupBy("canon").agg(F.sum("n").alias("n"))
 
 
 def document_frequency(words: DataFrame) -> DataFrame:
@@ -64,7 +72,7 @@ def starter_words(vocab_idf: DataFrame, most: int = 200) -> DataFrame:
 def action_priors(pages: DataFrame) -> DataFrame:
     """word, prior: 4 p(1-p) + 1.2 share of titles + 1 for theme words; theme words that no page has get 0.5. pages: page_id, title, intro."""
     n = F.broadcast(pages.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_pages")))
-    full = pages.select("page_id", F.explode(T.content_words(F.concat("title", F.lit("\n\n"), "intro"))).alias("word"))
+    full = spread(pages.select("page_id", "title", "intro")).select("page_id", F.explode(T.content_words(F.concat("title", F.lit("\n\n"), "intro"))).alias("word"))
     titles = pages.select("page_id", F.explode(T.word_set(F.col("title"))).alias("word")).groupBy("word").agg(F.count("*").alias("tf"))
     good = (F.length("word") >= 3) & ~F.col("word").rlike(r"^\p{Nd}+$") & ~F.col("word").isin(*T.STOPWORDS)
     found = document_frequency(full).where(good).join(titles, "word", "left").crossJoin(n)  # one row

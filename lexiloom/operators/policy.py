@@ -38,8 +38,8 @@ def reward_ema(df: DataFrame, key: str, order: list[str], reward: str, alpha: fl
 
 
 def curriculum_weight(ema: Column, low: float = -80.0, high: float = 20.0, weight: float = 4.0) -> Column:
-    """Games in the window of reachable rewards are drawn `weight` times as often; unknown ones too."""
-    return F.when(ema.isNull() | ema.between(low, high), F.lit(weight)).otherwise(F.lit(1.0))
+    """Games in the window of reachable rewards are drawn `weight` times as often as others and unknown ones."""
+    return F.when(ema.between(low, high), F.lit(weight)).otherwise(F.lit(1.0))
 
 
 def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int) -> DataFrame:

@@ -22,7 +22,8 @@ def _pages(spark, sf):
 
 
 def _guesses(pages):
-    w = F.regexp_extract_all("intro", F.lit(r"[^\s]+"), F.lit(0))
+    pages = pages.select("page_id", T.first_words(F.col("intro"), 3).alias("w"))
+    w = F.col("w")
     given = F.array(F.get(w, F.lit(2)), F.lit("that"), F.get(w, F.lit(0)), F.lit("Histoire"), F.get(w, F.lit(0)), F.get(w, F.lit(1)))
     rows = pages.select(F.col("page_id").alias("game_id"), F.posexplode(given).alias("i", "guess"))
     return rows.where("guess is not null").select("game_id", (F.col("i") + 1).alias("turn"), "guess")
@@ -30,11 +31,11 @@ def _guesses(pages):
 
 def _idf(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
-    return L.smoothed_idf(L.vocabulary(L.page_words(docs, "doc_id", "text"), 500), docs.count())
+    return L.smoothed_idf(L.vocabulary(L.page_words(docs, "doc_id", "text")), docs.count())
 
 
 def _similarity(spark, sf):
-    """A stand-in for a trained model: among the 500 most frequent words, those that share three letters are alike."""
+    """A stand-in for a trained model: among the most frequent words, those that share three letters are alike."""
     v = _idf(spark, sf).select("word")
     l, r = v.select(F.col("word").alias("l"), F.substring("word", 1, 3).alias("k")), v.select(F.col("word").alias("r"), F.substring("word", 1, 3).alias("k"))
     return l.join(r, "k").where("l <> r").select("l", "r", F.when(F.length("l") == F.length("r"), 0.6).otherwise(0.4).alias("sim"))
@@ -42,25 +43,25 @@ def _similarity(spark, sf):
 
 def game_reveals(spark, sf):
     pages = _pages(spark, sf)
-    found = G.reveals(G.page_tokens(pages), _guesses(pages)).where("reveal_turn is not null")
+    found = G.revealed_pages(pages, _guesses(pages)).where("reveal_turn is not null")
     return found.groupBy("game_id", "reveal_turn").agg(F.count("*").alias("n"), F.sum("idx").cast("long").alias("idx_sum"))
 
 
 def game_reveals_by_form(spark, sf):
     pages = _pages(spark, sf)
-    found = G.reveals(G.page_tokens(pages), _guesses(pages), by_canon=False).where("reveal_turn is not null")
+    found = G.revealed_pages(pages, _guesses(pages), by_canon=False).where("reveal_turn is not null")
     return found.groupBy("game_id", "reveal_turn").agg(F.count("*").alias("n"), F.sum("idx").cast("long").alias("idx_sum"))
 
 
 def game_solved(spark, sf):
     pages = _pages(spark, sf)
-    return G.solved_at(G.reveals(G.page_tokens(pages), _guesses(pages)))
+    return G.solved_at(G.revealed_pages(pages, _guesses(pages)))
 
 
 def semantic_hits(spark, sf):
     pages = _pages(spark, sf)
     guesses = _guesses(pages)
-    found = G.semantic_hits(G.reveals(G.page_tokens(pages), guesses), guesses, _similarity(spark, sf))
+    found = G.semantic_hits(G.revealed_pages(pages, guesses), guesses, _similarity(spark, sf))
     return found.groupBy("game_id", "turn").agg(F.count("*").alias("n"), F.sum("percent").cast("long").alias("percents"), F.sum("idx").cast("long").alias("idx_sum"))
 
 
@@ -76,13 +77,13 @@ def guess_reward(spark, sf):
 
 def masked_text(spark, sf):
     pages = _pages(spark, sf)
-    shown = G.masked_text(G.reveals(G.page_tokens(pages), _guesses(pages)))
+    shown = G.masked_text(G.revealed_pages(pages, _guesses(pages)))
     return shown.select("game_id", F.md5("text").alias("text_md5"))
 
 
 def compact_text(spark, sf):
     pages = _pages(spark, sf)
-    return G.compact_text(G.reveals(G.page_tokens(pages), _guesses(pages)))
+    return G.compact_text(G.revealed_pages(pages, _guesses(pages)))
 
 
 def extract_guess(spark, sf):
@@ -93,7 +94,7 @@ def extract_guess(spark, sf):
 
 def valid_guess(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet").where("text is not null")
-    words = c.select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0))).alias("w"))
+    words = c.select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit(T.NONBLANK), F.lit(0))).alias("w"))
     guess = T.normalize_word(F.col("w"))
     return words.groupBy("conv_id", "turn").agg(F.sum(T.is_valid_guess(guess).cast("long")).alias("n_valid"), F.count("*").alias("n"))
 
@@ -161,7 +162,7 @@ gu AS (SELECT *, {S.canon("ng")} AS cg FROM g2),
 rv AS (SELECT tk.*, r.t AS reveal_turn FROM tk LEFT JOIN (SELECT tk.game_id, idx, min(turn) AS t FROM tk JOIN gu ON tk.game_id = gu.game_id AND (tk.canon = cg OR tk.norm = cg) WHERE is_word GROUP BY ALL) r ON tk.game_id = r.game_id AND tk.idx = r.idx)
 """
 _MODEL = f"""{S.TOKENS},
-vc AS (SELECT word, ln((1.0 + (SELECT count(*) FROM documents WHERE text IS NOT NULL)) / (1.0 + count(*))) + 1 AS idf, count(*) AS df FROM content GROUP BY word ORDER BY df DESC, word LIMIT 500),
+vc AS (SELECT word, ln((1.0 + (SELECT count(*) FROM documents WHERE text IS NOT NULL)) / (1.0 + count(*))) + 1 AS idf, count(*) AS df FROM content GROUP BY word ORDER BY df DESC, word LIMIT 5000),
 sm AS (SELECT a.word AS l, b.word AS r, CASE WHEN length(a.word) = length(b.word) THEN 0.6 ELSE 0.4 END::DOUBLE AS sim FROM vc a JOIN vc b ON left(a.word, 3) = left(b.word, 3) AND a.word <> b.word)"""
 _AGAIN = S.canon("norm2")
 _REWARD = rf"""WITH {_GAME}, {_MODEL},
@@ -170,7 +171,8 @@ lv AS (SELECT * FROM gv WHERE valid AND NOT repeated),
 ca AS (SELECT DISTINCT canon, {S.norm("canon")} AS norm2 FROM tk WHERE is_word),
 cb AS (SELECT canon, {_AGAIN} AS again FROM ca),
 inf AS (SELECT canon, CASE WHEN again IN ({S.STOP}) OR length(again) < 3 THEN 0.0::DOUBLE ELSE greatest(0, least(8, coalesce(idf, 1.0))) END AS info FROM cb LEFT JOIN vc ON vc.word = cb.canon),
-sh AS (SELECT tk.game_id, idx, tk.canon, in_title, info, lv.turn AS t FROM tk JOIN inf ON tk.canon = inf.canon LEFT JOIN lv ON lv.game_id = tk.game_id AND lv.guess = tk.norm WHERE is_word),
+fi AS (SELECT game_id, ng, min(turn) AS turn FROM gu WHERE ng <> '' GROUP BY ALL),
+sh AS (SELECT tk.game_id, idx, tk.canon, in_title, info, fi.turn AS t FROM tk JOIN inf ON tk.canon = inf.canon LEFT JOIN fi ON fi.game_id = tk.game_id AND fi.ng = tk.norm WHERE is_word),
 hi AS (SELECT game_id, t AS turn, count(*) AS exact, sum(info) AS ei, sum(CASE WHEN in_title THEN info ELSE 0 END) AS ti, sum(in_title::INT)::BIGINT AS title FROM sh WHERE t IS NOT NULL GROUP BY ALL),
 cl AS (SELECT game_id, turn, canon, max(c) AS c FROM (SELECT game_id, turn, r AS canon, sim AS c FROM lv JOIN sm ON l = cg UNION ALL SELECT game_id, turn, cg, 1.0 FROM lv) GROUP BY ALL),
 so AS (SELECT cl.game_id, cl.turn, sum(CASE WHEN in_title THEN info * c ELSE 0 END) AS ts, sum(CASE WHEN NOT in_title AND c >= 0.34 THEN info * c ELSE 0 END) AS sem, sum((NOT in_title AND c >= 0.34)::INT)::BIGINT AS semantic, max(CASE WHEN in_title THEN c END) AS nearest FROM cl JOIN sh ON cl.game_id = sh.game_id AND cl.canon = sh.canon WHERE t IS NULL OR t > cl.turn GROUP BY ALL),
@@ -200,6 +202,7 @@ ORACLES = {
     "real_word_filter": rf"WITH {S.TOKENS}, v AS (SELECT word, count(*) AS df FROM content GROUP BY word ORDER BY df DESC, word LIMIT 5000), c1 AS (SELECT conv_id, turn, {S.norm('x')} AS norm FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, {_TOK})) AS x FROM conversations)), c2 AS (SELECT DISTINCT conv_id, turn, {S.canon('norm')} AS word FROM c1 WHERE regexp_matches(norm, '[\p{{L}}\p{{N}}]')) SELECT word, count(*) AS n FROM c2 SEMI JOIN v USING (word) WHERE length(word) >= 3 GROUP BY word",
     "candidate_filter": f"WITH {_PART}, f AS (SELECT page_id FROM body JOIN dfs USING (word) WHERE k = 1 EXCEPT SELECT page_id FROM body JOIN dfs USING (word) WHERE k = 5) SELECT page_id FROM f UNION ALL SELECT DISTINCT page_id FROM body WHERE (SELECT count(*) FROM f) = 0",
     "candidate_rank": f"WITH {_PART}, b AS (SELECT page_id, sum(CASE WHEN k = 1 THEN idf ELSE 0 END) AS b, count(*) AS n FROM body JOIN idf USING (word) GROUP BY page_id), h AS (SELECT page_id, sum(idf) AS h FROM head JOIN idf USING (word) WHERE k = 1 GROUP BY page_id) SELECT page_id, round(b + 2.5 * coalesce(h, 0) - 0.01 * n, 6) AS score FROM b LEFT JOIN h USING (page_id)",
-    "information_words": f"WITH {_PART}, n AS (SELECT count(DISTINCT page_id) AS n FROM body), t AS (SELECT word, count(*) AS t FROM head GROUP BY word) SELECT word, round((df / n) * (1 - df / n) + 0.18 * (df / n) * idf + 0.8 * coalesce(t, 0) / n, 6) AS score FROM idf LEFT JOIN t USING (word), n ORDER BY score DESC, word LIMIT 30",
+    "information_words": rf"WITH {_PART}, n AS (SELECT count(DISTINCT page_id) AS n FROM body), t AS (SELECT word, count(*) AS t FROM head GROUP BY word) SELECT word, round((df / n) * (1 - df / n) + 0.18 * (df / n) * idf + 0.8 * coalesce(t, 0) / n, 6) AS score FROM idf LEFT JOIN t USING (word), n WHERE length(word) >= 3 AND NOT regexp_matches(word, '^\p{{Nd}}+$') ORDER BY score DESC, word LIMIT 30",
     "extract_guess": rf"WITH s AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '<think>well' || text WHEN turn % 3 = 1 THEN 'Voici. MOT: ' || text ELSE text END AS c FROM conversations WHERE text IS NOT NULL), p AS (SELECT *, regexp_replace(regexp_replace(c, '(?is)<think>.*?</think>', ' ', 'g'), '(?i)</?think>', ' ', 'g') AS x FROM s), m AS (SELECT *, regexp_extract(x, '(?i)(?:^|\b)(?:MOT|WORD)\s*:\s*([\p{{L}}](?:[\p{{L}}]|[''’-])*)', 1) AS a, regexp_extract(x, '([\p{{L}}](?:[\p{{L}}]|[''’-])*)', 1) AS b FROM p), r AS (SELECT conv_id, turn, CASE WHEN regexp_matches(c, '(?i)<think>') AND NOT regexp_matches(c, '(?i)</think>') THEN '' WHEN a <> '' THEN a ELSE b END AS g FROM m) SELECT conv_id, turn, {S.norm('g')} AS guess FROM r",
 }
+ORACLES = {name: S.spelt(q) for name, q in ORACLES.items()}

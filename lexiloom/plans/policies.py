@@ -15,6 +15,8 @@ from lexiloom.operators import game as G
 from lexiloom.operators import lexical as L
 from lexiloom.operators import policy as P
 
+from lexiloom.plans import sql as S
+
 
 def _steps(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").where("value is not null and user_id is not null")
@@ -169,3 +171,4 @@ ORACLES = {
     "end_marked_completions": "SELECT conv_id, turn, md5(CASE WHEN ends_with(text, '<eos>') THEN text ELSE text || '<eos>' END) AS completion_md5 FROM conversations WHERE text IS NOT NULL",
     "softmax_choice": f"WITH {_S}, r AS (SELECT game_id, turn, guess, row_number() OVER (PARTITION BY game_id ORDER BY reward DESC, turn) AS k FROM s) SELECT game_id, turn, guess FROM r WHERE k = 1",
 }
+ORACLES = {name: S.spelt(q) for name, q in ORACLES.items()}

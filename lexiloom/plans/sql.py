@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.functions.text import BAD_TITLES, CLITICS, RESERVED, STOPWORDS, SUFFIXES, THEME_SEEDS
+from lexiloom.functions.text import BAD_TITLES, BLANK, CLITICS, RESERVED, STOPWORDS, SUFFIXES, THEME_SEEDS
 
 
 def quoted(words: list[str] | tuple[str, ...]) -> str:
@@ -34,3 +34,8 @@ normed AS (SELECT doc_id, idx, part, {norm("part")} AS norm FROM pieces),
 tok AS (SELECT doc_id, idx, part, norm, regexp_matches(norm, '[\p{{L}}\p{{N}}]') AS is_word, {canon("norm")} AS canon FROM normed),
 content AS (SELECT doc_id, canon AS word, min(idx) AS pos FROM tok WHERE is_word AND length(canon) >= 3 GROUP BY ALL)
 """
+
+
+def spelt(sql: str) -> str:
+    """White space spelt out: in RE2 as in Java \\s is ASCII only."""
+    return sql.replace(r"[^\p{L}\p{N}_\s]+|\s+", rf"[^\p{{L}}\p{{N}}_{BLANK}]+|[{BLANK}]+").replace(r"[^\s]+", f"[^{BLANK}]+")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text as T
 from lexiloom.operators import corpus as C
 from lexiloom.operators import lexical as L
+from lexiloom.operators.stage import spread
 from lexiloom.plans import sql as S
 
 
@@ -50,7 +51,7 @@ def word_sets(spark, sf):
 
 def canonical_form_counts(spark, sf):
     docs = _t(spark, sf, "documents").where("text is not null")
-    return docs.select(F.explode(T.canonical_words(F.col("text"))).alias("canon")).groupBy("canon").agg(F.count("*").alias("n"))
+    return L.canonical_counts(spread(docs.select("text")).select(F.explode(T.token_texts(F.col("text"))).alias("part")))
 
 
 def web_norm_words(spark, sf):
@@ -201,13 +202,14 @@ issues_ AS (SELECT page_id, list_filter([
   CASE WHEN len(regexp_extract_all(i, '[^\s]+')) < 40 THEN 'too_short_words' END,
   CASE WHEN regexp_matches(lower(t), '^(liste|listes|chronologie|glossaire)\s+(de|des|du|d''|d’|historique)\b') THEN 'list_or_glossary_title' END,
   CASE WHEN starts_with(i, '*') OR contains(left(i, 500), chr(10) || '*') OR contains(left(i, 500), ': *') OR contains(left(i, 500), ' ; *') THEN 'bullet_disambiguation' END,
-  CASE WHEN regexp_matches(i, '(?i)\best un (sigle|acronyme|abréviation|abreviation)\b') THEN 'sigle_like' END,
-  CASE WHEN regexp_matches(t || chr(10) || i, '(?i)homonymie|peu(ven)?t d[ée]signer|peut faire r[ée]f[ée]rence|d[ée]signe plusieurs|cat[ée]gorie:homonymie') THEN 'homonymy_like' END,
+  CASE WHEN regexp_matches(i, '(?i)\best un sigle\b|\best un acronyme\b|\best une abréviation\b|\best une abreviation\b') THEN 'sigle_like' END,
+  CASE WHEN regexp_matches(t || chr(10) || i, '(?i)homonymie|peut faire référence|peut faire reference|peut désigner|peut designer|peuvent désigner|peuvent designer|désigne plusieurs|designe plusieurs|catégorie:homonymie|categorie:homonymie') THEN 'homonymy_like' END,
   CASE WHEN regexp_matches(i, '(?i)\[\[|\]\]|\{\{|\}\}|<ref\b|thumb\||vignette\||fichier:|file:|image:') THEN 'markup_residue' END,
   CASE WHEN regexp_matches(i, '(?i)\b(cette page|cet article)\s+(présente|presente)\s+(une liste|un glossaire)') THEN 'list_intro' END,
   CASE WHEN contains(lower(i), 'catégorie:') OR contains(lower(i), 'categorie:') THEN 'category_residue' END
-], lambda x: x IS NOT NULL) AS issues, title, intro FROM (SELECT *, trim(title) AS t, trim(intro) AS i FROM pages_))
+], lambda x: x IS NOT NULL) AS issues, title, intro FROM (SELECT *, trim(title, 'BLANKS') AS t, trim(intro, 'BLANKS') AS i FROM pages_))
 """
+_ISSUES = _ISSUES.replace("BLANKS", "".join(chr(i) for i in range(0x3001) if chr(i).isspace()))
 _PAIRS = rf"""
 names AS (SELECT p_partkey AS doc_id, p_name AS text FROM part),
 tokens_ AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]+|\s+')) AS part FROM names),
@@ -262,7 +264,7 @@ ORACLES = {
     "popularity_filter_reasons": rf"WITH {PAGES_SQL}, t AS (SELECT title, sum(length(intro)) AS views FROM pages_ GROUP BY title), k AS (SELECT title, row_number() OVER (ORDER BY views DESC, title) AS rank FROM t WHERE views % 5 <> 0) SELECT CASE WHEN regexp_matches(title, '{S.BAD}') THEN 'bad_title' WHEN length(intro) < 400 THEN 'short' WHEN rank IS NULL THEN 'unranked' WHEN rank > 600 THEN 'rank_too_low' ELSE 'kept' END AS reason, count(*) AS n FROM pages_ LEFT JOIN k USING (title) GROUP BY 1",
     "qid_join": f"SELECT o_custkey AS rank, c_name AS title, 'Q' || o_orderkey AS qid, c_mktsegment FROM orders JOIN customer ON c_name = 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') WHERE o_custkey <= 500 AND NOT regexp_matches(c_name, '{S.BAD}')",
     "popular_titles": "WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id AS pos, event_type || '_' || (user_id % 50) AS title FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY day, pos) AS k FROM d) SELECT title, day, pos FROM r WHERE k = 1 AND NOT contains(title, ':') ORDER BY day, pos, title LIMIT 100",
-    "easy_pages": rf"WITH {PAGES_SQL}, {S.TOKENS}, p2 AS (SELECT page_id, unnest(regexp_extract_all(title, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]+|\s+')) AS part FROM pages_), n2 AS (SELECT page_id, {S.norm('part')} AS norm FROM p2), w2 AS (SELECT DISTINCT page_id, {S.canon('norm')} AS word FROM n2 WHERE regexp_matches(norm, '[\p{{L}}\p{{N}}]')), iw AS (SELECT DISTINCT doc_id AS page_id, canon AS word FROM tok WHERE is_word), j AS (SELECT w2.page_id, count(*) AS n, min(length(w2.word)) AS shortest, count(iw.word) AS found FROM w2 LEFT JOIN iw ON w2.page_id = iw.page_id AND w2.word = iw.word WHERE w2.word <> '' GROUP BY 1) SELECT page_id, title FROM pages_ JOIN j USING (page_id) WHERE n <= 3 AND found = n AND shortest >= 3 AND length(intro) >= 220",
+    "easy_pages": rf"WITH {PAGES_SQL}, {S.TOKENS}, p2 AS (SELECT page_id, unnest(regexp_extract_all(title, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]+|\s+')) AS part FROM pages_), n2 AS (SELECT page_id, {S.norm('part')} AS norm FROM p2), w2 AS (SELECT DISTINCT page_id, {S.canon('norm')} AS word FROM n2 WHERE regexp_matches(norm, '[\p{{L}}\p{{N}}]')), iw AS (SELECT DISTINCT doc_id AS page_id, canon AS word FROM tok WHERE is_word), j AS (SELECT w2.page_id, count(*) AS n, min(length(w2.word)) AS shortest, count(iw.word) AS found FROM w2 LEFT JOIN iw ON w2.page_id = iw.page_id AND w2.word = iw.word WHERE w2.word <> '' GROUP BY 1) SELECT page_id, title FROM pages_ JOIN j USING (page_id) WHERE n <= 2 AND found = n AND shortest >= 3 AND length(intro) >= 240 AND len(regexp_extract_all(intro, '[^\s]+')) >= 45",
     "cooccurrence_pairs": f"WITH {_PAIRS} SELECT l, r, n FROM pairs",
     "neighbors_top25": f"WITH {_NEIGHBOURS} SELECT * FROM top",
     "local_similarity_lookup": f"WITH {_NEIGHBOURS}, q AS (SELECT a.word AS l, b.word AS r FROM vocab a JOIN vocab b ON length(a.word) = length(b.word)) SELECT q.l, q.r, CASE WHEN q.l = q.r THEN 1.0::DOUBLE ELSE coalesce(f.score, g.score, 0.0) END AS sim FROM q LEFT JOIN top f ON f.word = q.l AND f.other = q.r LEFT JOIN top g ON g.word = q.r AND g.other = q.l",
@@ -272,3 +274,4 @@ ORACLES = {
     "title_gates": rf"WITH {PAGES_SQL} SELECT page_id, regexp_matches(title, '{S.BAD}') AS bad, length(title) > 0 AND NOT contains(title, ':') AND title NOT IN ('Accueil', 'Main_Page', '-') AS article, starts_with(lower(title), 'liste de') OR starts_with(lower(title), 'chronologie de') OR regexp_matches(lower(intro), 'peut désigner|peuvent désigner|page d[''’]homonymie') AS excluded FROM pages_",
     "html_markup_clean": r"WITH h AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--(?s:.*?)-->', ' ', 'g'), '<[^>]+>', ' ', 'g') AS x FROM pages WHERE html IS NOT NULL) SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '''''''?', '', 'g'), '\[\[([^|\]]+)\|([^\]]+)\]\]', '\2', 'g'), '\[\[([^\]]+)\]\]', '\1', 'g'), '\[https?://[^\s\]]+\s+([^\]]+)\]', '\1', 'g'), '\[https?://[^\]]+\]', ' ', 'g'), '&nbsp;', ' ', 'g'), '\s+', ' ', 'g'))) AS clean_md5 FROM h",
 }
+ORACLES = {name: S.spelt(q) for name, q in ORACLES.items()}

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import vectors as V
 
+from lexiloom.plans import sql as S
+
 
 def _vectors(spark, sf):
     return spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding is not null").select(F.concat(F.lit("w"), "vec_id").alias("word"), F.col("embedding").alias("vec"), "label")
@@ -142,3 +144,4 @@ ORACLES = {
     "nearest_vector_words": f"WITH {_BASE}, {_NEAR} SELECT l, r, rank::INT AS rank, round(sim, 6) AS sim FROM near",
     "soft_label_distribution": f"WITH {_BASE}, {_NEAR}, e AS (SELECT DISTINCT l, l AS r, 1.0::DOUBLE AS sim FROM near UNION ALL SELECT l, r, sim FROM near), t AS (SELECT l, substr(r, 2)::BIGINT % 31 AS token, max(sim) AS w, max((l = r)::INT) AS own FROM e GROUP BY ALL) SELECT l, token, round((1 - 0.8) * own + 0.8 * w / sum(w) OVER (PARTITION BY l), 6) AS p FROM t",
 }
+ORACLES = {name: S.spelt(q) for name, q in ORACLES.items()}

@@ -43,20 +43,25 @@ def test_solver_ends_solved(spark):
     assert {r.game_id for r in steps if r.solved} == {7, 8}
 
 
-def _solved_alone(words, titles, weights, page, starters, most_steps):
-    left, known, guessed, rows = list(words), set(), [], []
+def _solved_alone(words, titles, weights, page, starters, most_steps, vocabulary):
+    left, known, present, guessed, rows = sorted(words), set(), set(), [], []
+    idf = lambda w: weights.get(w, 1.0)
+    worth = lambda p: sum(idf(w) for w in present & words[p]) + 2.5 * sum(idf(w) for w in present & titles.get(p, set())) - 0.01 * len(words[p])
     for turn in range(1, most_steps + 1):
-        free = [s for s in starters if s not in guessed] if len(left) > 3 else []
-        pool = sorted({w for p in left for w in titles.get(p, ()) if w not in guessed}, key=lambda w: (-weights.get(w, 0.0), w)) if len(left) <= 3 else []
-        count = {w: sum(w in words[p] for p in left) for p in left for w in words[p] if w not in guessed}
-        n = max(1, len(left))
-        split = sorted(count, key=lambda w: (-(count[w] / n * (1 - count[w] / n) + 0.18 * count[w] / n * weights.get(w, 0.0)), w))
-        guess = next(iter([*free[:1], *pool[:1], *split[:1]]), None)
+        ranked = sorted(left, key=lambda p: (-round(worth(p), 9), p))
+        free = [s for s in starters if s not in guessed]
+        named = [w for p in ranked for w in sorted(titles.get(p, ()), key=lambda w: (-idf(w), w)) if w not in guessed] if len(left) <= 3 else []
+        pool = ranked[:250]
+        share = {w: sum(w in words[p] for p in pool) / len(pool) for p in pool for w in words[p] if w not in guessed and len(w) >= 3 and not w.isdigit()}
+        head = lambda w: sum(w in titles.get(p, ()) for p in pool) / len(pool)
+        split = sorted(share, key=lambda w: (-round(share[w] * (1 - share[w]) + 0.18 * share[w] * idf(w) + 0.8 * head(w), 9), w))
+        guess = next(iter([*free[:1], *named[:1], *split[:1], *[w for w in vocabulary if w not in guessed]]), None)
         if guess is None:
             break
         guessed.append(guess)
         hit = guess in words.get(page, ())
         known |= {guess} if hit else set()
+        present |= {guess} if hit else set()
         left = [p for p in left if (guess in words[p]) == hit] or left
         rows.append((turn, guess, len(left), bool(titles.get(page)) and titles[page] <= known))
         if rows[-1][3]:
@@ -72,10 +77,10 @@ def test_solver_equals_games_played_alone(spark):
     games = spark.createDataFrame([(1000 + p, p) for p in words] + [(1, 3), (2, 999), (3, None)], "game_id long, page_id long")
     idf = spark.createDataFrame(list(weights.items()), "word string, idf double")
     got = {}
-    for r in datasets.solve_closed_set(games, table(words), table(titles), idf, ["w1", "zz"], 9).collect():
+    for r in datasets.solve_closed_set(games, table(words), table(titles), idf, ["w1", "zz"], 9, ("w1", "v1", "v2")).collect():
         got.setdefault(r.game_id, []).append((r.turn, r.guess, r.candidates, r.solved))
     for game_id, page in [(1000 + p, p) for p in words] + [(1, 3), (2, 999), (3, None)]:
-        assert sorted(got[game_id]) == _solved_alone(words, titles, weights, page, ["w1", "zz"], 9), game_id
+        assert sorted(got[game_id]) == _solved_alone(words, titles, weights, page, ["w1", "zz"], 9, ("w1", "v1", "v2")), game_id
 
 
 def test_solver_query_plays_every_page(spark):
