@@ -2,18 +2,23 @@
 
 vectors: word, vec (array of float, unit length).  Two paths give the same
 numbers: native array functions, and for large joins blocks of a matrix product
-in Arrow batches (:func:`page_similarities`).
+in Arrow batches, of which only the nearest words of a page word, or a page's
+best, leave a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions import text as T
+from lexiloom.operators.stage import staged
+
 
 def dot(a: Column, b: Column) -> Column:
     """In double precision."""
@@ -56,47 +61,116 @@ def pair_similarity(pairs: DataFrame, vectors: DataFrame, clip: bool = True) ->
     return pairs.join(a, "l", "left").join(b, "r", "left").select("l", "r", sim.alias("sim"))
 
 
-def page_similarities(vectors: DataFrame, page_words: DataFrame) -> DataFrame:
-    """page_id, word, page_word, sim for every vocabulary word against every word with a vector of every page.
+#: Bytes of vocabulary vectors (as float64) that are sent to the tasks at a time.
+BLOCK_BYTES = 64_000_000
+
 
-    page_words(page_id, word). The pages' words are dealt out with their vectors;
-    the vocabulary is read by each task as blocks of a broadcast matrix, whose
-    size is checked, and multiplied block by block.
+def _by_block(vectors: DataFrame, page_words: DataFrame, schema: str, multiply: Callable[[pd.DataFrame, list[str], np.ndarray], pd.DataFrame]) -> list[DataFrame]:
+    """multiply(page words with their vectors, words, matrix) over every block of the vocabulary.
+
+    A block is broadcast, its size bounded by BLOCK_BYTES; a vocabulary of several
+    blocks goes through one after the other, and what a block gives is written
+    before the next one is sent.
     """
     spark = vectors.sparkSession
-    limit = 1_000_000_000
     size = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
+    n_blocks = -(-(size["n"] or 0) * (size["d"] or 0) * 8 // BLOCK_BYTES)
     found = page_words.join(vectors, "word").select("page_id", F.col("word").alias("page_word"), "vec")
-    if (size.n or 0) * (size.d or 0) * 4 > limit:  # beyond it, a native join on blocks of the vocabulary
-        return vectors.crossJoin(found.withColumnRenamed("vec", "_v")).select("page_id", "word", "page_word", dot(F.col("vec"), F.col("_v")).alias("sim"))
-    local = vectors.toPandas()
-    shared = spark.sparkContext.broadcast((local["word"].tolist(), np.array(local["vec"].tolist(), np.float64).reshape(len(local), -1)))
+    out = []
+    for block in range(max(1, n_blocks)):
+        part = vectors if n_blocks <= 1 else vectors.where(F.pmod(F.xxhash64("word"), F.lit(n_blocks)) == block)
+        local = part.select("word", F.col("vec").cast("array<double>").alias("vec")).toArrow()
+        flat = local.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        shared = spark.sparkContext.broadcast((local.column("word").to_pylist(), flat.reshape(local.num_rows, -1)))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            words, matrix = shared.value
+            for batch in batches:
+                for at in range(0, len(batch), 64):
+                    if words:
+                        yield multiply(batch.iloc[at : at + 64], words, matrix)
+
+        made = found.mapInPandas(run, schema)
+        out.append(made if n_blocks <= 1 else staged(made, "similarities"))
+    return out
+
+
+def _matrix(rows: pd.DataFrame) -> np.ndarray:
+    return np.array(rows["vec"].tolist(), np.float64).reshape(len(rows), -1)
+
+
+def nearest_of_page_words(vectors: DataFrame, page_words: DataFrame, k: int) -> DataFrame:
+    """page_id, page_word, word, sim: the k vocabulary words most similar to each word of each page that has a vector (ties by word, 9 digits). Never more than k rows a page word and block leave a task."""
+
+    def multiply(rows: pd.DataFrame, words: list[str], matrix: np.ndarray) -> pd.DataFrame:
+        sims = _matrix(rows) @ matrix.T
+        digits, names = np.round(sims, 9), np.array(words, object)
+        keep, picks = min(k, len(words)), []
+        for row in digits:
+            least = np.partition(row, len(row) - keep)[len(row) - keep]
+            near = np.flatnonzero(row >= least)  # with all ties of the k-th
+            picks.append(near[np.lexsort((names[near].astype(str), -row[near]))[:keep]])
+        at, n = np.concatenate(picks), np.array([len(p) for p in picks])
+        owner = np.repeat(np.arange(len(rows)), n)
+        return pd.DataFrame({"page_id": rows["page_id"].to_numpy()[owner], "page_word": rows["page_word"].to_numpy()[owner], "word": names[at], "sim": sims[owner, at]})
+
+    schema = f"page_id {dict(page_words.dtypes)['page_id']}, page_word string, word string, sim double"
+    parts = _by_block(vectors, page_words, schema, multiply)
+    if len(parts) == 1:
+        return parts[0]
+    order = Window.partitionBy("page_id", "page_word").orderBy(F.desc(F.round("sim", 9)), "word")
+    return reduce(DataFrame.union, parts).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, matrix = shared.value
-        for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.iloc[at : at + 64]
-                sims = np.array(part["vec"].tolist(), np.float64).reshape(len(part), -1) @ matrix.T
-                yield pd.DataFrame({"page_id": np.repeat(part["page_id"].to_numpy(), len(words)), "word": words * len(part), "page_word": np.repeat(part["page_word"].to_numpy(), len(words)), "sim": sims.ravel()})
 
-    return found.mapInPandas(multiply, f"page_id {dict(page_words.dtypes)['page_id']}, word string, page_word string, sim double")
+def best_of_pages(vectors: DataFrame, page_words: DataFrame) -> DataFrame:
+    """page_id, word, sim: a vocabulary word's greatest similarity to any word of the page, for every page and word. A task sends one row for the page words of a batch."""
 
+    def multiply(rows: pd.DataFrame, words: list[str], matrix: np.ndarray) -> pd.DataFrame:
+        sims, pages = _matrix(rows) @ matrix.T, rows["page_id"].to_numpy()
+        found = [(page, sims[pages == page].max(axis=0)) for page in pd.unique(pages)]
+        return pd.DataFrame({"page_id": np.repeat([page for page, _ in found], len(words)), "word": words * len(found), "sim": np.concatenate([best for _, best in found])})
 
-def rank_table(sims: DataFrame, n: int = 1000) -> DataFrame:
-    """page_id, word, rank: vocabulary words by their best similarity to the page's words."""
-    best = sims.groupBy("page_id", "word").agg(F.max("sim").alias("sim"))
+    parts = _by_block(vectors, page_words.repartition("page_id"), f"page_id {dict(page_words.dtypes)['page_id']}, word string, sim double", multiply)
+    return reduce(DataFrame.union, parts).groupBy("page_id", "word").agg(F.max("sim").alias("sim"))
+
+
+def rank_table(vectors: DataFrame, page_words: DataFrame, n: int = 1000) -> DataFrame:
+    """page_id, word, rank: vocabulary words by their best similarity to the page's words. A word among a page's n best is among the n best of the page word nearest to it, so only these are compared."""
+    best = nearest_of_page_words(vectors, page_words, n).groupBy("page_id", "word").agg(F.max("sim").alias("sim"))
     order = Window.partitionBy("page_id").orderBy(F.desc(F.round("sim", 9)), "word")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("page_id", "word", "rank")
 
 
-def inverted_index(sims: DataFrame, k: int = 500, least: float = 0.1) -> DataFrame:
+def inverted_index(vectors: DataFrame, page_words: DataFrame, k: int = 500, least: float = 0.1) -> DataFrame:
     """page_id, word, page_word, sim (3 digits): per page word its k nearest vocabulary words that reach `least`."""
-    order = Window.partitionBy("page_id", "page_word").orderBy(F.desc(F.round("sim", 9)), "word")
-    top = sims.withColumn("_r", F.row_number().over(order)).where((F.col("_r") <= k) & (F.col("sim") >= least))
+    top = nearest_of_page_words(vectors, page_words, k).where(F.col("sim") >= least)
     return top.groupBy("page_id", "word", "page_word").agg(F.round(F.max("sim"), 3).alias("sim"))
 
 
+def max_similarity(vectors: DataFrame, page_words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(page_id, word) with `sim`: 1 if the page has the word, 0 if the word or all of the page's words have no vector, else the greatest cosine (not clipped)."""
+    own = page_words.select("page_id", "word").distinct().withColumn("_own", F.lit(1.0))
+    found = page_words.select("page_id", F.col("word").alias("_p")).distinct().join(vectors.select(F.col("word").alias("_p"), F.col("vec").alias("_b")), "_p")
+    asked = pairs.join(vectors.select("word", F.col("vec").alias("_a")), "word")
+    near = asked.join(found, "page_id").groupBy("page_id", "word").agg(F.max(dot(F.col("_a"), F.col("_b"))).alias("_s"))
+    joined = pairs.join(own, ["page_id", "word"], "left").join(near, ["page_id", "word"], "left")
+    return joined.withColumn("sim", F.coalesce("_own", "_s", F.lit(0.0))).drop("_own", "_s")
+
+
+def vector_model(vectors: DataFrame, pages: DataFrame) -> DataFrame:
+    """word, vec (unit length) of the words that the pages' titles and intros use: content words, and the canonical form of the whole title. Vectors of no length are left out."""
+    words = pages.select(F.explode(T.content_words(F.concat_ws(" ", "title", "intro"))).alias("word"))
+    whole = pages.select(T.canonical_word(F.col("title")).alias("word")).where("word <> ''")
+    used = vectors.join(words.union(whole).distinct(), "word", "left_semi")
+    return used.select("word", unit(F.col("vec")).alias("vec")).where("vec is not null")
+
+
+def augmented_model(vectors: DataFrame, article_words: DataFrame, least_articles: int = 3) -> DataFrame:
+    """word, vec: the model and the vectors made for words that it doesn't have."""
+    made = unknown_word_vectors(vectors, article_words, least_articles)
+    return vectors.select("word", "vec").union(made.select("word", "vec"))
+
+
 def merged_by_form(vectors: DataFrame, form: Column) -> DataFrame:
     """word, vec, n: words of the same form share the unit-length mean of their vectors."""
     merged = mean_vectors(vectors.select(form.alias("word"), "vec"), ["word"])
@@ -111,10 +185,11 @@ def unknown_word_vectors(vectors: DataFrame, article_words: DataFrame, least_art
     return found.where(F.col("n") >= least_articles).select("word", unit(F.col("vec")).alias("vec"), "n")
 
 
-def nearest_words(sims: DataFrame, k: int, least: float) -> DataFrame:
-    """sims(l, r, sim): per l its k most similar other words with `least` or more."""
+def nearest_words(vectors: DataFrame, targets: DataFrame, k: int, least: float) -> DataFrame:
+    """l, r, sim, rank: per target(word) its k most similar other words with `least` or more."""
+    near = nearest_of_page_words(vectors, targets.select(F.lit(0).alias("page_id"), "word").distinct(), k + 1).select(F.col("page_word").alias("l"), F.col("word").alias("r"), "sim")
     order = Window.partitionBy("l").orderBy(F.desc(F.round("sim", 9)), "r")
-    return sims.where((F.col("l") != F.col("r")) & (F.col("sim") >= least)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return near.where((F.col("l") != F.col("r")) & (F.col("sim") >= least)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def soft_labels(nearest: DataFrame, first_token: DataFrame, alpha: float = 0.8) -> DataFrame:

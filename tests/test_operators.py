@@ -137,7 +137,7 @@ def test_quantiles_and_sampling(spark):
 def test_vector_paths_agree(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8]), ("c", [-1.0, 0.0])], "word string, vec array<float>")
     words = spark.createDataFrame([(1, "a"), (1, "zz")], "page_id long, word string")
-    block = {(r.word, r.page_word): round(r.sim, 5) for r in vectors.page_similarities(v, words).collect()}
+    block = {(r.word, r.page_word): round(r.sim, 5) for r in vectors.nearest_of_page_words(v, words, 1000).collect()}
     pairs = spark.createDataFrame([("b", "a"), ("c", "a")], "l string, r string")
     native = {(r.l, r.r): round(r.sim, 5) for r in vectors.pair_similarity(pairs, v, clip=False).collect()}
     assert native[("b", "a")] == block[("b", "a")] == 0.6 and block[("c", "a")] == -1.0
@@ -177,16 +177,27 @@ def test_vector_queries_of_every_page_word(spark, tmp_path):
     back = np.clip(m.astype(float) @ (mean / np.linalg.norm(mean)), 0, 1)
     best = {p: sims[:, [i for i in range(n) if i % 3 == p]].max(1) for p in range(3)}
     rows = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
-    got = {(r.page_id, r.word): r.contrast for r in rows("contrastive_similarity_every_page")}
+    got = {(r.page_id, r.word): r.contrast for r in rows("contrastive_similarity")}
     assert got == pytest.approx({(p, f"w{i}"): max(0.0, best[p][i] - back[i]) for p in best for i in range(n)}, abs=2e-6)
-    ranks = {(r.page_id, r.word): r["rank"] for r in rows("page_rank_table_every_word")}
+    ranks = {(r.page_id, r.word): r["rank"] for r in rows("page_rank_table")}
     assert ranks == {(p, w): k + 1 for p in best for k, w in enumerate(sorted((f"w{i}" for i in range(n)), key=lambda w: (-round(best[p][int(w[1:])], 9), w)))}
     top = {i: sorted(range(n), key=lambda j: (-round(sims[i, j], 9), f"w{j}")) for i in range(n)}
-    index = {(r.page_word, r.word) for r in rows("similarity_inverted_index_every_word")}
+    index = {(r.page_word, r.word) for r in rows("similarity_inverted_index")}
     assert index == {(f"w{i}", f"w{j}") for i in range(n) for j in top[i][:20] if sims[i, j] >= 0.1}
-    near = {(r.l, r.r, r["rank"]) for r in rows("nearest_vector_words_every_word")}
+    near = {(r.l, r.r, r["rank"]) for r in rows("nearest_vector_words")}
     assert near == {(f"w{i}", f"w{j}", k + 1) for i in range(n) for k, j in enumerate([j for j in top[i] if j != i and sims[i, j] >= 0.3][:5])}
     soft = {}
-    for r in rows("soft_label_distribution_every_word"):
+    for r in rows("soft_label_distribution"):
         soft[r.l] = soft.get(r.l, 0) + r.p
     assert set(soft) == {l for l, _, _ in near} and list(soft.values()) == pytest.approx([1.0] * len(soft), abs=1e-5)
+
+
+def test_vocabulary_in_blocks_gives_the_same(spark, monkeypatch):
+    rnd = np.random.default_rng(2)
+    v = spark.createDataFrame([(f"w{i}", rnd.normal(size=4).tolist()) for i in range(30)], "word string, vec array<double>")
+    words = spark.createDataFrame([(i % 2, f"w{i}") for i in range(8)], "page_id int, word string")
+    rows = lambda: (sorted(vectors.nearest_of_page_words(v, words, 5).collect()), sorted(vectors.best_of_pages(v, words).collect()))
+    whole = rows()
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 8 * 4 * 8)
+    for a, b in zip(whole, rows(), strict=True):
+        assert [tuple(r)[:-1] for r in a] == [tuple(r)[:-1] for r in b] and [r.sim for r in a] == pytest.approx([r.sim for r in b])
