@@ -1,0 +1,49 @@
+"""The word functions of :mod:`lexiloom.functions.text` for single Python strings, for operators that play games inside a task."""
+
+from __future__ import annotations
+
+import unicodedata
+from functools import lru_cache
+
+from lexiloom.functions.text import RESERVED, STOPWORDS, SUFFIXES
+
+_NEVER = frozenset([*STOPWORDS, *RESERVED])
+_STOP = frozenset(STOPWORDS)
+
+
+def _in_word(c: str) -> bool:
+    return c == "_" or unicodedata.category(c)[0] in "LN"
+
+
+@lru_cache(200_000)
+def normal(word: str) -> str:
+    plain = "".join(c for c in unicodedata.normalize("NFD", word.lower()) if unicodedata.category(c) != "Mn")
+    start, end = 0, len(plain)
+    while start < end and not _in_word(plain[start]):
+        start += 1
+    while end > start and not _in_word(plain[end - 1]):
+        end -= 1
+    return plain[start:end]
+
+
+@lru_cache(200_000)
+def canonical(word: str) -> str:
+    norm = normal(word)
+    if len(norm) <= 3 or norm == "pays" or norm.endswith("is"):
+        return norm
+    for suffix, end in SUFFIXES:
+        if norm.endswith(suffix) and len(norm) - len(suffix) >= 3:
+            return norm[: len(norm) - len(suffix)] + end
+    return norm
+
+
+@lru_cache(200_000)
+def valid(guess: str) -> bool:
+    kinds = {unicodedata.category(c)[0] for c in guess}
+    return len(guess) >= 2 and "L" in kinds and "N" not in kinds and guess not in _NEVER
+
+
+def tells(canon: str, idf: dict[str, float]) -> float:
+    """What a word is worth: 0 for stop words and short words, else its IDF within 0..8 (1 if unknown). The canonical form is folded once more."""
+    again = canonical(canon)
+    return 0.0 if again in _STOP or len(again) < 3 else max(0.0, min(8.0, idf.get(again, 1.0)))

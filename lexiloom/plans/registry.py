@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.plans import games, policies, texts, vectors
+from lexiloom.plans import games, play, policies, texts, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [texts, vectors, games, policies]
+_MODULES = [texts, vectors, games, policies, play]
 
 
 def queries() -> dict[str, Query]:
