@@ -218,8 +218,8 @@ def compact_text(revealed: DataFrame, turn: Column | int = 1 << 30, most: int =
     half = most // 2
     head = F.regexp_replace(F.substring("t", 1, half), r"(?s)^(.*) [^ ]*$", "$1")
     tail = F.regexp_replace(F.expr(f"right(t, {half})"), r"(?s)^[^ ]* (.*)$", "$1")
-    cut = F.trim(F.concat(head, F.lit("\n[...]\n"), tail))
-    return text.select("game_id", F.when(F.length("t") <= most, F.trim("t")).otherwise(cut).alias("text"))
+    cut = T.strip(F.concat(head, F.lit("\n[...]\n"), tail))
+    return text.select("game_id", F.when(F.length("t") <= most, T.strip(F.col("t"))).otherwise(cut).alias("text"))
 
 
 def full_text(revealed: DataFrame, turn: Column | int = 1 << 30) -> DataFrame:

@@ -12,13 +12,11 @@ from lexiloom.operators import play as Y
 from lexiloom.operators import rows as R
 from lexiloom.operators.corpus import global_rank
 from lexiloom.operators.stage import staged
-from lexiloom.plans import sql as S
-from lexiloom.plans.games import _GAME, _MODEL, _REWARD, _guesses, _idf, _pages, _similarity
-from lexiloom.plans.policies import _S, _steps
+from lexiloom.plans.games import _guesses, _idf, _pages, _similarity
+from lexiloom.plans.play_sql import END, GAME, ORACLES, STEPS  # noqa: F401
+from lexiloom.plans.policies import _steps
 from lexiloom.plans.texts import _model
 
-GAME, STEPS, END = "Mots", 30, "<eos>"
-
 
 def _lexicon(spark, sf):
     """idf, neighbours of the documents' 1,000 most frequent words."""
@@ -224,5 +222,3 @@ QUERIES = {
         training_row_reasons, well_scored, popular_long_pages, shuffled_head, completion_vocabulary, agent_summary, mix_shares, sharded_evaluation, guessed_actions, expanded_actions, far_title_actions,
     )
 }
-
-ORACLES: dict[str, str] = {}
