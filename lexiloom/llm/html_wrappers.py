@@ -36,6 +36,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,9 @@ ASIDE_WORDS = frozenset(
     "reply replies disqus sidebar side menu nav navigation navbar breadcrumb breadcrumbs header footer share sharing social related recommended newsletter subscribe signup "
     "popup modal widget pagination pager toolbar masthead complementary contentinfo".split()
 )
-COMMENT_WORDS = frozenset("comment comments reply replies disqus ad ads advert sponsored promo".split())
+COMMENT_WORDS = frozenset("comment comments reply replies disqus ad ads advert sponsored promo teaser teasers related recommended".split())
+#: Elements of running text: a word counts only where it is a whole class, id or role, not a part of one.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: A text on so much of a host's pages is template.
 TEMPLATE_SHARE = 0.6
 #: In a wrapper, what is in elements deeper than this stands in the one at this depth (pages are parsed and read at every depth).
@@ -89,7 +92,7 @@ def _element(tag: str, attributes: str) -> Element:
             value = (m[2] or m[3] or m[4] or "").lower()
             if m[1].lower() == "class":
                 key = f"{tag}.{'.'.join(sorted(_DIGITS.sub('0', value).split()))}"
-            words.update(_WORD.findall(value))
+            words.update(value.split() if tag in PROSE else _WORD.findall(value))
         bad = COMMENT_WORDS if tag == "article" else ASIDE_WORDS
         skip = skip or (tag not in ("html", "body", "main") and not words.isdisjoint(bad))
     return Element(tag, key, skip)
@@ -152,7 +155,8 @@ def squeeze(text: str) -> str:
 
 
 def text_hash(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    """64 bits, signed as Spark's long."""
+    return int.from_bytes(xxhash.xxh64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True)
 
 
 # --- wrappers: [key, optional, repeated, children]; a text is ["#", optional, repeated, hash or null, length] --------------------
@@ -236,7 +240,7 @@ def align(a: list, b: list) -> list:
 def union_free_expression(w: list) -> str:
     """A wrapper as text."""
     if w[0] == "#":
-        body = "#" if w[3] is None else f"'{w[3]:08x}'"
+        body = "#" if w[3] is None else f"'{w[3] & (1 << 64) - 1:016x}'"
     elif w[0].startswith("("):
         body = "( " + " ".join(map(union_free_expression, w[3])) + " )"
     else:

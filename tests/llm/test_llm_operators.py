@@ -391,3 +391,13 @@ def test_main_text_below_any_depth(spark):
         assert got == {i: f"tail {i}" for i in range(3)}
     n = 200_000  # neither the open elements nor unmatched end tags are searched one by one
     assert html_wrappers.main_text("<b>" * n + "<ul></x>" * n + "text") == "text"
+
+
+def test_prose_with_words_of_asides_in_its_class_stays():
+    page = '<article><h1>T</h1><p class="alert-text">one</p><p id="header-2">two</p><p class="advert">buy</p><div class="ad-slot">buy</div></article><article class="teaser">more</article>'
+    assert html_wrappers.main_text(page) == "T\n\none\n\ntwo"
+
+
+def test_template_hash_is_wide():
+    # Two texts of the same 32-bit checksum are different texts.
+    assert html_wrappers.text_hash("plumless") != html_wrappers.text_hash("buckeroo") and zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
