@@ -43,6 +43,8 @@ GROUP_BYTES = 400_000
 PIECE_BYTES = 300_000
 #: Bytes of run strings in a bucket beyond which its anchors are looked at one by one, and the share of these that makes an anchor hot.
 BUCKET_BYTES, HOT_BYTES = 64_000_000, 8_000_000
+#: Text that a partition stands for.
+PART_BYTES = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -314,7 +316,7 @@ def _send_runs(unit: Unit, buckets: int):
     return run
 
 
-def _split_hot(unit: Unit, hot: frozenset[int], buckets: int):
+def _split_hot(unit: Unit, hot: np.ndarray, buckets: int):
     """Runs of hot anchors become runs of one window, whose anchor is a hash of the window's own string (56 bits, apart from the 48 of others)."""
     import xxhash
 
@@ -322,7 +324,7 @@ def _split_hot(unit: Unit, hot: frozenset[int], buckets: int):
         for batch in batches:
             for b, n, blob, strings in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 anchor, u, start, count = unpack(blob, 4)
-                is_hot = np.isin(anchor, list(hot))
+                is_hot = np.isin(anchor, hot)
                 if not is_hot.any():
                     yield record_batch(CELLS, [(b, n, blob, strings)])
                     continue
@@ -405,25 +407,25 @@ def _distinct(unit: Unit, anchor: list[int], u: list[int], start: list[int], cou
 
 def removed_stretches(docs: DataFrame, unit: Unit) -> DataFrame:
     """docs: u, k, t. Returns u, blobs: per document with removed windows the packed (start, stop) of stretches of units; they may overlap."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+    size = docs.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0
+    parts = max(shuffle_partitions(docs.sparkSession), size // PART_BYTES)  # a task's work stays the same however large the corpus
     buckets = 4 * parts
     texts = docs.select("u", "t")
     counted = texts.mapInArrow(_count_anchors(unit, buckets), CELLS_DDL).repartition(parts, "b").mapInArrow(_repeated_anchors, "u long, blob binary")
     listed = counted.groupBy("u").agg(F.collect_list("blob").alias("blobs"))  # a document's own anchors
     sent = staged(texts.join(listed, "u").mapInArrow(_send_runs(unit, buckets), CELLS_DDL), "runs")
-    full = [r["b"] for r in sent.where("b >= 0").groupBy("b").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET_BYTES).collect()]  # of a fixed number of buckets
+    full = [r["b"] for r in sent.where("b >= 0").groupBy("b").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET_BYTES).collect()]  # over BUCKET_BYTES each, a share of all
     if full:
         hot = _hot_anchors(sent.where(F.col("b").isin(full)))
-        if hot:
+        if len(hot):
             split = sent.where(F.col("b").isin(full)).mapInArrow(_split_hot(unit, hot, buckets), CELLS_DDL)
             sent = sent.where(~F.col("b").isin(full)).union(split)
     solved = sent.repartition(parts, "b", F.when(F.col("b") < 0, F.xxhash64("blob"))).mapInArrow(_solve_buckets(unit), "u long, blob binary")
     return solved.groupBy("u").agg(F.collect_list("blob").alias("blobs"))
 
 
-def _hot_anchors(cells: DataFrame, most: int = 10_000) -> frozenset[int]:
-    """Anchors with over HOT_BYTES of run strings, or over a ten-thousandth of all of them if that is more: never more than ten thousand."""
+def _hot_anchors(cells: DataFrame, most: int = 1_000_000) -> np.ndarray:
+    """Anchors with over HOT_BYTES of run strings, or over a millionth of all of them if that is more (100 MB of 100 TB): never more than a million numbers, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -436,7 +438,7 @@ def _hot_anchors(cells: DataFrame, most: int = 10_000) -> frozenset[int]:
     total = cells.agg(F.sum("n")).first()[0]
     least = max(HOT_BYTES, total // most)
     sums = cells.mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") > least)
-    return frozenset(r["a"] for r in sums.select("a").collect())
+    return np.sort(np.array([r["a"] for r in sums.select("a").collect()], np.int64))
 
 
 def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -29,6 +29,8 @@ from .common import doc_bytes, record_batch, scratch_path, shuffle_partitions, t
 from .tokens import load, tokenizer_path
 
 LENGTH = 1024
+#: Text in a shard.
+SHARD_BYTES = 64_000_000
 #: Sequences in a record batch.
 GROUP = 256
 INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
@@ -126,7 +128,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, mode: str,
     that is run again, or twice at once, does no harm.
     """
     spark = docs.sparkSession
-    parts = max(shuffle_partitions(spark), 8)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), 8, size // SHARD_BYTES)  # a shard and its index stay small however large the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, writer = TaskContext.get(), None
