@@ -25,6 +25,17 @@ def doc_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", null_as_em
     return df.select(F.col(key).cast("long").alias("k"), body.alias("t"))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores as it takes for a table that has such columns itself."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record_batch, staged, table
+from .common import record_batch, staged, table, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of the bootstrap, least confidence and least number of distinct seeds of a pattern, damping of small patterns.
@@ -225,11 +225,12 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """docs with every span in `text` masked; all columns and all other characters stay. Null texts stay null."""
+    id_name, hash_name, added_name, key_name = unused(docs.columns, "_d", "_h", "_added", "_key")
     found = staged(observations(docs), "pii")
-    added = staged(added_spans(found, confident_patterns(found)), "pii-added").withColumnsRenamed({"doc_id": "_d", "text_key": "_h", "added": "_added"})
+    added = staged(added_spans(found, confident_patterns(found)), "pii-added").withColumnsRenamed({"doc_id": id_name, "text_key": hash_name, "added": added_name})
     key = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     # The side of added spans is broadcast only where its measured size is under Spark's limit.
-    joined = docs.withColumn("_key", key).join(added, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_h")), "left").select(*docs.columns, "_added")
+    joined = docs.withColumn(key_name, key).join(added, F.col("doc_id").cast("long").eqNullSafe(F.col(id_name)) & (F.col(key_name) == F.col(hash_name)), "left").select(*docs.columns, added_name)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,11 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_bytes, shuffle_partitions, staged, table
+from .common import doc_bytes, shuffle_partitions, staged, table, unused
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BUCKET_ROWS = 4096
+#: Parts of a large component; documents of a fingerprint beyond which it is spread, and how many such fingerprints there can be.
+SALTS, HOT_ROWS, MOST_HOT = 16, 10_000, 1_000
 PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_hash", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -233,25 +235,36 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, text_hash, component_id (the smallest doc_id that links reach)."""
     prints = staged(fingerprints(docs), "fingerprints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     linked = components(fingerprint_links(distinct.select("fp"), radius), "simhash")
-    tied = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(tied.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "text_hash", "component_id")
+    tied = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    # Of components of several fingerprints only; a large one is spread over salts.
+    several = tied.where("root is not null")
+    named = several.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    classes = several.join(named, ["root", "salt"]).select("fp", "n", "component_id").union(tied.where("root is null").select("fp", "n", F.col("least").alias("component_id")))
+    # A fingerprint of very many documents is spread as well; there are never more than MOST_HOT of them.
+    least = max(HOT_ROWS, (prints.count() or 0) // MOST_HOT)
+    copies = F.when(F.col("n") > least, F.ceil(F.col("n") / least)).otherwise(1).cast("long")
+    hot = distinct.where(F.col("n") > least).select("fp", copies.alias("copies"))
+    dealt = classes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("n")
+    rows = prints.join(F.broadcast(hot), "fp", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.coalesce("copies", F.lit(1))))
+    return rows.join(dealt, ["fp", "salt"]).select("doc_id", "fp", "text_hash", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one document of each group: the one with the smallest doc_id. Rows that repeat a doc_id count as one; rows without doc_id count by their text."""
+    id_name, hash_name, same_name = unused(docs.columns, "_kept", "_hash", "_same")
     found = staged(near_duplicates(docs, radius), "near-duplicates")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
-    kept = staged(kept.withColumnsRenamed({"doc_id": "_kept", "text_hash": "_hash"}), "kept")
+    kept = staged(kept.withColumnsRenamed({"doc_id": id_name, "text_hash": hash_name}).withColumnRenamed("n", "rows"), "kept")
     mine = F.xxhash64(F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")))
     # Sort-merge at every size: a broadcast of the small inputs' ids would be another plan than that of large ones.
-    whole = docs.join(kept.select("_kept", "_hash").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")) & (mine == F.col("_hash")), "left_semi")
-    if kept.agg(F.sum("n") == F.countDistinct("_kept")).first()[0]:  # no doc_id comes twice, none is null
+    whole = docs.join(kept.select(id_name, hash_name).hint("merge"), F.col("doc_id").eqNullSafe(F.col(id_name)) & (mine == F.col(hash_name)), "left_semi")
+    if kept.agg(F.sum("rows") == F.countDistinct(id_name)).first()[0]:  # no doc_id comes twice, none is null
         return whole
     same = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    return whole.withColumn("_same", same).dropDuplicates(["_same"]).select(*docs.columns)
+    return whole.withColumn(same_name, same).dropDuplicates([same_name]).select(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -401,3 +401,22 @@ def test_prose_with_words_of_asides_in_its_class_stays():
 def test_template_hash_is_wide():
     # Two texts of the same 32-bit checksum are different texts.
     assert html_wrappers.text_hash("plumless") != html_wrappers.text_hash("buckeroo") and zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+
+
+def test_clashing_names_in_stages(spark):
+    ddl = "doc_id long, text string, _key string, _added string, _d long, _h string, _same string, _kept long, _hash long"
+    rows = [(1, "write to a@b.org now", "k", "a", 5, "h", "s", 7, 8), (2, "write to a@b.org now", "k", "a", 5, "h", "s", 7, 8), (3, None, None, None, None, None, None, None, None), (3, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, ddl)
+    masked = {r.doc_id: r for r in pii.mask_personal_data(docs).collect()}
+    assert masked[1].text == "write to <EMAIL> now" and masked[1]._key == "k" and masked[1]._added == "a" and masked[3].text is None
+    kept = simhash.keep_one_of_each(docs).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3] and {r._same for r in kept} == {"s", None}
+
+
+def test_training_reads_each_labelled_id_once(spark):
+    docs = spark.createDataFrame([(d, ("good text " if d % 2 else "junk $$ ") * 5 + str(d % 7)) for d in range(1, 41)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(1, 41)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    again = quality.train(docs.repartition(7), labels)
+    texts = ["good text good", "junk $$ junk", ""]
+    assert model.scores(texts).tolist() == again.scores(texts).tolist()
