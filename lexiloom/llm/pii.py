@@ -181,14 +181,14 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS, confidence: float
     total = graph.groupBy("pattern").agg(F.countDistinct("instance").alias("n"))
     seeded = graph.where("seed").groupBy("pattern", "kind").agg(F.count("*").alias("n_seeds")).where(F.col("n_seeds") >= support)
     # Only patterns with enough seeds can ever be confident; the rest of the graph is left out of the rounds.
-    core = staged(graph.join(seeded.select("pattern").distinct(), "pattern", "left_semi").join(total, "pattern"), "pii-core")
+    core = staged(graph.join(seeded.select("pattern").distinct().hint("merge"), "pattern", "left_semi").join(total.hint("merge"), "pattern"), "pii-core")
     known = core.where("seed").select("instance", "kind", F.lit(1.0).alias("c")).distinct()
     best = None
     for _ in range(rounds):
-        mass = core.join(known, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("c").alias("s"), F.first("n").alias("n"))
+        mass = core.join(known.hint("merge"), ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("c").alias("s"), F.first("n").alias("n"))
         scored = mass.select("pattern", "kind", (F.col("s") / (F.col("n") + F.lit(DAMPING))).alias("p")).where(F.col("p") >= confidence)
-        best = staged(scored.join(seeded.select("pattern", "kind"), ["pattern", "kind"]), "pii-patterns")
-        gained = core.where("not seed").join(best, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("p").alias("c"))
+        best = staged(scored.join(seeded.select("pattern", "kind").hint("merge"), ["pattern", "kind"]), "pii-patterns")
+        gained = core.where("not seed").join(best.hint("merge"), ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("p").alias("c"))
         known = core.where("seed").select("instance", "kind", F.lit(1.0).alias("c")).distinct().union(gained).groupBy("instance", "kind").agg(F.max("c").alias("c"))
     return best
 
@@ -197,7 +197,7 @@ def added_spans(found: DataFrame, best: DataFrame) -> DataFrame:
     """doc_id, text_key, added (kind:start:end): per place the kind of its most confident pattern."""
     places = found.select("doc_id", "text_key", F.explode("others").alias("x")).select("doc_id", "text_key", "x.*").withColumn("pattern", F.explode("patterns"))
     place = ["doc_id", "text_key", "start", "end"]
-    hit = places.join(best, ["pattern", "kind"]).groupBy(*place).agg(F.max(F.struct("p", "kind")).alias("m"))
+    hit = places.join(best.hint("merge"), ["pattern", "kind"]).groupBy(*place).agg(F.max(F.struct("p", "kind")).alias("m"))
     return hit.groupBy("doc_id", "text_key").agg(F.collect_set(F.concat_ws(":", "m.kind", "start", "end")).alias("added"))
 
 

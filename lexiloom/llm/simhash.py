@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     several = tied.where("root is not null")
     named = several.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-    classes = several.join(named, ["root", "salt"]).select("fp", "n", "component_id").union(tied.where("root is null").select("fp", "n", F.col("least").alias("component_id")))
+    classes = several.join(named.hint("merge"), ["root", "salt"]).select("fp", "n", "component_id").union(tied.where("root is null").select("fp", "n", F.col("least").alias("component_id")))
     # A fingerprint of very many documents is spread as well; there are never more than MOST_HOT of them.
     least = max(HOT_ROWS, (prints.count() or 0) // MOST_HOT)
     copies = F.when(F.col("n") > least, F.ceil(F.col("n") / least)).otherwise(1).cast("long")
