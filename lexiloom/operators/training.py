@@ -1,0 +1,171 @@
+"""Tabular policies trained in rounds: games are sampled in tasks under the table of the round before, updates are aggregates.
+
+A table has at most MOST_STATES states of MOST_ACTIONS actions each, which bounds
+what a round sends to the tasks.  The sequential learner sees every step at once;
+a round here sees all of its games' steps together.
+"""
+
+from __future__ import annotations
+
+import math
+import random
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lexiloom.functions import plain as P
+from lexiloom.operators import play
+from lexiloom.operators.game import SEMANTIC_THRESHOLD
+from lexiloom.operators.policy import group_advantages
+from lexiloom.operators.stage import staged
+
+MOST_STATES, MOST_ACTIONS = 50_000, 16
+#: Actions that are looked at in a state without a table entry, and bins of a state's counts (fixed values).
+LOOKED_AT, EXACT_BINS, SEMANTIC_BINS, TITLE_BINS = 180, [0, 1, 2, 5], [0, 3, 10, 25], [0, 1, 2]
+UNSOLVED = -8.0
+DECISION = "rollout int, turn int, state string, action string, next_state string, step_reward double, total double, solved boolean, actions array<string>, probs array<double>"
+
+
+@dataclass
+class Table:
+    """state -> action -> value; priors and vocabulary of the action space."""
+
+    priors: dict[str, float]
+    vocabulary: list[str]
+    values: dict[str, dict[str, float]] = field(default_factory=dict)
+
+
+def collected_table(values: DataFrame | None, vocabulary: DataFrame, priors: DataFrame) -> Table:
+    """values(state, action, value), bounded as compacted() leaves it; vocabulary(pos, word); priors(word, prior)."""
+    rows = vocabulary.join(priors, "word", "left").orderBy("pos").select("word", F.coalesce("prior", F.lit(0.0)).alias("prior")).collect()
+    table = Table({r["word"]: r["prior"] for r in rows}, [r["word"] for r in rows])
+    for r in values.collect() if values is not None else ():
+        table.values.setdefault(r["state"], {})[r["action"]] = r["value"]
+    return table
+
+
+def _bin(value: int, cuts: list[int]) -> str:
+    return str(next((i for i, cut in enumerate(cuts) if value <= cut), len(cuts)))
+
+
+class Episode:
+    """One game under a policy, whose guesses reveal the words with their canonical or normal form."""
+
+    def __init__(self, game: play.Game, items: int):
+        self.game, self.items, self.told, self.guessed = game, items, [], set()
+
+    def state(self) -> str:
+        return "|".join(self.told[-self.items :]) or "START"
+
+    def guess(self, action: str) -> tuple[float, bool]:
+        """The step's reward, and if it solves the game."""
+        g, canon = self.game, P.canonical(action)
+        self.guessed.add(action)
+        at = {*g.by_canon.get(canon, ()), *([g.place[canon]] if canon in g.place else [])}
+        new = [i for i in at if g.hidden[i]]
+        exact, title = sum(g.in_title[i] + g.in_body[i] for i in new), sum(g.in_title[i] for i in new)
+        for i in new:
+            g.hidden[i] = False
+        semantic = sum(g.in_body[i] for i, s in g.sims(canon) if s >= SEMANTIC_THRESHOLD and g.hidden[i])
+        solved = title > 0 and g.solved()
+        self.told.append(f"{canon}:{_bin(exact, EXACT_BINS)}:{_bin(semantic, SEMANTIC_BINS)}:{_bin(title, TITLE_BINS)}")
+        return (120.0 if solved else min(8, exact) * 1.2 + min(4, title) * 10.0 + min(25, semantic) * 0.04 - 1.0), solved
+
+
+def softmax_choice(table: Table, state: str, guessed: set[str], temperature: float, top: int, rnd: random.Random) -> tuple[str, list[str], list[float]] | None:
+    """An action among the `top` by value and 0.15 of the prior, the actions and their probabilities."""
+    known = table.values.get(state, {})
+    free = [w for w in table.vocabulary if w not in guessed][: 3 * top]
+    if not free:
+        return None
+    worth = {w: known.get(w, 0.0) + 0.15 * table.priors.get(w, 0.0) for w in free}
+    ranked = sorted(free, key=lambda w: -worth[w])[:top]
+    weights = [math.exp((worth[w] - worth[ranked[0]]) / max(0.05, temperature)) for w in ranked]
+    return rnd.choices(ranked, weights)[0], ranked, [x / sum(weights) for x in weights]
+
+
+def curious_choice(table: Table, state: str, guessed: set[str], epsilon: float, rnd: random.Random) -> str | None:
+    """With chance epsilon one of the first free actions by prior; else the best known one, or the one of greatest prior."""
+    free = [w for w in table.vocabulary if w not in guessed][:LOOKED_AT]
+    if not free:
+        return None
+    if rnd.random() < epsilon:
+        return rnd.choices(free, [max(0.01, table.priors.get(w, 0.01)) for w in free])[0]
+    known = sorted(((-v, w) for w, v in table.values.get(state, {}).items() if w not in guessed))
+    return known[0][1] if known else max(free, key=lambda w: table.priors.get(w, 0.0))
+
+
+def episodes(pages: DataFrame, model: play.Model, table: Table, each: int, most_steps: int, items: int = 5, temperature: float | None = 0.9, top: int = 180, kept: int = 12, epsilon: float = 0.0, seed: int = 0) -> DataFrame:
+    """Every decision of `each` games a page: game_id and DECISION. With a temperature by softmax (the first `kept` actions and their probabilities stay), else epsilon-greedy."""
+    shared = pages.sparkSession.sparkContext.broadcast(table)
+
+    def one(game: play.Game, row: dict, rnd: random.Random) -> Iterator[dict]:
+        for rollout in range(each):
+            episode, rows, solved = Episode(play.Game(game.texts, game.norms, game.n_title, game.model), items), [], False
+            while len(rows) < most_steps and not solved:
+                state = episode.state()
+                if temperature is None:
+                    action, actions, probs = curious_choice(shared.value, state, episode.guessed, epsilon, rnd), [], []
+                else:
+                    action, actions, probs = softmax_choice(shared.value, state, episode.guessed, temperature, top, rnd) or (None, [], [])
+                if action is None:
+                    break
+                reward, solved = episode.guess(action)
+                near = list(zip(actions[:kept], probs[:kept], strict=True))
+                if actions and action not in actions[:kept]:
+                    near.append((action, 0.0))
+                rows.append({"rollout": rollout, "turn": len(rows) + 1, "state": state, "action": action, "next_state": episode.state(), "step_reward": reward, "actions": [a for a, _ in near], "probs": [p for _, p in near]})
+            total = sum(r["step_reward"] for r in rows) + (0.0 if solved else UNSOLVED)
+            yield from ({**r, "total": total, "solved": solved} for r in rows)
+
+    return play.played(pages, model, one, DECISION, seed)
+
+
+def compacted(values: DataFrame, most_actions: int = MOST_ACTIONS, most_states: int = MOST_STATES) -> DataFrame:
+    """The states with the greatest absolute values, and of each its actions of greatest absolute value."""
+    strong = F.abs("value")
+    by_state = Window.partitionBy("state").orderBy(F.desc(strong), "action")
+    few = values.withColumn("_r", F.row_number().over(by_state)).where(F.col("_r") <= most_actions).drop("_r")
+    states = few.groupBy("state").agg(F.max(strong).alias("_m")).orderBy(F.desc("_m"), "state").limit(most_states)
+    return few.join(states.select("state"), "state", "left_semi")
+
+
+def policy_round(values: DataFrame | None, decisions: DataFrame, rate: float = 0.05, limit: float = 8.0) -> DataFrame:
+    """state, action, value after the group-relative step of one round: a game's total against the totals of its page, within +-3; the action's value rises by it, the others' fall by their probability; within +-limit."""
+    totals = group_advantages(decisions.where("turn = 1").select("game_id", "rollout", "total"), ["game_id"], "total").select("game_id", "rollout", "advantage")
+    told = decisions.join(totals, ["game_id", "rollout"])
+    fall = told.select("state", "advantage", F.explode(F.arrays_zip("actions", "probs")).alias("x")).select("state", F.col("x.actions").alias("action"), (-rate * F.col("advantage") * F.col("x.probs")).alias("d"))
+    rise = told.select("state", "action", (rate * F.col("advantage")).alias("d"))
+    step = fall.union(rise).groupBy("state", "action").agg(F.sum("d").alias("d"))
+    if values is not None:
+        step = step.union(values.select("state", "action", F.col("value").alias("d"))).groupBy("state", "action").agg(F.sum("d").alias("d"))
+    return compacted(step.select("state", "action", F.greatest(F.lit(-limit), F.least(F.lit(limit), "d")).alias("value")))
+
+
+def q_round(values: DataFrame | None, decisions: DataFrame, priors: DataFrame, rate: float = 0.25, discount: float = 0.88, most_actions: int = 40) -> DataFrame:
+    """state, action, value after one round of Q-learning: the mean target of a state's action draws its value (to begin with its prior) by `rate`."""
+    none = decisions.select("state", "action", F.lit(0.0).alias("value")).limit(0)
+    old = none if values is None else values.select("state", "action", "value")
+    future = old.groupBy(F.col("state").alias("next_state")).agg(F.max("value").alias("f"))
+    target = decisions.join(future, "next_state", "left").groupBy("state", "action").agg(F.avg(F.col("step_reward") + discount * F.coalesce("f", F.lit(0.0))).alias("t"))
+    both = old.join(target, ["state", "action"], "full").join(priors.select(F.col("word").alias("action"), "prior"), "action", "left")
+    base = F.coalesce("value", "prior", F.lit(0.0))
+    moved = both.select("state", "action", F.when(F.col("t").isNull(), F.col("value")).otherwise(base + rate * (F.col("t") - base)).alias("value"))
+    best = Window.partitionBy("state").orderBy(F.desc("value"), "action")
+    return compacted(moved.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= most_actions).drop("_r"), most_actions)
+
+
+def trained(pages: DataFrame, model: play.Model, vocabulary: DataFrame, priors: DataFrame, rounds: int, each: int = 4, most_steps: int = 50, learner: str = "policy", seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(values, log) after so many rounds: log(round, mean_reward, solve_rate, mean_steps). learner: 'policy' or 'q', whose curiosity falls from 0.85 to 0.08."""
+    values, logs = None, None
+    for turn in range(rounds):
+        table = collected_table(values, vocabulary, priors)
+        epsilon = 0.08 + 0.77 * math.exp(-turn / max(1, rounds / 4))
+        made = staged(episodes(pages, model, table, each, most_steps, temperature=0.9 if learner == "policy" else None, epsilon=epsilon, seed=seed + turn), "episodes")
+        values = staged(policy_round(values, made) if learner == "policy" else q_round(values, made, priors), "values")
+        games = made.groupBy("game_id", "rollout").agg(F.max("total").alias("t"), F.max(F.col("solved").cast("int")).alias("s"), F.count("*").alias("n"))
+        line = games.agg(F.lit(turn + 1).alias("round"), F.round(F.avg("t"), 4).alias("mean_reward"), F.round(F.avg("s"), 4).alias("solve_rate"), F.round(F.avg("n"), 4).alias("mean_steps"))
+        logs = line if logs is None else logs.union(line)
+    return values, logs

@@ -10,6 +10,7 @@ from lexiloom.operators import game as G
 from lexiloom.operators import lexical as L
 from lexiloom.operators import play as Y
 from lexiloom.operators import rows as R
+from lexiloom.operators import training as N
 from lexiloom.operators.corpus import global_rank
 from lexiloom.operators.stage import staged
 from lexiloom.plans.games import _guesses, _idf, _pages, _similarity
@@ -110,6 +111,21 @@ def rescue_words(spark, sf):
     return Y.rescues(_pages(spark, sf), _player(spark, sf))
 
 
+def _trained(spark, sf, learner):
+    pages = _pages(spark, sf)
+    priors = staged(L.action_priors(pages), "priors")
+    vocabulary = staged(L.action_vocabulary(pages, 300).select("pos", "word"), "actions")
+    return N.trained(pages, _player(spark, sf), vocabulary, priors.join(vocabulary, "word", "left_semi"), 2, each=2, most_steps=5, learner=learner)
+
+
+def policy_training_log(spark, sf):
+    return _trained(spark, sf, "policy")[1]
+
+
+def q_learning_values(spark, sf):
+    return _trained(spark, sf, "q")[0]
+
+
 def step_prompts(spark, sf):
     """The prompt at every step of every game."""
     before = F.collect_list(F.struct("guess", "score", "exact")).over(G.Window.partitionBy("game_id").orderBy("turn").rowsBetween(G.Window.unboundedPreceding, -1))
@@ -218,7 +234,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_neighbors, full_text, stub_hints, guess_reward_checked, feedback_steps, completion_rewards, shaped_reward, oracle_picks, soft_oracle_rows, stochastic_oracle_rows, teacher_rows,
-        trajectory_rows, corrected_rows, augmented_rows, rescue_words, step_prompts, thought_completions, transcript_rows, oracle_row_conversion, completion_choice, curriculum_pages,
+        trajectory_rows, corrected_rows, augmented_rows, rescue_words, policy_training_log, q_learning_values, step_prompts, thought_completions, transcript_rows, oracle_row_conversion, completion_choice, curriculum_pages,
         training_row_reasons, well_scored, popular_long_pages, shuffled_head, completion_vocabulary, agent_summary, mix_shares, sharded_evaluation, guessed_actions, expanded_actions, far_title_actions,
     )
 }

@@ -24,7 +24,7 @@ def _filled(c: str):
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Strict: a row without title or intro, or one that isn't JSON, fails the query and names its line."""
+    """Strict: a row without title or intro, or one that isn't JSON, fails the query and is shown in the error."""
     rows = spark.read.schema(PAGE).option("mode", "FAILFAST").json(path)
     bad = F.raise_error(F.concat(F.lit("page without title or intro: "), F.coalesce(F.to_json(F.struct("*")), F.lit("{}"))))
     return rows.select(F.coalesce("title", bad).alias("title"), F.coalesce("intro", bad).alias("intro"), F.coalesce("url", F.lit("")).alias("url"))

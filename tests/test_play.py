@@ -147,3 +147,45 @@ def test_blanks_and_rules_of_other_scripts(spark):
     pages = spark.createDataFrame([(1, "t", "Ce mot est une abréviation de plus."), (2, "t", "Il peut désigner ceci."), (3, "t", "Ils peut d?signer")], "page_id long, title string, intro string")
     found = {r.page_id: set(r.issues) for r in corpus.with_issues(pages).collect()}
     assert "sigle_like" in found[1] and "homonymy_like" in found[2] and "homonymy_like" not in found[3]
+
+
+def test_policies_in_rounds(spark, world):
+    from lexiloom.operators import training
+
+    pages, model = world
+    words = ["ville", "sport", "art", "paris", "guerre", "musique"]
+    vocabulary = spark.createDataFrame(list(enumerate(words, 1)), "pos int, word string")
+    priors = spark.createDataFrame([(w, 0.1 * i) for i, w in enumerate(words)], "word string, prior double")
+    table = training.collected_table(None, vocabulary, priors)
+    rows = training.episodes(pages, model, table, 3, 4, kept=2).collect()
+    games = {}
+    for r in sorted(rows, key=lambda r: (r.game_id, r.rollout, r.turn)):
+        games.setdefault((r.game_id, r.rollout), []).append(r)
+    for steps in games.values():
+        assert steps[0].state == "START" and [s.state for s in steps[1:]] == [s.next_state for s in steps[:-1]]
+        assert len({s.action for s in steps}) == len(steps) <= 4 and steps[0].action in steps[0].actions
+        assert steps[0].total == pytest.approx(sum(s.step_reward for s in steps) + (0 if steps[0].solved else -8))
+    # One round by hand.
+    totals = {}
+    for (g, _), steps in games.items():
+        totals.setdefault(g, []).append(steps[0].total)
+    moved = {}
+    for (g, _), steps in games.items():
+        t, n = totals[g], len(totals[g])
+        mean = sum(t) / n
+        deviation = (sum((x - mean) ** 2 for x in t) / max(1, n - 1)) ** 0.5 or 1.0
+        a = max(-3, min(3, (steps[0].total - mean) / deviation))
+        for s in steps:
+            for action, p in zip(s.actions, s.probs, strict=True):
+                moved[s.state, action] = moved.get((s.state, action), 0) - 0.05 * a * p
+            moved[s.state, s.action] = moved.get((s.state, s.action), 0) + 0.05 * a
+    made = training.policy_round(None, training.episodes(pages, model, table, 3, 4, kept=2))
+    got = {(r.state, r.action): r.value for r in made.collect()}
+    assert got == pytest.approx(moved, abs=1e-9)
+    values, log = training.trained(pages, model, vocabulary, priors, 2, each=2, most_steps=4)
+    assert values.count() > 0 and [r["round"] for r in log.orderBy("round").collect()] == [1, 2]
+    values, log = training.trained(pages, model, vocabulary, priors, 2, each=1, most_steps=4, learner="q")
+    first = training.episodes(pages, model, table, 1, 1, temperature=None, epsilon=0.0)
+    learnt = {(r.state, r.action): r.value for r in training.q_round(None, first, priors).collect()}
+    mean = sum(r.step_reward for r in first.collect()) / first.count()
+    assert values.count() > 0 and learnt == {("START", "musique"): pytest.approx(0.5 + 0.25 * (mean - 0.5))}
