@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions import prompts
 from lexiloom.functions import text as T
 from lexiloom.operators import game as G
 from lexiloom.operators.stage import staged
@@ -46,24 +47,13 @@ def best_rewarded(tokens: DataFrame, pool: DataFrame, idf: DataFrame, similarity
     return found.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
-def oracle_trajectories(tokens: DataFrame, idf: DataFrame, starters: list[str], clues: int = 5) -> DataFrame:
-    """game_id, turn, guess: three openers, the most telling clues, then the title's words in order."""
-    open_words = tokens.sparkSession.createDataFrame([(0, i, w) for i, w in enumerate(starters[:3])], "part int, at int, guess string")
-    begin = tokens.select("game_id").distinct().crossJoin(F.broadcast(open_words))
-    middle = probe_words(tokens, idf, clues).select("game_id", F.lit(1).alias("part"), F.col("rank").alias("at"), F.col("word").alias("guess"))
-    end = title_words(tokens).select("game_id", F.lit(2).alias("part"), F.col("pos").alias("at"), F.col("word").alias("guess"))
-    every = begin.union(middle).union(end).groupBy("game_id", "guess").agg(F.min(F.struct("part", "at")).alias("o"))
-    return every.withColumn("turn", F.row_number().over(Window.partitionBy("game_id").orderBy("o.part", "o.at", "guess"))).select("game_id", "turn", "guess")
-
-
-def curriculum_rows(steps: DataFrame) -> DataFrame:
-    """game_id, turn, prompt, completion, history (JSON): one row per step, its state being all earlier steps. steps: game_id, turn, guess, score, exact, semantic, title, reward, solved."""
+def curriculum_rows(steps: DataFrame, most_steps: int, name: str) -> DataFrame:
+    """game_id, turn, prompt, completion, history (JSON): one row per step, its state being all earlier steps. steps: game_id, turn, guess, score, exact, semantic, title, reward, solved. name: the game's."""
     one = F.struct(*[F.col(c).cast(t).alias(c) for c, t in (("guess", "string"), ("score", "int"), ("exact", "int"), ("semantic", "int"), ("title", "int"), ("reward", "double"), ("solved", "boolean"))])
     w = Window.partitionBy("game_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     rows = steps.withColumn("h", F.collect_list(one).over(w))
-    lines = F.array_join(F.transform("h", lambda s, i: F.format_string("%2d. %-20s %s", i + 1, s["guess"], T.score_label(s["score"], s["exact"]))), "\n")
-    prompt = F.when(F.size("h") == 0, F.lit("No clue yet.")).otherwise(F.concat(F.lit("Guesses so far:\n"), lines))
-    return rows.select("game_id", "turn", prompt.alias("prompt"), F.concat(F.lit("MOT: "), "guess").alias("completion"), F.to_json("h").alias("history"))
+    asked = prompts.prompt(F.col("h"), None, most_steps, name)
+    return rows.select("game_id", "turn", asked.alias("prompt"), F.concat(F.lit("MOT: "), "guess").alias("completion"), F.to_json("h").alias("history"))
 
 
 def with_end_mark(df: DataFrame, mark: str) -> DataFrame:

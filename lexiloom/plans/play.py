@@ -96,6 +96,13 @@ def trajectory_rows(spark, sf):
     return R.state_rows(Y.curriculum_states(_pages(spark, sf), _player(spark, sf), 5, STEPS, "oracle", warm_up=1), STEPS, GAME, "answer")
 
 
+def oracle_trajectories(spark, sf):
+    def way(game, row, rnd):
+        yield from ({"turn": turn, "guess": word} for turn, word in enumerate(Y.trajectory(game, 8), 1))
+
+    return Y.played(_pages(spark, sf), _player(spark, sf), way, "turn int, guess string")
+
+
 def corrected_rows(spark, sf):
     return R.state_rows(Y.corrected_states(_pages(spark, sf), _player(spark, sf), 3), STEPS, GAME, "answer", "<|im_end|>")
 
@@ -234,7 +241,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_neighbors, full_text, stub_hints, guess_reward_checked, feedback_steps, completion_rewards, shaped_reward, oracle_picks, soft_oracle_rows, stochastic_oracle_rows, teacher_rows,
-        trajectory_rows, corrected_rows, augmented_rows, rescue_words, policy_training_log, q_learning_values, step_prompts, thought_completions, transcript_rows, oracle_row_conversion, completion_choice, curriculum_pages,
+        trajectory_rows, oracle_trajectories, corrected_rows, augmented_rows, rescue_words, policy_training_log, q_learning_values, step_prompts, thought_completions, transcript_rows, oracle_row_conversion, completion_choice, curriculum_pages,
         training_row_reasons, well_scored, popular_long_pages, shuffled_head, completion_vocabulary, agent_summary, mix_shares, sharded_evaluation, guessed_actions, expanded_actions, far_title_actions,
     )
 }

@@ -77,7 +77,8 @@ def warm_stop_states(spark, sf):
 
 
 def curriculum_rows(spark, sf):
-    return D.curriculum_rows(_steps(spark, sf)).select("game_id", "turn", "prompt", "completion", "history")
+    rows = D.curriculum_rows(_steps(spark, sf), 100, "Mots")
+    return rows.select("game_id", "turn", F.md5("prompt").alias("prompt_md5"), "completion", F.json_array_length("history").alias("n_history"))
 
 
 def title_oversampling(spark, sf):
@@ -125,11 +126,6 @@ def probe_words(spark, sf):
     return D.probe_words(tokens, idf, 5).select("game_id", "word", "rank")
 
 
-def oracle_trajectories(spark, sf):
-    tokens, idf = _games(spark, sf)
-    return D.oracle_trajectories(tokens, idf, ["histoire", "ville", "guerre"])
-
-
 def closed_set_solver(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("page_id"), F.col("p_brand").alias("title"), F.col("p_name").alias("intro"))
     tokens = G.page_tokens(p)
@@ -143,7 +139,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         group_advantage, reward_ema, state_keys, prefix_histories, spiral_steps, training_log, evaluation_rollup, opening_words, trend_hints, step_rewards, warm_stop_states, curriculum_rows,
-        title_oversampling, end_marked_completions, batch_result_guesses, softmax_choice, weighted_curriculum_sample, page_sample, probe_words, oracle_trajectories, closed_set_solver,
+        title_oversampling, end_marked_completions, batch_result_guesses, softmax_choice, weighted_curriculum_sample, page_sample, probe_words, closed_set_solver,
     )
 }
 
