@@ -17,6 +17,7 @@ read.  Spans are code points, end exclusive.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -140,7 +141,7 @@ def observe(text: str) -> tuple[list[str], list[dict], list[dict]]:
         right = _TOKEN.search(text[end:hi].lstrip(_TRIM))
         return patterns(left[-2:], [right.group()] if right else [])
 
-    seeds = [{"kind": k, "start": s, "end": e, "instance": text[s:e].lower()[:200], "patterns": around(s, e)} for s, e, k in spans]
+    seeds = [{"kind": k, "start": s, "end": e, "instance": instance(text[s:e]), "patterns": around(s, e)} for s, e, k in spans]
     others, i = [], 0
     for m in re.finditer(r"\S*[0-9@\[({]\S*", text):
         token = m.group()
@@ -154,10 +155,16 @@ def observe(text: str) -> tuple[list[str], list[dict], list[dict]]:
         if any(s < end and e > start for s, e, _ in spans[max(0, i - 1) : i + 3]):
             continue
         near = around(start, end)
-        others += [{"kind": k, "start": start, "end": end, "instance": text[start:end].lower()[:200], "patterns": near} for k in kinds]
+        others += [{"kind": k, "start": start, "end": end, "instance": instance(text[start:end]), "patterns": near} for k in kinds]
     return [f"{k}:{s}:{e}" for k, s, e in base], seeds, others
 
 
+def instance(found: str) -> str:
+    """How an identifier is known: lower case, a very long one by its hash."""
+    low = found.lower()
+    return low if len(low) <= 200 else hashlib.sha256(low.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def observations(docs: DataFrame) -> DataFrame:
     """One row per document: its base spans and what the bootstrap needs of it."""
     inner = docs.select(F.col("doc_id").cast("long").alias("k"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
