@@ -14,6 +14,7 @@ from .pii import op5_personal_data
 from .quality import op4_quality_classifier
 from .simhash import op6_simhash
 from .suffix_dedup import op2_suffix_dedup
+from .token_alignment import op11_token_alignment
 from .token_files import op8_token_ids
 from .word_windows import op9_substring_dedup
 
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_ids": op8_token_ids,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_media_columns": op10_media_columns,
+        "op11_token_alignment": op11_token_alignment,
     }
 
 
