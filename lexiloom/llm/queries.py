@@ -16,6 +16,7 @@ from .simhash import op6_simhash
 from .suffix_dedup import op2_suffix_dedup
 from .token_alignment import op11_token_alignment
 from .token_files import op8_token_ids
+from .turn_reassembly import op13_turn_reassembly
 from .word_windows import op9_substring_dedup
 
 
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_media_columns": op10_media_columns,
         "op11_token_alignment": op11_token_alignment,
+        "op13_turn_reassembly": op13_turn_reassembly,
     }
 
 
@@ -70,6 +72,21 @@ r AS (SELECT DISTINCT doc_id, i + o AS i FROM e, (SELECT unnest(range(13)) AS o)
 k AS (SELECT d.doc_id, count(r.i) AS n_removed, string_agg(w, ' ' ORDER BY d.i) FILTER (r.i IS NULL) AS s FROM d LEFT JOIN r ON r.doc_id = d.doc_id AND r.i = d.i GROUP BY d.doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM dw LEFT JOIN k USING (doc_id)"""
 
+#: A conversation closes two batches after the first of its arrivals that no arrival follows so soon; a turn is released in the last of the batches that kept it and those before it.
+_OP13 = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, ('0x' || substr(sha256(coalesce(conv_id::VARCHAR, '') || ':' || turn::VARCHAR), 1, 8))::BIGINT AS h FROM conversations WHERE turn IS NOT NULL),
+f AS (SELECT conv_id, min(turn) AS first FROM r GROUP BY conv_id),
+x AS (SELECT conv_id, turn, h % 12 AS b, role, text FROM r UNION ALL SELECT conv_id, turn, (h + 5) % 12, 'user', text FROM r WHERE h % 7 < 2),
+a AS (SELECT conv_id, turn, b, min(role || '|' || text) AS p, arg_min(role, role || '|' || text) AS role FROM x GROUP BY conv_id, turn, b),
+g AS (SELECT conv_id, b, lead(b) OVER (PARTITION BY conv_id ORDER BY b) AS nb FROM (SELECT DISTINCT conv_id, b FROM a)),
+c AS (SELECT conv_id, coalesce(min(b + 2) FILTER (b + 2 <= 11 AND coalesce(nb, 99) > b + 2), 12) AS c FROM g GROUP BY conv_id),
+j AS (SELECT a.*, c.c, f.first FROM a JOIN c ON a.conv_id IS NOT DISTINCT FROM c.conv_id JOIN f ON a.conv_id IS NOT DISTINCT FROM f.conv_id),
+k AS (SELECT conv_id, turn, any_value(c) AS c, any_value(first) AS first, min(b) AS b, arg_min(p, b) AS p, arg_min(role, b) AS role FROM j WHERE b < c GROUP BY conv_id, turn),
+o AS (SELECT *, turn - first = row_number() OVER w - 1 AS free, max(b) OVER w AS freed, turn - 1 = lag(turn) OVER w AND role = lag(role) OVER w AS again FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT 'release' AS event, conv_id, turn, freed AS batch, sha256(p) AS sha256, NULL::BIGINT AS n_missing, NULL::BIGINT AS n_breaks FROM o WHERE free
+UNION ALL SELECT 'reject', conv_id, turn, b, sha256(p), NULL, NULL FROM j WHERE b > c
+UNION ALL SELECT 'close', conv_id, -1, any_value(c), sha256(coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (NOT free), '')), max(turn) - any_value(first) + 1 - count(*), count(*) FILTER (again) FROM o GROUP BY conv_id"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": _OP2, "op7_decontamination": _OP7, "op9_substring_dedup": _OP9}
+    return {"op2_suffix_dedup": _OP2, "op7_decontamination": _OP7, "op9_substring_dedup": _OP9, "op13_turn_reassembly": _OP13}
