@@ -12,6 +12,7 @@ from .media import op10_media_columns
 from .packing import op3_best_fit_packing
 from .pii import op5_personal_data
 from .quality import op4_quality_classifier
+from .secret_scans import op12_secret_scan
 from .simhash import op6_simhash
 from .suffix_dedup import op2_suffix_dedup
 from .token_alignment import op11_token_alignment
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_media_columns": op10_media_columns,
         "op11_token_alignment": op11_token_alignment,
+        "op12_secret_scan": op12_secret_scan,
         "op13_turn_reassembly": op13_turn_reassembly,
     }
 
