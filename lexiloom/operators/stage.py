@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """spark.checkpoint.dir has it; local runs without that setting have a folder of their own."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the folder that driver and executors share: spark.checkpoint.dir has it; local runs without that setting have a folder of their own."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local"):
@@ -21,9 +20,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         top = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The table, written to a path of its own and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

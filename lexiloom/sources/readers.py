@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiloom.functions import text as X
+from lexiloom.sources.lines import numbered_lines, placed, sourced
 
 PAGE = T.StructType([T.StructField("title", T.StringType()), T.StructField("intro", T.StringType()), T.StructField("url", T.StringType())])
 DUMP = T.StructType(
@@ -23,19 +24,38 @@ def _filled(c: str):
     return F.when(F.col(c) != "", F.col(c))
 
 
+def page_faults(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no, fault of every filled line of JSON-lines files that isn't a JSON object or lacks a title or intro."""
+    return _checked(spark, path).where("fault is not null").select("file", "line_no", "fault")
+
+
+def _checked(spark: SparkSession, path: str) -> DataFrame:
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    schema = "title string, intro string, url string, _broken string"
+    rows = lines.withColumn("_p", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    fault = (
+        F.when(F.col("_p._broken").isNotNull() | ~F.trim("value").startswith("{"), "not a JSON object")
+        .when(F.col("_p.title").isNull(), "missing required key 'title'")
+        .when(F.col("_p.intro").isNull(), "missing required key 'intro'")
+    )
+    return rows.select("file", "line_no", fault.alias("fault"), "_p.title", "_p.intro", "_p.url")
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Strict: a row without title or intro, or one that isn't JSON, fails the query and is shown in the error."""
-    rows = spark.read.schema(PAGE).option("mode", "FAILFAST").json(path)
-    bad = F.raise_error(F.concat(F.lit("page without title or intro: "), F.coalesce(F.to_json(F.struct("*")), F.lit("{}"))))
-    return rows.select(F.coalesce("title", bad).alias("title"), F.coalesce("intro", bad).alias("intro"), F.coalesce("url", F.lit("")).alias("url"))
+    """Strict: a line without title or intro, or one that isn't JSON, fails the query with its file and line number. Empty lines are skipped."""
+    rows = _checked(spark, path)
+    stop = F.raise_error(F.concat("file", F.lit(":"), "line_no", F.lit(" page without title or intro: "), "fault"))
+    return rows.select(F.when(F.col("fault").isNotNull(), stop).otherwise(F.col("title")).alias("title"), "intro", F.coalesce("url", F.lit("")).alias("url"))
 
 
 def read_pages_tolerant(spark: SparkSession, path: str) -> DataFrame:
-    """Rows that aren't JSON or have no title or text are skipped; the text is the first filled of intro, summary, text; page_id the first of id, page_id."""
+    """Rows that aren't JSON or have no title or text are skipped; the text is the first filled of intro, summary, text; page_id the first of id, page_id that is filled and not 0, else the row's number among the rows that are left, in the order of files and lines."""
     schema = "id long, page_id long, title string, intro string, summary string, text string, url string"
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    rows = rows.select(F.coalesce("id", "page_id").alias("page_id"), _filled("title").alias("title"), F.coalesce(_filled("intro"), _filled("summary"), _filled("text")).alias("intro"), F.coalesce("url", F.lit("")).alias("url"))
-    return rows.where("title is not null and intro is not null")
+    rows = sourced(spark.read.text(path)).withColumn("_p", F.from_json("value", schema)).select("_p.*", "_file", "_block")
+    given = [F.when(F.col(c) != 0, F.col(c)).alias(c) for c in ("id", "page_id")]
+    rows = rows.select(*given, _filled("title").alias("title"), F.coalesce(_filled("intro"), _filled("summary"), _filled("text")).alias("intro"), F.coalesce("url", F.lit("")).alias("url"), "_file", "_block")
+    kept = placed(rows.where("title is not null and intro is not null"))
+    return kept.select(F.coalesce("id", "page_id", "position").alias("page_id"), "title", "intro", "url")
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
@@ -68,12 +88,10 @@ def read_ranking(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_qids(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """qid, rank of the n greatest scores of a (gz) CSV of qid, score with a header: ranked by score, for a file's line order isn't a table's."""
+    """qid, rank of the first n rows of a (gz) CSV of qid, score with a header: the file is sorted by score, so a row's place is its rank."""
     rows = spark.read.option("header", True).csv(path)
-    rows = rows.toDF("qid", "score", *rows.columns[2:]).select("qid", F.col("score").cast("double").alias("score"))
-    from lexiloom.operators.corpus import global_rank
-
-    return global_rank(rows, [F.desc("score"), F.asc("qid")], "rank").where(F.col("rank") <= n).select("qid", "rank")
+    rows = sourced(rows).select(F.col(f"`{rows.columns[0]}`").alias("qid"), "_file", "_block")
+    return placed(rows).where(F.col("position") <= n).select("qid", F.col("position").alias("rank"))
 
 
 def read_dictionary(spark: SparkSession, path: str, lower_first: bool = True) -> DataFrame:
@@ -105,17 +123,16 @@ def lemmas(forms: DataFrame, table: DataFrame, blocked: list[str]) -> DataFrame:
 
 
 def read_vectors(spark: SparkSession, path: str, vocabulary: DataFrame, size: int) -> DataFrame:
-    """word, vec (unit length) of a text file of `word v1 v2 ...`: words whose canonical form, or they themselves, are in the vocabulary(word)."""
-    parts = F.split("value", " ")
-    rows = spark.read.text(path).select(F.get(parts, F.lit(0)).alias("raw"), F.transform(F.slice(parts, 2, size), lambda x: x.try_cast("float")).alias("vec"), F.size(parts).alias("n"))
-    rows = rows.where((F.col("n") == size + 1) & F.forall("vec", lambda x: x.isNotNull())).withColumn("canon", X.canonical_word(F.col("raw")))
+    """word, vec (unit length) of a text file of `word v1 v2 ...`: lines whose word's canonical form, or the word itself, is in the vocabulary(word); the first such line in the file's order counts. Vectors of another size or of no length don't."""
+    parts = F.split(F.rtrim("value"), " ")
+    rows = placed(sourced(spark.read.text(path))).select("position", F.get(parts, F.lit(0)).alias("raw"), F.transform(F.slice(parts, 2, size), lambda x: x.try_cast("float")).alias("vec"), F.size(parts).alias("n"))
     from lexiloom.operators.vectors import unit
 
+    rows = rows.where((F.col("n") == size + 1) & F.forall("vec", lambda x: x.isNotNull())).withColumn("canon", X.canonical_word(F.col("raw"))).withColumn("vec", unit(F.col("vec"))).where("vec is not null")
     words = vocabulary.select("word").distinct()
-    by_canon = rows.join(words, rows.canon == words.word, "left_semi").select(F.col("canon").alias("word"), "raw", "vec")
-    by_raw = rows.join(words, rows.canon == words.word, "left_anti").join(words, rows.raw == words.word, "left_semi").select(F.col("raw").alias("word"), "raw", "vec")
-    first = by_canon.union(by_raw).groupBy("word").agg(F.min(F.struct((F.col("raw") != F.col("word")).alias("other"), "raw", "vec")).alias("m"))
-    return first.select("word", unit(F.col("m.vec")).alias("vec")).where("vec is not null")
+    by_canon = rows.join(words, rows.canon == words.word, "left_semi").select(F.col("canon").alias("word"), "position", "vec")
+    by_raw = rows.join(words, rows.canon == words.word, "left_anti").join(words, rows.raw == words.word, "left_semi").select(F.col("raw").alias("word"), "position", "vec")
+    return by_canon.union(by_raw).groupBy("word").agg(F.min_by("vec", "position").alias("vec"))
 
 
 def write_model(idf: DataFrame, neighbours: DataFrame, starters: DataFrame, path: str) -> None:
