@@ -97,10 +97,12 @@ def display_score(tokens: DataFrame, guesses: DataFrame, similarity: DataFrame)
     return g.select("game_id", "turn").join(best, ["game_id", "turn"], "left").select("game_id", "turn", F.coalesce(F.rint(F.col("best") * 100), F.lit(0)).cast("int").alias("score"))
 
 
-def information(canon: Column, idf: Column) -> Column:
-    """What a word tells: 0 for stop words and short words, else its IDF within 0..8 (1 if unknown). The canonical form is folded once more."""
-    again = T.canonical_word(canon)
-    return F.when(again.isin(*T.STOPWORDS) | (F.length(again) < 3), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(8.0), F.coalesce(idf, F.lit(1.0)))))
+def word_information(canons: DataFrame, idf: DataFrame) -> DataFrame:
+    """canons(canon) -> canon, info: what a word tells. The canonical form is folded once more; the fold is 0 for stop words and short words, else its own IDF within 0..8 (1 if unknown)."""
+    folded = canons.select("canon").distinct().withColumn("_again", T.canonical_word(F.col("canon")))
+    known = folded.join(idf.select(F.col("word").alias("_again"), "idf"), "_again", "left")
+    told = F.greatest(F.lit(0.0), F.least(F.lit(8.0), F.coalesce("idf", F.lit(1.0))))
+    return known.select("canon", F.when(F.col("_again").isin(*T.STOPWORDS) | (F.length("_again") < 3), F.lit(0.0)).otherwise(told).alias("info"))
 
 
 def page_profile(tokens: DataFrame) -> DataFrame:
@@ -137,7 +139,7 @@ def guess_rewards(
     g = staged(g, "guesses")
     live = g.where("valid and not repeated and real")
     first = g.where("guess <> ''").groupBy("game_id", F.col("guess").alias("norm")).agg(F.min("turn").alias("t"))
-    infos = words.select("canon").distinct().join(idf.withColumnRenamed("word", "canon"), "canon", "left").select("canon", information(F.col("canon"), F.col("idf")).alias("info"))
+    infos = word_information(words, idf)
     shown = staged(words.join(infos, "canon").join(first, ["game_id", "norm"], "left"), "shown")
     n = F.col("n_title") + F.col("n_body")
     hits = shown.where("t is not null").groupBy("game_id", F.col("t").alias("turn")).agg(

@@ -13,6 +13,7 @@ from lexiloom.functions import text as T
 from lexiloom.operators import corpus as C
 from lexiloom.operators import game as G
 from lexiloom.operators import lexical as L
+from lexiloom.operators.stage import staged
 from lexiloom.plans import sql as S
 from lexiloom.plans.texts import PAGES_SQL
 
@@ -34,13 +35,16 @@ def _idf(spark, sf):
     return L.smoothed_idf(L.vocabulary(L.page_words(docs, "doc_id", "text")), docs.count())
 
 
-def _similarity(spark, sf):
+def _alike(idf):
     """A stand-in for a trained model: among the most frequent words, those that share three letters are alike."""
-    v = _idf(spark, sf).select("word")
-    l, r = v.select(F.col("word").alias("l"), F.substring("word", 1, 3).alias("k")), v.select(F.col("word").alias("r"), F.substring("word", 1, 3).alias("k"))
+    l, r = idf.select(F.col("word").alias("l"), F.substring("word", 1, 3).alias("k")), idf.select(F.col("word").alias("r"), F.substring("word", 1, 3).alias("k"))
     return l.join(r, "k").where("l <> r").select("l", "r", F.when(F.length("l") == F.length("r"), 0.6).otherwise(0.4).alias("sim"))
 
 
+def _similarity(spark, sf):
+    return _alike(staged(_idf(spark, sf).select("word"), "vocabulary"))
+
+
 def game_reveals(spark, sf):
     pages = _pages(spark, sf)
     found = G.revealed_pages(pages, _guesses(pages)).where("reveal_turn is not null")
@@ -71,8 +75,8 @@ def display_score(spark, sf):
 
 
 def guess_reward(spark, sf):
-    pages = _pages(spark, sf)
-    return G.guess_rewards(G.page_tokens(pages), _guesses(pages), _idf(spark, sf).select("word", "idf"), _similarity(spark, sf))
+    pages, idf = _pages(spark, sf), staged(_idf(spark, sf).select("word", "idf"), "idf")
+    return G.guess_rewards(G.page_tokens(pages), _guesses(pages), idf, _alike(idf))
 
 
 def masked_text(spark, sf):
@@ -170,7 +174,7 @@ gv AS (SELECT game_id, turn, ng AS guess, cg, row_number() OVER (PARTITION BY ga
 lv AS (SELECT * FROM gv WHERE valid AND NOT repeated),
 ca AS (SELECT DISTINCT canon, {S.norm("canon")} AS norm2 FROM tk WHERE is_word),
 cb AS (SELECT canon, {_AGAIN} AS again FROM ca),
-inf AS (SELECT canon, CASE WHEN again IN ({S.STOP}) OR length(again) < 3 THEN 0.0::DOUBLE ELSE greatest(0, least(8, coalesce(idf, 1.0))) END AS info FROM cb LEFT JOIN vc ON vc.word = cb.canon),
+inf AS (SELECT canon, CASE WHEN again IN ({S.STOP}) OR length(again) < 3 THEN 0.0::DOUBLE ELSE greatest(0, least(8, coalesce(idf, 1.0))) END AS info FROM cb LEFT JOIN vc ON vc.word = cb.again),
 fi AS (SELECT game_id, ng, min(turn) AS turn FROM gu WHERE ng <> '' GROUP BY ALL),
 sh AS (SELECT tk.game_id, idx, tk.canon, in_title, info, fi.turn AS t FROM tk JOIN inf ON tk.canon = inf.canon LEFT JOIN fi ON fi.game_id = tk.game_id AND fi.ng = tk.norm WHERE is_word),
 hi AS (SELECT game_id, t AS turn, count(*) AS exact, sum(info) AS ei, sum(CASE WHEN in_title THEN info ELSE 0 END) AS ti, sum(in_title::INT)::BIGINT AS title FROM sh WHERE t IS NOT NULL GROUP BY ALL),

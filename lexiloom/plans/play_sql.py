@@ -64,7 +64,7 @@ ORACLES = {
     "guess_reward_checked": _checked(_REWARD),
     "feedback_steps": _REWARD[:_LAST].rstrip() + f",\nfin AS ({_REWARD[_LAST:]}), {_SCORE} SELECT fin.game_id, fin.turn, fin.guess, coalesce(round_even(s * 100, 0), 0)::INT AS score, fin.exact, fin.semantic, fin.title, fin.reward, fin.solved, fin.invalid AND NOT gv.repeated AS invalid, gv.repeated FROM fin JOIN gv ON gv.game_id = fin.game_id AND gv.turn = fin.turn LEFT JOIN dm ON dm.game_id = fin.game_id AND dm.turn = fin.turn",
     "completion_rewards": "SELECT * FROM (" + _REWARD.replace("FROM g1 WHERE guess IS NOT NULL)", "FROM (SELECT game_id, turn, CASE WHEN turn = 6 THEN " + _EXTRACT + " ELSE guess END AS guess FROM g1 WHERE guess IS NOT NULL))") + ") WHERE turn = 6",
-    "probe_words": rf"WITH {_GAME}, {_MODEL}, ca AS (SELECT DISTINCT canon, {S.norm('canon')} AS norm2 FROM tk WHERE is_word), inf AS (SELECT canon, CASE WHEN {S.canon('norm2')} IN ({S.STOP}) OR length({S.canon('norm2')}) < 3 THEN 0.0::DOUBLE ELSE greatest(0, least(8, coalesce(idf, 1.0))) END AS info FROM ca LEFT JOIN vc ON vc.word = ca.canon), b AS (SELECT game_id, norm AS word, max(info) AS info FROM tk JOIN inf USING (canon) WHERE is_word AND NOT in_title AND length(norm) >= 2 AND regexp_matches(norm, '\p{{L}}') AND NOT regexp_matches(norm, '\p{{N}}') AND norm NOT IN ({S.NEVER}) GROUP BY ALL), t AS (SELECT DISTINCT game_id, norm AS word FROM tk WHERE is_word AND in_title), k AS (SELECT game_id, word, row_number() OVER (PARTITION BY game_id ORDER BY info DESC, word)::INT AS rank FROM b ANTI JOIN t USING (game_id, word) WHERE info > 0) SELECT * FROM k WHERE rank <= 5",
+    "probe_words": rf"WITH {_GAME}, {_MODEL}, ca AS (SELECT DISTINCT canon, {S.norm('canon')} AS norm2 FROM tk WHERE is_word), inf AS (SELECT canon, CASE WHEN {S.canon('norm2')} IN ({S.STOP}) OR length({S.canon('norm2')}) < 3 THEN 0.0::DOUBLE ELSE greatest(0, least(8, coalesce(idf, 1.0))) END AS info FROM ca LEFT JOIN vc ON vc.word = {S.canon('norm2')}), b AS (SELECT game_id, norm AS word, max(info) AS info FROM tk JOIN inf USING (canon) WHERE is_word AND NOT in_title AND length(norm) >= 2 AND regexp_matches(norm, '\p{{L}}') AND NOT regexp_matches(norm, '\p{{N}}') AND norm NOT IN ({S.NEVER}) GROUP BY ALL), t AS (SELECT DISTINCT game_id, norm AS word FROM tk WHERE is_word AND in_title), k AS (SELECT game_id, word, row_number() OVER (PARTITION BY game_id ORDER BY info DESC, word)::INT AS rank FROM b ANTI JOIN t USING (game_id, word) WHERE info > 0) SELECT * FROM k WHERE rank <= 5",
     "batch_result_guesses": rf"WITH c AS (SELECT conv_id AS game_id, conv_id || '-' || turn AS custom_id, {_EXTRACT.replace('guess', 'text')} AS x FROM conversations WHERE text IS NOT NULL AND turn % 2 = 0), g AS (SELECT game_id, custom_id, {S.norm('x')} AS guess FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY game_id, guess ORDER BY custom_id) AS r FROM g WHERE length(guess) >= 2 AND regexp_matches(guess, '\p{{L}}') AND NOT regexp_matches(guess, '\p{{N}}') AND guess NOT IN ({S.NEVER})) SELECT custom_id, game_id, guess FROM k WHERE r = 1",
     "step_prompts": f"WITH {_PROMPTS} SELECT game_id, turn, md5({_USER} || prompt || {_ANSWER}) AS prompt_md5 FROM pr",
     "curriculum_rows": f"WITH {_PROMPTS} SELECT game_id, turn, md5(prompt) AS prompt_md5, 'MOT: ' || guess AS completion, turn - 1 AS n_history FROM pr",

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.plans import files, games, play, policies, texts, vectors
+from lexiloom.plans import files, games, play, policies, redirects, texts, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [texts, vectors, games, policies, play, files]
+_MODULES = [texts, vectors, games, policies, play, files, redirects]
 
 
 def queries() -> dict[str, Query]:
