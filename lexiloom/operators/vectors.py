@@ -1,23 +1,16 @@
 """Word vectors: similarities, centroid, merging, similarity joins, rank tables, inverted indexes, unknown words, soft labels.
 
 vectors: word, vec (array of float, unit length).  Two paths give the same
-numbers: native array functions, and for large joins blocks of a matrix product
-in Arrow batches, of which only the nearest words of a page word, or a page's
-best, leave a task.
+numbers: native array functions, and for nearest words the cells of `nearest`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
-from lexiloom.operators.stage import staged
+from lexiloom.operators.nearest import Cells, best_by_owner, nearest
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -61,77 +54,17 @@ def pair_similarity(pairs: DataFrame, vectors: DataFrame, clip: bool = True) ->
     return pairs.join(a, "l", "left").join(b, "r", "left").select("l", "r", sim.alias("sim"))
 
 
-#: Bytes of vocabulary vectors (as float64) that are sent to the tasks at a time.
-BLOCK_BYTES = 64_000_000
-
-
-def _by_block(vectors: DataFrame, page_words: DataFrame, schema: str, multiply: Callable[[pd.DataFrame, list[str], np.ndarray], pd.DataFrame]) -> list[DataFrame]:
-    """multiply(page words with their vectors, words, matrix) over every block of the vocabulary.
-
-    A block is broadcast, its size bounded by BLOCK_BYTES; a vocabulary of several
-    blocks goes through one after the other, and what a block gives is written
-    before the next one is sent.
-    """
-    spark = vectors.sparkSession
-    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
-    n_blocks = -(-(size["n"] or 0) * (size["d"] or 0) * 8 // BLOCK_BYTES)
-    found = page_words.join(vectors, "word").select("page_id", F.col("word").alias("page_word"), "vec")
-    out = []
-    for block in range(max(1, n_blocks)):
-        part = vectors if n_blocks <= 1 else vectors.where(F.pmod(F.xxhash64("word"), F.lit(n_blocks)) == block)
-        local = part.select("word", F.col("vec").cast("array<double>").alias("vec")).toArrow()
-        flat = local.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        shared = spark.sparkContext.broadcast((local.column("word").to_pylist(), flat.reshape(local.num_rows, -1)))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            words, matrix = shared.value
-            for batch in batches:
-                for at in range(0, len(batch), 64):
-                    if words:
-                        yield multiply(batch.iloc[at : at + 64], words, matrix)
-
-        made = found.mapInPandas(run, schema)
-        out.append(made if n_blocks <= 1 else staged(made, "similarities"))
-    return out
-
-
-def _matrix(rows: pd.DataFrame) -> np.ndarray:
-    return np.array(rows["vec"].tolist(), np.float64).reshape(len(rows), -1)
-
-
 def nearest_of_page_words(vectors: DataFrame, page_words: DataFrame, k: int) -> DataFrame:
-    """page_id, page_word, word, sim: the k vocabulary words most similar to each word of each page that has a vector (ties by word, 9 digits). Never more than k rows a page word and block leave a task."""
-
-    def multiply(rows: pd.DataFrame, words: list[str], matrix: np.ndarray) -> pd.DataFrame:
-        sims = _matrix(rows) @ matrix.T
-        digits, names = np.round(sims, 9), np.array(words, object)
-        keep, picks = min(k, len(words)), []
-        for row in digits:
-            least = np.partition(row, len(row) - keep)[len(row) - keep]
-            near = np.flatnonzero(row >= least)  # with all ties of the k-th
-            picks.append(near[np.lexsort((names[near].astype(str), -row[near]))[:keep]])
-        at, n = np.concatenate(picks), np.array([len(p) for p in picks])
-        owner = np.repeat(np.arange(len(rows)), n)
-        return pd.DataFrame({"page_id": rows["page_id"].to_numpy()[owner], "page_word": rows["page_word"].to_numpy()[owner], "word": names[at], "sim": sims[owner, at]})
-
-    schema = f"page_id {dict(page_words.dtypes)['page_id']}, page_word string, word string, sim double"
-    parts = _by_block(vectors, page_words, schema, multiply)
-    if len(parts) == 1:
-        return parts[0]
-    order = Window.partitionBy("page_id", "page_word").orderBy(F.desc(F.round("sim", 9)), "word")
-    return reduce(DataFrame.union, parts).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+    """page_id, page_word, word, sim: the k vocabulary words most similar to each word of each page that has a vector (ties by word, 9 digits). A word is searched once however many pages have it."""
+    asked = page_words.select("word").distinct().join(vectors.select("word", "vec"), "word")
+    found, _ = nearest(Cells(vectors), asked, k)
+    return page_words.select("page_id", F.col("word").alias("page_word")).join(found.select(F.col("query").alias("page_word"), "word", "sim"), "page_word").select("page_id", "page_word", "word", "sim")
 
 
 def best_of_pages(vectors: DataFrame, page_words: DataFrame) -> DataFrame:
-    """page_id, word, sim: a vocabulary word's greatest similarity to any word of the page, for every page and word. A task sends one row for the page words of a batch."""
-
-    def multiply(rows: pd.DataFrame, words: list[str], matrix: np.ndarray) -> pd.DataFrame:
-        sims, pages = _matrix(rows) @ matrix.T, rows["page_id"].to_numpy()
-        found = [(page, sims[pages == page].max(axis=0)) for page in pd.unique(pages)]
-        return pd.DataFrame({"page_id": np.repeat([page for page, _ in found], len(words)), "word": words * len(found), "sim": np.concatenate([best for _, best in found])})
-
-    parts = _by_block(vectors, page_words.repartition("page_id"), f"page_id {dict(page_words.dtypes)['page_id']}, word string, sim double", multiply)
-    return reduce(DataFrame.union, parts).groupBy("page_id", "word").agg(F.max("sim").alias("sim"))
+    """page_id, word, sim: a vocabulary word's greatest similarity to any word of the page, for every page and word."""
+    owned = page_words.join(vectors.select("word", "vec"), "word").select(F.col("page_id").alias("owner"), "word", "vec")
+    return best_by_owner(Cells(vectors), owned).withColumnRenamed("owner", "page_id")
 
 
 def rank_table(vectors: DataFrame, page_words: DataFrame, n: int = 1000) -> DataFrame:
