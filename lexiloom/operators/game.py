@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
+from lexiloom.operators.similarity import SimilaritySource, answered
 from lexiloom.operators.stage import staged
 
 SEMANTIC_THRESHOLD = 0.34
@@ -78,21 +79,22 @@ def exact_hits(revealed: DataFrame, guesses: DataFrame) -> DataFrame:
     return guesses.select("game_id", "turn").join(hits, ["game_id", "turn"], "left").fillna(0, ["exact", "title"])
 
 
-def semantic_hits(revealed: DataFrame, guesses: DataFrame, similarity: DataFrame, threshold: float = SEMANTIC_THRESHOLD) -> DataFrame:
+def semantic_hits(revealed: DataFrame, guesses: DataFrame, similarity: DataFrame | SimilaritySource, threshold: float = SEMANTIC_THRESHOLD) -> DataFrame:
     """game_id, turn, idx, percent: body words still hidden after the turn whose similarity (l, r, sim; both directions given) reaches the threshold."""
     g = prepared_guesses(guesses).select("game_id", "turn", F.col("canon_guess").alias("l"))
+    similarity = answered(similarity, g, revealed.where("is_word and not in_title").select("game_id", F.col("canon").alias("r")))
     near = g.join(similarity.where(F.col("sim") >= threshold), "l")
     hidden = revealed.where("is_word and not in_title").select("game_id", "idx", F.col("canon").alias("r"), "reveal_turn")
     hit = near.join(hidden, ["game_id", "r"]).where(F.col("reveal_turn").isNull() | (F.col("reveal_turn") > F.col("turn")))
     return hit.select("game_id", "turn", "idx", F.rint(F.col("sim") * 100).cast("int").alias("percent"))
 
 
-def display_score(tokens: DataFrame, guesses: DataFrame, similarity: DataFrame) -> DataFrame:
+def display_score(tokens: DataFrame, guesses: DataFrame, similarity: DataFrame | SimilaritySource) -> DataFrame:
     """game_id, turn, score 0..100: the guess's best similarity to any word of the page (100 if the page has it)."""
     g = prepared_guesses(guesses).select("game_id", "turn", F.col("canon_guess").alias("l"))
     canons = tokens.where("is_word").select("game_id", F.col("canon").alias("r")).distinct()
     same = g.join(canons.withColumnRenamed("r", "l"), ["game_id", "l"], "left_semi").select("game_id", "turn", F.lit(1.0).alias("sim"))
-    near = g.join(similarity, "l").join(canons, ["game_id", "r"]).select("game_id", "turn", "sim")
+    near = g.join(answered(similarity, g, canons), "l").join(canons, ["game_id", "r"]).select("game_id", "turn", "sim")
     best = same.union(near).groupBy("game_id", "turn").agg(F.max("sim").alias("best"))
     return g.select("game_id", "turn").join(best, ["game_id", "turn"], "left").select("game_id", "turn", F.coalesce(F.rint(F.col("best") * 100), F.lit(0)).cast("int").alias("score"))
 
@@ -112,11 +114,11 @@ def page_profile(tokens: DataFrame) -> DataFrame:
 
 
 def guess_rewards(
-    tokens: DataFrame, guesses: DataFrame, idf: DataFrame, similarity: DataFrame, real_words: DataFrame | None = None, background: DataFrame | None = None, scale: float = 1.0
+    tokens: DataFrame, guesses: DataFrame, idf: DataFrame, similarity: DataFrame | SimilaritySource, real_words: DataFrame | None = None, background: DataFrame | None = None, scale: float = 1.0
 ) -> DataFrame:
     """The reward of every guess of every game, all at once: game_id, turn, guess, reward, exact, semantic, title, solved, invalid.
 
-    idf(word, idf); similarity(l, r, sim), without equal words; real_words(word):
+    idf(word, idf); similarity(l, r, sim), without equal words, or a source of it; real_words(word):
     what counts as a word besides the page's own (None: everything);
     background(word, bg): how near a word is to any page, taken from its similarities.
     Every guess reveals its tokens to the turns after it, an invalid one too; only
@@ -144,6 +146,7 @@ def guess_rewards(
     n = F.col("n_title") + F.col("n_body")
     hits = shown.where("t is not null").groupBy("game_id", F.col("t").alias("turn")).agg(
         F.sum(n).alias("exact"), F.sum(F.col("info") * n).alias("exact_info"), F.sum(F.col("info") * F.col("n_title")).alias("title_info"), F.sum("n_title").alias("title"))
+    similarity = answered(similarity, live.select("game_id", F.col("canon_guess").alias("l")), words.select("game_id", F.col("canon").alias("r")))
     near = live.select("game_id", "turn", F.col("canon_guess").alias("l"), "bg").join(similarity, "l").select("game_id", "turn", F.col("r").alias("canon"), "sim", "bg")
     # Hidden words with the guess's own canonical form (and another normal form) are as similar as can be.
     same = live.select("game_id", "turn", F.col("canon_guess").alias("canon"), F.lit(1.0).alias("sim"), "bg")

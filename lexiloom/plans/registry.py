@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.plans import files, games, ingest, play, policies, redirects, texts, vectors
+from lexiloom.plans import files, games, ingest, play, policies, redirects, similar, texts, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [texts, vectors, games, policies, play, files, redirects, ingest]
+_MODULES = [texts, vectors, games, policies, play, files, redirects, ingest, similar]
 
 
 def queries() -> dict[str, Query]:
