@@ -10,11 +10,20 @@ region is the innermost container with most of the slot text, inside or outside
 an article or main element; one of these is preferred to a container in it, and is
 the region where no container has most of the slots or the host shows no template.
 
-A block of text is template, wherever it stands, if it is on more than one page and
-on most pages (TEMPLATE_SHARE) of the host, or of those of the host's pages that
-have, or lack, an article or main element.  Pages without text don't count, and
-copies of a page count once.  List items that stand directly in an article or main
-element are its iterator's, and never template.
+A block of text is template if it stands at the same place of the tree (the keys of
+the elements down to it) on more than one page and on most pages (TEMPLATE_SHARE) of
+the host, or of those of the host's pages that have, or lack, an article or main
+element.  Headings, paragraphs and quotations are what articles are made of: there a
+place is fixed only if PROSE_PAGES pages or more have it and all but a few of these
+(PROSE_SHARE) have this text there, so a headline or a sentence that some pages share
+stays, and where such texts would be most of a page's prose the host's pages are
+versions of one text and keep it.  Headings in an article or main element, and list
+items that stand directly in one, are never template.  Pages without text don't
+count, and copies of a page count once.
+
+Elements and whole classes that say navigation, adverts, comments and the like are
+left out before; inside an article or main element only if every class of the
+element says so (`side effects` stays), and tables there never.
 
 Wrappers are merged in steps: within a batch, then over salted parts of a host,
 then per host, so that a host with a third of all pages is no single task's work
@@ -34,6 +43,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -50,6 +60,7 @@ BLOCK = frozenset(
 )
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 ITEM = frozenset("li dt dd".split())
+IN_TABLES = frozenset("table tbody thead tfoot tr td th caption".split())
 CONTAINER = frozenset("html body div section main article table tbody tr td center".split())
 #: A start tag that ends an open element of these kinds (up to the nearest of the second kinds).
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
@@ -64,8 +75,9 @@ ASIDE_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments reply replies disqus ad ads advert sponsored promo teaser teasers related recommended".split())
 #: Elements of running text: a word counts only where it is a whole class, id or role, not a part of one.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
-#: A text on so much of a host's pages is template.
-TEMPLATE_SHARE = 0.6
+#: A text at one place of so much of a host's pages is template; of running text so much of the pages that have the place, and so many pages.
+TEMPLATE_SHARE, PROSE_SHARE, PROSE_PAGES = 0.6, 0.95, 3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: In a wrapper, what is in elements deeper than this stands in the one at this depth (pages are parsed and read at every depth).
 DEPTH = 48
 #: Open elements that keep a block from ending a paragraph around them.
@@ -78,24 +90,30 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Element:
-    __slots__ = ("tag", "key", "skip", "kids")
+    __slots__ = ("tag", "key", "skip", "kids", "path", "inside")
 
-    def __init__(self, tag: str, key: str, skip: bool):
-        self.tag, self.key, self.skip, self.kids = tag, key, skip, []
+    def __init__(self, tag: str, key: str, skip: bool, path: int = 0, inside: bool = False):
+        self.tag, self.key, self.skip, self.kids, self.path, self.inside = tag, key, skip, [], path, inside
 
 
-def _element(tag: str, attributes: str) -> Element:
+def _element(tag: str, attributes: str, parent: Element, inside: bool = False) -> Element:
+    """inside: an article or main element is open around it."""
     key, skip = tag, tag in ASIDE
     if "=" in attributes:
         words: set[str] = set()
+        classes: list[str] = []
         for m in _ATTRIBUTE.finditer(attributes):
             value = (m[2] or m[3] or m[4] or "").lower()
             if m[1].lower() == "class":
+                classes = value.split()
                 key = f"{tag}.{'.'.join(sorted(_DIGITS.sub('0', value).split()))}"
             words.update(value.split() if tag in PROSE else _WORD.findall(value))
         bad = COMMENT_WORDS if tag == "article" else ASIDE_WORDS
-        skip = skip or (tag not in ("html", "body", "main") and not words.isdisjoint(bad))
-    return Element(tag, key, skip)
+        said = tag not in ("html", "body", "main") and not words.isdisjoint(bad)
+        if said and inside and tag not in PROSE and tag != "article":
+            said = tag not in IN_TABLES and all(not bad.isdisjoint(_WORD.findall(c)) for c in classes)
+        skip = skip or said
+    return Element(tag, key, skip, zlib.crc32(key.encode("utf-8", "surrogatepass"), parent.path), inside)
 
 
 def parse(page: str) -> Element:
@@ -134,7 +152,7 @@ def parse(page: str) -> Element:
             ends, bound = CLOSES[tag]
             if (i := nearest(ends)) > nearest(bound):
                 end(i)
-        new = _element(tag, m[3])
+        new = _element(tag, m[3], stack[-1], bool(places.get("article") or places.get("main")))
         stack[-1].kids.append(new)
         if tag in RAW:
             last = re.compile(f"</{tag}", re.I).search(page, at)
@@ -278,7 +296,7 @@ def region(w: list, pages: int, share: float = 0.6) -> dict:
             inside += mass(x)
         elif x[0] != "#":
             todo += x[3]
-    return {"path": path, "articles": 2 * inside >= mass(here) > 0}
+    return {"path": path, "articles": 2 * inside >= mass(here) > 0, "slots": mass is slot_mass}
 
 
 # --- extraction ------------------------------------------------------------------------------------------------------
@@ -304,7 +322,7 @@ def shape(root: Element) -> str:
 
 
 def _regions(root: Element, rule: dict | None, fixed: frozenset[int]) -> list[Element]:
-    if not rule or not fixed:  # no template is seen: as the page itself says
+    if not rule or not (fixed or rule["slots"]):  # neither slots nor a template are seen: as the page itself says
         found = _articles(root)
         if found or not rule:
             return found or [root]
@@ -317,10 +335,37 @@ def _regions(root: Element, rule: dict | None, fixed: frozenset[int]) -> list[El
     return (_articles(here) if rule["articles"] else []) or [here]
 
 
-def blocks(regions: list[Element]) -> Iterator[tuple[str, bool]]:
-    """text, and if it is a list item directly in an article or main element, of each block."""
+class Block(NamedTuple):
+    """A block's text, whether it is a list item directly in an article or main element, and the element that it stands in."""
+
+    text: str
+    item: bool
+    owner: Element | None
+
+    @property
+    def prose(self) -> bool:
+        return self.owner is not None and self.owner.tag in PROSE
+
+    @property
+    def place(self) -> int:
+        """Where it stands: the keys down to it."""
+        return text_hash(f"place {self.owner.path if self.owner else 0}")
+
+    @property
+    def known(self) -> int:
+        """The text at its place."""
+        return text_hash(f"{self.owner.path if self.owner else 0} {self.text}")
+
+    @property
+    def stays(self) -> bool:
+        """Never template."""
+        return self.item or (self.prose and self.owner.inside and self.owner.tag in HEADINGS)
+
+
+def blocks(regions: list[Element]) -> Iterator[Block]:
     held: list[str] = []
     article = item = False
+    owner = None
     todo: list = list(reversed(regions))
     while todo:
         x = todo.pop()
@@ -339,27 +384,35 @@ def blocks(regions: list[Element]) -> Iterator[tuple[str, bool]]:
         text = squeeze("".join(held))
         held.clear()
         if text:
-            yield text, item
+            yield Block(text, item, owner)
         if isinstance(x, tuple):  # a block ends
-            article, item = x
+            article, item, owner = x
             continue
-        todo.append((article, item))
+        todo.append((article, item, owner))
+        owner = x
         if x.tag in CONTAINER:
             article, item = x.tag in ("article", "main"), False
         item = item or (article and x.tag in ITEM)
         todo += reversed(x.kids)
     text = squeeze("".join(held))
     if text:
-        yield text, item
+        yield Block(text, item, owner)
 
 
 def main_text(page: str | None, rule: dict | None = None, fixed: frozenset[int] = frozenset()) -> str:
-    """rule, fixed: the region and the hashes of template texts of the page's host and shape."""
+    """rule, fixed: the region and the hashes of template texts at their places, of the page's host and shape."""
     return _main_text(parse(page), rule, fixed) if page else ""
 
 
 def _main_text(root: Element, rule: dict | None, fixed: frozenset[int]) -> str:
-    return "\n\n".join(text for text, item in blocks(_regions(root, rule, fixed)) if item or not fixed or text_hash(text) not in fixed)
+    found = list(blocks(_regions(root, rule, fixed)))
+    if fixed:
+        template = [not b.stays and b.known in fixed for b in found]
+        prose = sum(len(b.text) for b in found if b.prose)
+        lost = sum(len(b.text) for b, t in zip(found, template, strict=True) if t and b.prose)
+        versions = 2 * lost > prose
+        found = [b for b, t in zip(found, template, strict=True) if not t or (versions and b.prose)]
+    return "\n\n".join(b.text for b in found)
 
 
 # --- operator ---------------------------------------------------------------------------------------------------------
@@ -381,14 +434,14 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(PART, [(host, kind, zlib.crc32(f"{host}{pages}{slot_mass(w)}".encode()) % SALTS, pages, json.dumps(w)) for (host, kind), (pages, w) in found.items()])
 
 
-SEEN = pa.schema([("host", pa.string()), ("shape", pa.string()), ("page", pa.int64()), ("text", pa.int64())])
-SEEN_DDL = "host string, shape string, page long, text long"
-#: In the place of a text: the page itself.
-WHOLE = -1
+SEEN = pa.schema([("host", pa.string()), ("shape", pa.string()), ("page", pa.int64()), ("text", pa.int64()), ("place", pa.int64())])
+SEEN_DDL = "host string, shape string, page long, text long, place long"
+#: Instead of a place: of the page itself, of a place of running text, of a text that isn't running.
+WHOLE, PLACE, LOOSE = -1, -2, -3
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts of each page, which is known by a hash of them."""
+    """The texts of each page at their places, and the places; the page is known by a hash of its texts."""
     for batch in batches:
         rows: list[tuple] = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -397,24 +450,35 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not found:
                 continue
             kind = shape(root)
-            known = int.from_bytes(hashlib.blake2b("\n".join(text for text, _ in found).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-            rows += [(host, kind, known, t) for t in {WHOLE, *(text_hash(text) for text, item in found if not item)}]
+            known = int.from_bytes(hashlib.blake2b("\n".join(b.text for b in found).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+            texts = {(0, WHOLE)}
+            for b in found:
+                if b.stays:
+                    continue
+                place = b.place if b.prose else LOOSE
+                texts.add((b.known, place))
+                if b.prose:
+                    texts.add((place, PLACE))
+            rows += [(host, kind, known, t, p) for t, p in texts]
         yield record_batch(SEEN, rows)
 
 
 def template_texts(pages: DataFrame) -> DataFrame:
-    """host, fixed_article, fixed_other: hashes of the template texts of its pages with and without an article or main element. pages: host, html.
+    """host, fixed_article, fixed_other: hashes of the template texts at their places, of its pages with and without an article or main element. pages: host, html.
 
-    Counts of (host, text) add up from every task; of a host only the texts on more than one page meet its number of pages.
+    Counts of (host, text) add up from every task; of a host only the texts on more than one page meet its numbers of pages.
     """
     seen = pages.select("host", "html").mapInArrow(_seen, SEEN_DDL).distinct()
     of = lambda kind: F.count(F.when(F.col("shape") == kind, 1))
-    counts = staged(seen.groupBy("host", "text").agg(of("article").alias("a"), of("").alias("o")).where(f"text = {WHOLE} or a + o > 1"), "texts")
-    whole = counts.where(f"text = {WHOLE}").select(F.col("host").alias("_host"), F.col("a").alias("_a"), F.col("o").alias("_o"))
-    texts = counts.where(f"text <> {WHOLE}").join(whole, F.col("host") == F.col("_host"))
+    counts = staged(seen.groupBy("host", "text", "place").agg(of("article").alias("a"), of("").alias("o")).where(f"place = {WHOLE} or a + o > 1"), "texts")
+    whole = counts.where(f"place = {WHOLE}").select(F.col("host").alias("_host"), F.col("a").alias("_a"), F.col("o").alias("_o"))
+    places = counts.where(f"place = {PLACE}").select(F.col("host").alias("_phost"), F.col("text").alias("_place"), F.col("a").alias("_pa"), F.col("o").alias("_po"))
+    texts = counts.where(f"place not in ({WHOLE}, {PLACE})").join(whole, F.col("host") == F.col("_host")).join(places, (F.col("host") == F.col("_phost")) & (F.col("place") == F.col("_place")), "left")
     often = lambda n, of: (n > 1) & (n >= TEMPLATE_SHARE * of)
-    a, o = F.col("a"), F.col("o")
-    texts = texts.withColumn("_every", often(a + o, F.col("_a") + F.col("_o"))).withColumn("_in_a", F.col("_every") | often(a, F.col("_a"))).withColumn("_in_o", F.col("_every") | often(o, F.col("_o")))
+    fixed_at = lambda n, of: (n >= PROSE_PAGES) & (n >= PROSE_SHARE * of)
+    a, o, loose = F.col("a"), F.col("o"), F.col("place") == LOOSE
+    every = loose & often(a + o, F.col("_a") + F.col("_o"))
+    texts = texts.withColumn("_in_a", F.when(loose, every | often(a, F.col("_a"))).otherwise(fixed_at(a, F.col("_pa")))).withColumn("_in_o", F.when(loose, every | often(o, F.col("_o"))).otherwise(fixed_at(o, F.col("_po"))))
     fixed = lambda part: F.collect_list(F.when(F.col(part), F.col("text")))  # noqa: E731  (at most 1 / TEMPLATE_SHARE times a page's texts)
     return texts.where("_in_a or _in_o").groupBy("host").agg(fixed("_in_a").alias("fixed_article"), fixed("_in_o").alias("fixed_other"))
 
