@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -101,7 +102,7 @@ def shapes(token: str) -> list[str]:
 
 
 def _fold(word: str) -> str:
-    return re.sub(r"[0-9]", "0", word.lower().strip(_TRIM))
+    return instance(re.sub(r"[0-9]", "0", word.lower().strip(_TRIM)))
 
 
 def patterns(left: list[str], right: list[str]) -> list[str]:
@@ -133,13 +134,19 @@ def observe(text: str) -> tuple[list[str], list[dict], list[dict]]:
         return [], [], []
     spans = sorted((s, e, k) for k, s, e in base)
 
+    words = [m.span() for m in _TOKEN.finditer(text)]
+    starts = [s for s, _ in words]
+
     def around(start: int, end: int) -> list[str]:
-        lo, hi = max(0, start - 120), end + 120
-        left = [m.group() for m in _TOKEN.finditer(text[lo:start])]
-        if lo > 0 and left:
-            left = left[1:]  # it may have lost its beginning
-        right = _TOKEN.search(text[end:hi].lstrip(_TRIM))
-        return patterns(left[-2:], [right.group()] if right else [])
+        """Patterns of the two words before a place, however far they are, and of the one behind it; a word that the place cuts counts with its part."""
+        i = bisect_left(starts, start)
+        left = [text[s : min(e, start)] for s, e in words[max(0, i - 2) : i]]
+        while end < len(text) and text[end] in _TRIM:
+            end += 1
+        j = bisect_right(starts, end) - 1
+        if j < 0 or words[j][1] <= end:
+            j += 1
+        return patterns(left, [text[max(end, words[j][0]) : words[j][1]]] if j < len(words) else [])
 
     seeds = [{"kind": k, "start": s, "end": e, "instance": instance(text[s:e]), "patterns": around(s, e)} for s, e, k in spans]
     others, i = [], 0
@@ -160,7 +167,7 @@ def observe(text: str) -> tuple[list[str], list[dict], list[dict]]:
 
 
 def instance(found: str) -> str:
-    """How an identifier is known: lower case, a very long one by its hash."""
+    """How an identifier or a word is known: lower case, a very long one by its hash."""
     low = found.lower()
     return low if len(low) <= 200 else hashlib.sha256(low.encode("utf-8", "surrogatepass")).hexdigest()
 

@@ -29,8 +29,8 @@ from .tokens import text_groups
 
 #: Most labelled rows that the fit reads.
 FIT_ROWS = 4000
-#: Most bytes of their texts.
-FIT_BYTES = 64_000_000
+#: Most bytes of their texts, and of one of them.
+FIT_BYTES, FIT_TEXT = 64_000_000, 4_000_000
 BUCKETS, DIMENSIONS, EPOCHS, LEAST_STEPS, RATE, GROUP, SEED = 1 << 18, 8, 4, 1000, 0.5, 16, 7  # few rows are gone through more often
 KEEP = 0.7
 CACHE_WORDS = 120_000
@@ -187,12 +187,12 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fits on at most `rows` labelled rows that are not held out, and on at most FIT_BYTES of their texts, in the order of a hash."""
+    """Fits on at most `rows` labelled rows that are not held out, and on at most FIT_BYTES of their texts, in the order of a hash. A text over FIT_TEXT bytes is skipped, so none shuts out those behind it."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("k")).agg(F.min("quality").alias("y")).orderBy(F.xxhash64("k"), "k").limit(rows)
     found = doc_bytes(docs).join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("t").alias("t"), F.min("y").alias("y"))  # at most `rows` ids; of rows that repeat an id the least text
     upto = F.sum(F.length("t")).over(Window.orderBy(F.xxhash64("k"), "k"))
-    picked = sorted(found.withColumn("upto", upto).where(F.col("upto") <= FIT_BYTES).select("k", "t", "y").collect(), key=lambda r: r.k)
+    picked = sorted(found.where(F.length("t") <= FIT_TEXT).withColumn("upto", upto).where(F.col("upto") <= FIT_BYTES).select("k", "t", "y").collect(), key=lambda r: r.k)
     return fit([str(bytes(r.t), "utf-8") for r in picked], [int(r.y == 1) for r in picked])
 
 
