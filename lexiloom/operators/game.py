@@ -114,17 +114,19 @@ def page_profile(tokens: DataFrame) -> DataFrame:
 
 
 def guess_rewards(
-    tokens: DataFrame, guesses: DataFrame, idf: DataFrame, similarity: DataFrame | SimilaritySource, real_words: DataFrame | None = None, background: DataFrame | None = None, scale: float = 1.0
+    tokens: DataFrame | None, guesses: DataFrame, idf: DataFrame, similarity: DataFrame | SimilaritySource, real_words: DataFrame | None = None, background: DataFrame | None = None, scale: float = 1.0,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """The reward of every guess of every game, all at once: game_id, turn, guess, reward, exact, semantic, title, solved, invalid.
 
-    idf(word, idf); similarity(l, r, sim), without equal words, or a source of it; real_words(word):
+    profile: page_profile, where there is one already; idf(word, idf);
+    similarity(l, r, sim), without equal words, or a source of it; real_words(word):
     what counts as a word besides the page's own (None: everything);
     background(word, bg): how near a word is to any page, taken from its similarities.
     Every guess reveals its tokens to the turns after it, an invalid one too; only
     valid, new and real ones earn.
     """
-    words = staged(page_profile(tokens), "profile")
+    words = staged(page_profile(tokens) if profile is None else profile.select("game_id", "norm", "canon", "n_title", "n_body"), "profile")
     g = prepared_guesses(guesses).select("game_id", "turn", F.col("norm_guess").alias("guess"), "canon_guess")
     earlier = Window.partitionBy("game_id", "guess").orderBy("turn")
     g = g.withColumn("repeated", F.row_number().over(earlier) > 1).withColumn("valid", T.is_valid_guess(F.col("guess")))

@@ -8,12 +8,11 @@ from lexiloom.functions import prompts
 from lexiloom.functions import text as T
 from lexiloom.operators import game as G
 from lexiloom.operators import lexical as L
-from lexiloom.operators import play as Y
+from lexiloom.operators import oracles as O
 from lexiloom.operators import rows as R
-from lexiloom.operators import training as N
 from lexiloom.operators.corpus import global_rank
 from lexiloom.operators.stage import staged
-from lexiloom.plans.games import _guesses, _idf, _pages, _similarity
+from lexiloom.plans.games import _alike, _guesses, _idf, _pages, _similarity
 from lexiloom.plans.play_sql import END, GAME, ORACLES, STEPS  # noqa: F401
 from lexiloom.plans.policies import _steps
 from lexiloom.plans.texts import _model
@@ -27,11 +26,6 @@ def _lexicon(spark, sf):
     return vocab, L.neighbours(L.pair_counts(words, vocab), vocab)
 
 
-def _player(spark, sf):
-    vocab, near = _lexicon(spark, sf)
-    return Y.collected_model(vocab, near, L.starter_words(vocab))
-
-
 def document_neighbors(spark, sf):
     return _lexicon(spark, sf)[1]
 
@@ -75,62 +69,36 @@ def shaped_reward(spark, sf):
     return found.select("game_id", "turn", F.round("shaped", 4).alias("shaped"))
 
 
-def oracle_picks(spark, sf):
-    return Y.picks(_pages(spark, sf), _player(spark, sf))
+EXTRAS = ["sport", "histoire", "ville", "that"]
 
 
-def soft_oracle_rows(spark, sf):
-    return R.state_rows(Y.oracle_states(_pages(spark, sf), _player(spark, sf), 5), STEPS, GAME, "none", END)
+def _picks(spark, sf, with_title, temperature=0.0, k=1, rounds=1):
+    """After the first two guesses of every game."""
+    pages, idf = _pages(spark, sf), staged(_idf(spark, sf).select("word", "idf"), "idf")
+    tokens = staged(G.page_tokens(pages), "tokens")
+    return O.oracle_rounds(tokens, idf, staged(_alike(idf), "similarity"), EXTRAS, rounds, with_title, k, temperature, _guesses(pages).where("turn <= 2"))
 
 
-def stochastic_oracle_rows(spark, sf):
-    states = Y.oracle_states(_pages(spark, sf), _player(spark, sf), 2, runs=6, temperature=1.0)
-    return R.state_rows(states, STEPS, GAME, "answer", END)
+def strong_oracle_picks(spark, sf):
+    return _picks(spark, sf, True)
 
 
-def teacher_rows(spark, sf):
-    return R.state_rows(Y.curriculum_states(_pages(spark, sf), _player(spark, sf), 4, STEPS), STEPS, GAME)
+def soft_oracle_picks(spark, sf):
+    return _picks(spark, sf, False)
 
 
-def trajectory_rows(spark, sf):
-    return R.state_rows(Y.curriculum_states(_pages(spark, sf), _player(spark, sf), 5, STEPS, "oracle", warm_up=1), STEPS, GAME, "answer")
+def soft_oracle_draws(spark, sf):
+    return _picks(spark, sf, False, temperature=1.0, k=8)
 
 
 def oracle_trajectories(spark, sf):
-    def way(game, row, rnd):
-        yield from ({"turn": turn, "guess": word} for turn, word in enumerate(Y.trajectory(game, 8), 1))
-
-    return Y.played(_pages(spark, sf), _player(spark, sf), way, "turn int, guess string")
-
-
-def corrected_rows(spark, sf):
-    return R.state_rows(Y.corrected_states(_pages(spark, sf), _player(spark, sf), 3), STEPS, GAME, "answer", "<|im_end|>")
-
-
-def augmented_rows(spark, sf):
-    pages = _pages(spark, sf)
-    given = _guesses(pages).groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct("turn", "guess"))).alias("g"))
-    past = given.select("game_id", F.explode(F.array(F.slice(F.transform("g", lambda s: s["guess"]), 1, 5), F.transform("g", lambda s: s["guess"]))).alias("guesses"))
-    return R.state_rows(Y.augmented_states(past, pages, _player(spark, sf), 2, cold=5, warm=6), STEPS, GAME, "answer")
+    """Three rounds of the strong oracle."""
+    return _picks(spark, sf, True, rounds=3)
 
 
 def rescue_words(spark, sf):
-    return Y.rescues(_pages(spark, sf), _player(spark, sf))
-
-
-def _trained(spark, sf, learner):
     pages = _pages(spark, sf)
-    priors = staged(L.action_priors(pages), "priors")
-    vocabulary = staged(L.action_vocabulary(pages, 300).select("pos", "word"), "actions")
-    return N.trained(pages, _player(spark, sf), vocabulary, priors.join(vocabulary, "word", "left_semi"), 2, each=2, most_steps=5, learner=learner)
-
-
-def policy_training_log(spark, sf):
-    return _trained(spark, sf, "policy")[1]
-
-
-def q_learning_values(spark, sf):
-    return _trained(spark, sf, "q")[0]
+    return O.lead_words(pages, _guesses(pages).where("turn <= 3"), _alike(staged(_idf(spark, sf).select("word"), "vocabulary")))
 
 
 def step_prompts(spark, sf):
@@ -163,7 +131,7 @@ def completion_choice(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet").where("text is not null")
     said = c.select(F.col("conv_id").alias("game_id"), F.col("turn").alias("pos"), F.concat(F.lit("MOT: "), "text").alias("completion"))
     had = said.where("pos % 2 = 0").select("game_id", T.extract_guess(F.col("completion")).alias("guess"))
-    return R.chosen_completions(said, had, [*T.THEME_SEEDS, *Y.FALLBACKS])
+    return R.chosen_completions(said, had, [*T.THEME_SEEDS, *R.FALLBACKS])
 
 
 def curriculum_pages(spark, sf):
@@ -240,8 +208,8 @@ def far_title_actions(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        document_neighbors, full_text, stub_hints, guess_reward_checked, feedback_steps, completion_rewards, shaped_reward, oracle_picks, soft_oracle_rows, stochastic_oracle_rows, teacher_rows,
-        trajectory_rows, oracle_trajectories, corrected_rows, augmented_rows, rescue_words, policy_training_log, q_learning_values, step_prompts, thought_completions, transcript_rows, oracle_row_conversion, completion_choice, curriculum_pages,
+        document_neighbors, full_text, stub_hints, guess_reward_checked, feedback_steps, completion_rewards, shaped_reward, strong_oracle_picks, soft_oracle_picks, soft_oracle_draws,
+        oracle_trajectories, rescue_words, step_prompts, thought_completions, transcript_rows, oracle_row_conversion, completion_choice, curriculum_pages,
         training_row_reasons, well_scored, popular_long_pages, shuffled_head, completion_vocabulary, agent_summary, mix_shares, sharded_evaluation, guessed_actions, expanded_actions, far_title_actions,
     )
 }

@@ -66,6 +66,13 @@ ORACLES = {
     "completion_rewards": "SELECT * FROM (" + _REWARD.replace("FROM g1 WHERE guess IS NOT NULL)", "FROM (SELECT game_id, turn, CASE WHEN turn = 6 THEN " + _EXTRACT + " ELSE guess END AS guess FROM g1 WHERE guess IS NOT NULL))") + ") WHERE turn = 6",
     "probe_words": rf"WITH {_GAME}, {_MODEL}, ca AS (SELECT DISTINCT canon, {S.norm('canon')} AS norm2 FROM tk WHERE is_word), inf AS (SELECT canon, CASE WHEN {S.canon('norm2')} IN ({S.STOP}) OR length({S.canon('norm2')}) < 3 THEN 0.0::DOUBLE ELSE greatest(0, least(8, coalesce(idf, 1.0))) END AS info FROM ca LEFT JOIN vc ON vc.word = {S.canon('norm2')}), b AS (SELECT game_id, norm AS word, max(info) AS info FROM tk JOIN inf USING (canon) WHERE is_word AND NOT in_title AND length(norm) >= 2 AND regexp_matches(norm, '\p{{L}}') AND NOT regexp_matches(norm, '\p{{N}}') AND norm NOT IN ({S.NEVER}) GROUP BY ALL), t AS (SELECT DISTINCT game_id, norm AS word FROM tk WHERE is_word AND in_title), k AS (SELECT game_id, word, row_number() OVER (PARTITION BY game_id ORDER BY info DESC, word)::INT AS rank FROM b ANTI JOIN t USING (game_id, word) WHERE info > 0) SELECT * FROM k WHERE rank <= 5",
     "batch_result_guesses": rf"WITH c AS (SELECT conv_id AS game_id, conv_id || '-' || turn AS custom_id, {_EXTRACT.replace('guess', 'text')} AS x FROM conversations WHERE text IS NOT NULL AND turn % 2 = 0), g AS (SELECT game_id, custom_id, {S.norm('x')} AS guess FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY game_id, guess ORDER BY custom_id) AS r FROM g WHERE length(guess) >= 2 AND regexp_matches(guess, '\p{{L}}') AND NOT regexp_matches(guess, '\p{{N}}') AND guess NOT IN ({S.NEVER})) SELECT custom_id, game_id, guess FROM k WHERE r = 1",
+    "rescue_words": rf"""WITH {PAGES_SQL}, {_MODEL}, ti AS (SELECT DISTINCT page_id AS game_id, unnest(regexp_extract_all(lower(title), '[a-zA-ZÀ-ÿ]+')) AS r FROM pages_),
+w0 AS (SELECT page_id AS game_id, regexp_extract_all(lower(intro), '[\p{{L}}\p{{N}}_]+') AS ws, regexp_extract_all(intro, '[^\s]+') AS g FROM pages_),
+w1 AS (SELECT game_id, word, min(pos) AS pos FROM (SELECT game_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w0) WHERE regexp_matches(word, '^[a-zA-ZÀ-ÿ]{{5,}}$') AND word NOT IN ({S.STOP}) GROUP BY ALL),
+nv AS (SELECT game_id, r AS word FROM ti UNION SELECT game_id, lower(unnest([g[3], 'that', g[1]])) FROM w0),
+op AS (SELECT * FROM (SELECT w1.*, row_number() OVER (PARTITION BY game_id ORDER BY pos) AS n FROM w1 ANTI JOIN nv USING (game_id, word)) WHERE n <= 200),
+ne AS (SELECT op.game_id, op.word, max(sim) AS sim FROM op JOIN ti USING (game_id) JOIN sm ON sm.l = op.word AND sm.r = ti.r GROUP BY ALL)
+SELECT game_id, arg_min(word, (-coalesce(sim, 0), pos)) AS guess FROM op LEFT JOIN ne USING (game_id, word) GROUP BY game_id""",
     "step_prompts": f"WITH {_PROMPTS} SELECT game_id, turn, md5({_USER} || prompt || {_ANSWER}) AS prompt_md5 FROM pr",
     "curriculum_rows": f"WITH {_PROMPTS} SELECT game_id, turn, md5(prompt) AS prompt_md5, 'MOT: ' || guess AS completion, turn - 1 AS n_history FROM pr",
     "transcript_rows": f"WITH {_PROMPTS}, f AS (SELECT *, row_number() OVER (PARTITION BY game_id, guess ORDER BY turn) AS k FROM pr WHERE game_id % 7 <> 0) SELECT game_id, turn, md5({_USER} || left(prompt, length(prompt) - 5) || {_THINK}) AS prompt_md5, '<think>' || chr(10) || guess || chr(10) || '</think>' || chr(10) || 'MOT: ' || guess || '{END}' AS completion FROM f WHERE k = 1 AND guess IN ('click', 'view', 'purchase', 'signup')",

@@ -1,117 +1,9 @@
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.functions import plain, prompts
+from lexiloom.functions import prompts
 from lexiloom.functions import text as T
-from lexiloom.operators import game, play, rows
-
-WORDS = "ville villes capitale France français guerre histoire de la Paris rivière rivières sport ballon élan musique 1693 art arts siècle".split()
-
-
-@pytest.fixture(scope="module")
-def world(spark):
-    rnd = random.Random(3)
-    texts = [(i, " ".join(rnd.sample(WORDS, 2)), ", ".join(rnd.choice(WORDS) for _ in range(30)) + ".") for i in range(12)] + [(12, "Paris", ""), (13, "", "rien")]
-    pages = spark.createDataFrame(texts, "page_id long, title string, intro string")
-    canons = sorted({plain.canonical(w) for w in WORDS})
-    idf = {c: 0.5 + i * 0.7 for i, c in enumerate(canons)}
-    near = {c: {o: round(rnd.random(), 4) for o in rnd.sample(canons, 4) if o != c} for c in canons if len(c) > 3}
-    return pages, play.Model(idf, near, canons, ["sport", "art", "histoire", "ville"])
-
-
-def frames(spark, model):
-    """The model's similarity as a table: own neighbours first, else those of the other word."""
-    words = sorted({*model.idf, *(o for n in model.neighbours.values() for o in n)})
-    pairs = [(a, b, s) for a in words for b, s in model.near(a).items() if a != b]
-    return spark.createDataFrame(list(model.idf.items()), "word string, idf double"), spark.createDataFrame(pairs, "l string, r string, sim double")
-
-
-def test_words_agree_with_columns(spark):
-    odd = [*WORDS, "L’", "Œuvre", "ÉTÉ!", "_a_", "x²", "٣", "bateaux", "anneauxes", "pays", "heureuses", "", "--", "ﬁn", "Ǆ"]
-    df = spark.createDataFrame([(w,) for w in odd], "w string")
-    got = df.select("w", T.normalize_word(F.col("w")).alias("n"), T.canonical_word(F.col("w")).alias("c"), T.is_valid_guess(T.normalize_word(F.col("w"))).alias("v")).collect()
-    for r in got:
-        assert (r.n, r.c, r.v) == (plain.normal(r.w), plain.canonical(r.w), plain.valid(r.n)), r.w
-
-
-def test_steps_agree_with_tables(spark, world):
-    pages, model = world
-    rnd = random.Random(1)
-    guesses = [(p, t, w) for p in range(14) for t, w in enumerate(rnd.sample([*WORDS, "think", "zut", "Ville", "de"], 9) + [WORDS[p]] * 2, 1)]
-    idf, sim = frames(spark, model)
-    tokens = game.page_tokens(pages)
-    table = spark.createDataFrame(guesses, "game_id long, turn int, guess string")
-    told = {(r.game_id, r.turn): r for r in game.guess_rewards(tokens, table, idf, sim).collect()}
-    for row in play.game_rows(pages).collect():
-        one = play.Game(row.texts, row.norms, row.n_title, model)
-        for p, t, w in guesses:
-            if p == row.game_id:
-                step, was = one.guess(w), told[p, t]
-                assert (step["guess"], step["exact"], step["semantic"], step["title"]) == (was.guess, was.exact, was.semantic, was.title)
-                assert step["reward"] == pytest.approx(was.reward, abs=2e-4), (p, t, w)
-                assert (step["invalid"] or step["repeated"]) == was.invalid
-                if not was.invalid:
-                    assert step["solved"] == was.solved
-
-
-def test_view_agrees_with_table(spark, world):
-    pages, model = world
-    guesses = spark.createDataFrame([(p, 1, "villes") for p in range(14)] + [(p, 2, "Paris") for p in range(14)], "game_id long, turn int, guess string")
-    text = {r.game_id: r.text for r in game.compact_text(game.revealed_pages(pages, guesses, by_canon=False)).collect()}
-    full = {r.game_id: r.text for r in game.full_text(game.revealed_pages(pages, guesses, by_canon=False)).collect()}
-    for row in play.game_rows(pages).collect():
-        one = play.Game(row.texts, row.norms, row.n_title, model)
-        one.guess("villes"), one.guess("Paris")
-        assert text[row.game_id] == one.view()
-    assert full[12] == "TITRE: Paris\n\n" and full[13] == "TITRE: \n\n_(4)"
-
-
-def test_oracles(spark, world):
-    pages, model = world
-    for row in play.game_rows(pages).where("game_id < 12").collect():
-        one = play.Game(row.texts, row.norms, row.n_title, model)
-        every = [w for w in [*one.title, *one.probes(64), *map(plain.normal, model.starters)] if plain.valid(w)]
-        assert one.step(play.strong_oracle(one))["reward"] == max(one.step(w)["reward"] for w in every)
-        soft = play.soft_oracle(one, random.Random(0), temperature=0)
-        assert soft not in one.title and soft == play.soft_oracle(one, random.Random(9), temperature=0)
-        assert soft == "" or plain.valid(soft)
-        many = {play.soft_oracle(one, random.Random(i), temperature=1.0) for i in range(20)}
-        assert len(many) >= 2
-        way = play.trajectory(play.Game(row.texts, row.norms, row.n_title, model), 6)
-        titles = [w for w in one.title if plain.valid(w)]
-        assert way[len(way) - len(titles) :] == titles and len(set(way)) == len(way) <= 6
-        for w in one.title[:-1]:
-            one.guess(w)
-        if plain.valid(one.title[-1]):
-            assert play.strong_oracle(one) == one.title[-1]
-
-
-def test_states_and_rows(spark, world):
-    pages, model = world
-    states = play.oracle_states(pages, model, 3, runs=2)
-    again = play.oracle_states(pages.repartition(3), model, 3, runs=2)
-    key = lambda r: (r.game_id, r.run, r.turn, r.guess)
-    found = sorted(map(key, states.collect()))
-    assert found == sorted(map(key, again.collect())) and {r[1] for r in found} == {0, 1}
-    made = rows.state_rows(states, 30, "Mots", "answer", "<eos>").where("turn = 1").first()
-    assert made.prompt.startswith("<|im_start|>user\nTu joues a Mots") and made.prompt.endswith("/no_think<|im_end|>\n<|im_start|>assistant\nMOT:") and made.completion.endswith("<eos>")
-    teacher = play.curriculum_states(pages, model, 2, 30, "teacher", warm_up=1).collect()
-    assert {r.turn for r in teacher} <= {2, 3} and all(len(r.history) == r.turn - 1 for r in teacher)
-    past = spark.createDataFrame([(1, ["sport", "art", "ville"]), (1, ["a"])], "game_id long, guesses array<string>")
-    grown = play.augmented_states(past, pages, model, 2, cold=3, warm=3).collect()
-    assert sorted(r.turn for r in grown) == [1, 2, 3, 4, 5] and {r.game_id for r in grown} == {1}
-    assert play.corrected_states(pages, model, 2).count() > 0 and play.rescues(pages, model).count() == 14
-    assert play.oracle_states(pages.where("page_id < 0"), model).count() == 0
-
-
-def test_rescue_and_choice():
-    sim = lambda a, b: 0.9 if (a, b) == ("rivière", "paris") else 0.1
-    assert play.rescue("Paris", "Une grande rivière traverse la ville", set(), sim) == "rivière"
-    assert play.rescue("Paris", "petit", set(), sim) == "petit" and play.rescue("Paris", "a b", set(), sim) == ""
-    assert play.chosen_guess(["think", "sport", "art"], {"sport"}) == {"guess": "art", "fallback": False, "rejected_invalid": 1, "rejected_repeated": 1}
-    assert play.chosen_guess(["think"], set()) == {"guess": "personne", "fallback": True, "rejected_invalid": 1, "rejected_repeated": 0}
+from lexiloom.operators import rows
 
 
 def test_prompt_lines(spark):
@@ -147,45 +39,3 @@ def test_blanks_and_rules_of_other_scripts(spark):
     pages = spark.createDataFrame([(1, "t", "Ce mot est une abréviation de plus."), (2, "t", "Il peut désigner ceci."), (3, "t", "Ils peut d?signer")], "page_id long, title string, intro string")
     found = {r.page_id: set(r.issues) for r in corpus.with_issues(pages).collect()}
     assert "sigle_like" in found[1] and "homonymy_like" in found[2] and "homonymy_like" not in found[3]
-
-
-def test_policies_in_rounds(spark, world):
-    from lexiloom.operators import training
-
-    pages, model = world
-    words = ["ville", "sport", "art", "paris", "guerre", "musique"]
-    vocabulary = spark.createDataFrame(list(enumerate(words, 1)), "pos int, word string")
-    priors = spark.createDataFrame([(w, 0.1 * i) for i, w in enumerate(words)], "word string, prior double")
-    table = training.collected_table(None, vocabulary, priors)
-    rows = training.episodes(pages, model, table, 3, 4, kept=2).collect()
-    games = {}
-    for r in sorted(rows, key=lambda r: (r.game_id, r.rollout, r.turn)):
-        games.setdefault((r.game_id, r.rollout), []).append(r)
-    for steps in games.values():
-        assert steps[0].state == "START" and [s.state for s in steps[1:]] == [s.next_state for s in steps[:-1]]
-        assert len({s.action for s in steps}) == len(steps) <= 4 and steps[0].action in steps[0].actions
-        assert steps[0].total == pytest.approx(sum(s.step_reward for s in steps) + (0 if steps[0].solved else -8))
-    # One round by hand.
-    totals = {}
-    for (g, _), steps in games.items():
-        totals.setdefault(g, []).append(steps[0].total)
-    moved = {}
-    for (g, _), steps in games.items():
-        t, n = totals[g], len(totals[g])
-        mean = sum(t) / n
-        deviation = (sum((x - mean) ** 2 for x in t) / max(1, n - 1)) ** 0.5 or 1.0
-        a = max(-3, min(3, (steps[0].total - mean) / deviation))
-        for s in steps:
-            for action, p in zip(s.actions, s.probs, strict=True):
-                moved[s.state, action] = moved.get((s.state, action), 0) - 0.05 * a * p
-            moved[s.state, s.action] = moved.get((s.state, s.action), 0) + 0.05 * a
-    made = training.policy_round(None, training.episodes(pages, model, table, 3, 4, kept=2))
-    got = {(r.state, r.action): r.value for r in made.collect()}
-    assert got == pytest.approx(moved, abs=1e-9)
-    values, log = training.trained(pages, model, vocabulary, priors, 2, each=2, most_steps=4)
-    assert values.count() > 0 and [r["round"] for r in log.orderBy("round").collect()] == [1, 2]
-    values, log = training.trained(pages, model, vocabulary, priors, 2, each=1, most_steps=4, learner="q")
-    first = training.episodes(pages, model, table, 1, 1, temperature=None, epsilon=0.0)
-    learnt = {(r.state, r.action): r.value for r in training.q_round(None, first, priors).collect()}
-    mean = sum(r.step_reward for r in first.collect()) / first.count()
-    assert values.count() > 0 and learnt == {("START", "musique"): pytest.approx(0.5 + 0.25 * (mean - 0.5))}
