@@ -5,9 +5,11 @@ steps: game_id, turn, ... in long form.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiloom.operators.corpus import running_total
+from lexiloom.operators.stage import staged
 
 def step_reward(solved: Column, exact: Column, title: Column, semantic: Column) -> Column:
     hits = F.least(F.lit(8), exact) * 1.2 + F.least(F.lit(4), title) * 10.0 + F.least(F.lit(25), semantic) * 0.04
@@ -48,6 +50,29 @@ def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int) ->
     return df.withColumn("_k", -F.log(u) / F.col(weight)).orderBy("_k", key).limit(n).drop("_k")
 
 
+def seeded_draws(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """draw, u: n numbers in [0, 1) from a seeded hash, the same however they are partitioned."""
+    return spark.range(n).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)).alias("u"))
+
+
+def weighted_draws(items: DataFrame, draws: DataFrame, key: str, weight: str, cells: int = 65_536) -> DataFrame:
+    """draw, key: with replacement, every draw(draw, u) one of items(key, weight), likelier the greater its weight.
+
+    Items lie end to end on a line, in the order of their keys, each as long as its
+    weight; a draw takes the item at u times the whole length.  The line's sums come
+    from range partitions; draws meet items by cells of the line, so that neither the
+    items nor the draws are in one task: an item lies in the cells that it covers, a
+    draw in one.  Items without a weight over 0, or without a key, are never drawn; keys are unique.
+    """
+    good = items.where((F.col(weight) > 0) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(weight).alias("_w"))
+    line = staged(running_total(good, ["key"], "_w", "_to").withColumn("_from", F.col("_to") - F.col("_w")), "line")
+    length = line.agg(F.max("_to").cast("double").alias("m")).first()["m"] or 0.0
+    of_cell = lambda c: F.least(F.floor(c / length * cells), F.lit(cells - 1)).cast("int")
+    laid = line.withColumn("_cell", F.explode(F.sequence(of_cell(F.col("_from")), of_cell(F.col("_to")))))
+    asked = draws.select("draw", (F.col("u") * length).alias("_at")).withColumn("_cell", of_cell(F.col("_at")))
+    return asked.join(laid, "_cell").where((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))).select("draw", F.col("key").alias(key))
+
+
 def binned(value: Column, cuts: list[int]) -> Column:
     """Index of the first cut that is not less."""
     out = F.when(value <= cuts[0], "0")
@@ -110,14 +135,14 @@ def trend_hint(steps: DataFrame) -> DataFrame:
     return s.select("game_id", "turn", hint.alias("hint"))
 
 
-def gumbel_choice(candidates: DataFrame, group: list[str], reward: str, key: str, k: int, temperature: float, seed: int) -> DataFrame:
-    """One candidate per group, drawn by a softmax over the k best min-max normalised rewards (Gumbel-max on a seeded hash). Temperature 0: the best, ties by key."""
+def gumbel_choice(candidates: DataFrame, group: list[str], reward: str, key: str, k: int, temperature: float, seed: int, uniform: Column | None = None) -> DataFrame:
+    """One candidate per group, drawn by a softmax over the k best min-max normalised rewards (Gumbel-max on a seeded hash, or on `uniform` numbers in (0, 1) of the rows' own). Temperature 0: the best, ties by key."""
     order = Window.partitionBy(*group).orderBy(F.desc(reward), key)
     top = candidates.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
     w = Window.partitionBy(*group)
     span = F.max(reward).over(w) - F.min(reward).over(w)
     norm = F.when(span > 0, (F.col(reward) - F.min(reward).over(w)) / span).otherwise(F.lit(0.0))
-    u = (F.pmod(F.xxhash64(*group, key, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    u = (F.pmod(F.xxhash64(*group, key, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52) if uniform is None else uniform
     score = norm / temperature - F.log(-F.log(u)) if temperature > 0 else -F.col("_r").cast("double")
     pick = Window.partitionBy(*group).orderBy(F.desc("_s"), key)
     return top.withColumn("_s", score).withColumn("_p", F.row_number().over(pick)).where("_p = 1").drop("_r", "_s", "_p")

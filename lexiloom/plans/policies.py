@@ -105,6 +105,19 @@ def softmax_choice(spark, sf):
     return P.gumbel_choice(_steps(spark, sf), ["game_id"], "reward", "turn", 5, 0.0, 1).select("game_id", "turn", "guess")
 
 
+def softmax_draws(spark, sf):
+    """Among a game's five best steps, at temperature 0.7, by uniform numbers of the rows' own."""
+    u = ((F.col("turn") * 7919 + F.col("game_id") * 104_729) % 100_003 + 0.5) / 100_003
+    return P.gumbel_choice(_steps(spark, sf), ["game_id"], "reward", "turn", 5, 0.7, 1, u).select("game_id", "turn", "guess")
+
+
+def weighted_draws(spark, sf):
+    """Every event draws a part, likelier the greater its size."""
+    items = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.col("p_size").cast("long").alias("size"))
+    draws = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("draw"), (F.col("event_id") * 7919 % 100_003 / 100_003).alias("u"))
+    return P.weighted_draws(items, draws, "p_partkey", "size")
+
+
 def weighted_curriculum_sample(spark, sf):
     ema = P.reward_ema(_steps(spark, sf), "game_id", ["turn"], "reward").withColumn("w", P.curriculum_weight(F.col("ema")))
     return P.weighted_sample(ema, "w", "game_id", 50, 3)
@@ -139,7 +152,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         group_advantage, reward_ema, state_keys, prefix_histories, spiral_steps, training_log, evaluation_rollup, opening_words, trend_hints, step_rewards, warm_stop_states, curriculum_rows,
-        title_oversampling, end_marked_completions, batch_result_guesses, softmax_choice, weighted_curriculum_sample, page_sample, probe_words, closed_set_solver,
+        title_oversampling, end_marked_completions, batch_result_guesses, softmax_choice, softmax_draws, weighted_draws, weighted_curriculum_sample, page_sample, probe_words, closed_set_solver,
     )
 }
 
@@ -165,6 +178,8 @@ ORACLES = {
     "warm_stop_states": f"WITH {_S} SELECT game_id, turn FROM s WHERE turn - 1 IN (0, 3, 6, 10, 15, 20)",
     "title_oversampling": f"WITH {_S} SELECT title, sum(CASE WHEN title = 2 THEN 3 ELSE 1 END)::BIGINT AS n FROM s GROUP BY title",
     "end_marked_completions": "SELECT conv_id, turn, md5(CASE WHEN ends_with(text, '<eos>') THEN text ELSE text || '<eos>' END) AS completion_md5 FROM conversations WHERE text IS NOT NULL",
+    "softmax_draws": f"WITH {_S}, r AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY reward DESC, turn) AS k FROM s), n AS (SELECT *, max(reward) OVER w AS hi, min(reward) OVER w AS lo FROM r WHERE k <= 5 WINDOW w AS (PARTITION BY game_id)) SELECT game_id, turn, guess FROM n QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY CASE WHEN hi > lo THEN (reward - lo) / (hi - lo) ELSE 0 END / 0.7 - ln(-ln(((turn * 7919 + game_id * 104729) % 100003 + 0.5) / 100003)) DESC, turn) = 1",
+    "weighted_draws": "WITH l AS (SELECT p_partkey, sum(p_size) OVER (ORDER BY p_partkey) - p_size AS f, sum(p_size) OVER () AS w FROM part WHERE p_size > 0), d AS (SELECT event_id AS draw, (event_id * 7919 % 100003) / 100003 * (SELECT max(w) FROM l) AS spot FROM events WHERE event_id IS NOT NULL) SELECT draw, p_partkey FROM d ASOF JOIN l ON d.spot >= l.f",
     "softmax_choice": f"WITH {_S}, r AS (SELECT game_id, turn, guess, row_number() OVER (PARTITION BY game_id ORDER BY reward DESC, turn) AS k FROM s) SELECT game_id, turn, guess FROM r WHERE k = 1",
 }
 ORACLES = {name: S.spelt(q) for name, q in ORACLES.items()}

@@ -80,8 +80,11 @@ def filtered_corpus(spark, sf):
 
 def corpus_quantiles(spark, sf):
     pages = _pages(spark, sf).select(F.length("intro").alias("chars"), T.words_by_blanks(F.col("intro")).alias("words"))
-    chars = C.nearest_rank_quantiles(pages, "chars").withColumn("measure", F.lit("chars"))
-    return chars.union(C.nearest_rank_quantiles(pages, "words").withColumn("measure", F.lit("words")))
+    return C.histogram_quantiles(C.value_histograms(pages, ["chars", "words"]))
+
+
+def corpus_audit(spark, sf):
+    return C.audit(_pages(spark, sf))
 
 
 def title_prefix_top30(spark, sf):
@@ -136,6 +139,12 @@ def popular_titles(spark, sf):
     return C.popular_titles(days, 100)
 
 
+def popular_titles_until(spark, sf):
+    e = _t(spark, sf, "events")
+    days = e.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_id").alias("pos"), F.concat("event_type", F.lit("_"), F.col("event_id") % 5000).alias("title"))
+    return C.popular_titles_until(days, 100)
+
+
 def easy_pages(spark, sf):
     return C.easy_pages(_pages(spark, sf)).select("page_id", "title")
 
@@ -191,7 +200,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         idf_top_terms, token_table_stats, content_words_per_doc, word_sets, canonical_form_counts, web_norm_words, article_words, page_quality_issues, quality_issue_histogram,
-        filtered_corpus, corpus_quantiles, title_prefix_top30, shortest_docs, incremental_dedupe, intro_patch, pageview_rollup_rank, popularity_filter_reasons, qid_join, popular_titles,
+        filtered_corpus, corpus_quantiles, corpus_audit, title_prefix_top30, shortest_docs, incremental_dedupe, intro_patch, pageview_rollup_rank, popularity_filter_reasons, qid_join, popular_titles, popular_titles_until,
         easy_pages, cooccurrence_pairs, neighbors_top25, local_similarity_lookup, starter_words, action_space_priors, action_vocab, title_gates, html_markup_clean,
     )
 }
@@ -255,6 +264,13 @@ ORACLES = {
     "page_quality_issues": f"WITH {PAGES_SQL}, {_ISSUES} SELECT page_id, array_to_string(issues, ',') AS issues FROM issues_",
     "quality_issue_histogram": f"WITH {PAGES_SQL}, {_ISSUES} SELECT issue, count(*) AS n FROM (SELECT unnest(issues) AS issue FROM issues_) GROUP BY issue",
     "filtered_corpus": f"WITH {PAGES_SQL}, {_ISSUES} SELECT page_id, title, length(intro)::INT AS chars FROM issues_ WHERE len(issues) = 0",
+    "corpus_audit": rf"""WITH {PAGES_SQL}, {_ISSUES}, z AS (SELECT issues, array_to_string(list_slice(regexp_extract_all(lower(title), '[^\s]+'), 1, 2), ' ') AS prefix, length(intro) AS chars, len(regexp_extract_all(intro, '[^\s]+')) AS words FROM issues_),
+v AS (SELECT 'chars' AS measure, list_sort(list(chars)) AS l FROM z UNION ALL SELECT 'words', list_sort(list(words)) FROM z), p AS (SELECT unnest([0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100]) AS pct)
+SELECT 'rows' AS section, '' AS key, count(*) AS value FROM z UNION ALL SELECT 'rejected', '', count(*) FROM z WHERE len(issues) > 0 HAVING count(*) > 0 UNION ALL SELECT 'issue', issue, count(*) FROM (SELECT unnest(issues) AS issue FROM z) GROUP BY issue
+UNION ALL SELECT * FROM (SELECT 'prefix', prefix, count(*) AS n FROM z GROUP BY prefix ORDER BY n DESC, prefix LIMIT 30) UNION ALL SELECT measure, pct::VARCHAR, l[1 + round_even(pct / 100 * (len(l) - 1), 0)::INT]::BIGINT FROM v, p WHERE len(l) > 0""",
+    "popular_titles_until": """WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id AS pos, event_type || ' ' || (event_id % 5000) AS title FROM events), f AS (SELECT title, min((day, pos)) AS spot FROM d WHERE title <> '' AND NOT contains(title, ':') GROUP BY title),
+r AS (SELECT title, spot[1] AS day, spot[2] AS pos, row_number() OVER (ORDER BY spot, title) AS k FROM f), h AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY day ORDER BY pos) = 1)
+SELECT title, day, pos FROM r WHERE k <= 100 UNION ALL SELECT title, day, pos FROM h WHERE NOT contains(title, ':') AND day > (SELECT day FROM r WHERE k = 100) AND title NOT IN (SELECT title FROM r WHERE k <= 100) QUALIFY row_number() OVER (PARTITION BY title ORDER BY day, pos) = 1""",
     "corpus_quantiles": rf"WITH v AS (SELECT 'chars' AS measure, list_sort(list(length(text))) AS l FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'words', list_sort(list(len(regexp_extract_all(text, '[^\s]+')))) FROM documents WHERE text IS NOT NULL), p AS (SELECT unnest([0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100])::INT AS pct) SELECT pct, l[1 + round_even(pct / 100 * (len(l) - 1), 0)::INT]::INT AS value, measure FROM v, p",
     "title_prefix_top30": rf"WITH {PAGES_SQL} SELECT array_to_string(list_slice(regexp_extract_all(lower(title), '[^\s]+'), 1, 2), ' ') AS prefix, count(*) AS n FROM pages_ GROUP BY 1 ORDER BY n DESC, prefix LIMIT 30",
     "shortest_docs": rf"WITH {PAGES_SQL} SELECT page_id, title, length(intro)::INT AS chars, len(regexp_extract_all(intro, '[^\s]+'))::INT AS words FROM pages_ ORDER BY chars, words, title, page_id LIMIT 40",
