@@ -66,6 +66,8 @@ ORACLES = {
     "completion_rewards": "SELECT * FROM (" + _REWARD.replace("FROM g1 WHERE guess IS NOT NULL)", "FROM (SELECT game_id, turn, CASE WHEN turn = 6 THEN " + _EXTRACT + " ELSE guess END AS guess FROM g1 WHERE guess IS NOT NULL))") + ") WHERE turn = 6",
     "probe_words": rf"WITH {_GAME}, {_MODEL}, ca AS (SELECT DISTINCT canon, {S.norm('canon')} AS norm2 FROM tk WHERE is_word), inf AS (SELECT canon, CASE WHEN {S.canon('norm2')} IN ({S.STOP}) OR length({S.canon('norm2')}) < 3 THEN 0.0::DOUBLE ELSE greatest(0, least(8, coalesce(idf, 1.0))) END AS info FROM ca LEFT JOIN vc ON vc.word = {S.canon('norm2')}), b AS (SELECT game_id, norm AS word, max(info) AS info FROM tk JOIN inf USING (canon) WHERE is_word AND NOT in_title AND length(norm) >= 2 AND regexp_matches(norm, '\p{{L}}') AND NOT regexp_matches(norm, '\p{{N}}') AND norm NOT IN ({S.NEVER}) GROUP BY ALL), t AS (SELECT DISTINCT game_id, norm AS word FROM tk WHERE is_word AND in_title), k AS (SELECT game_id, word, row_number() OVER (PARTITION BY game_id ORDER BY info DESC, word)::INT AS rank FROM b ANTI JOIN t USING (game_id, word) WHERE info > 0) SELECT * FROM k WHERE rank <= 5",
     "batch_result_guesses": rf"WITH c AS (SELECT conv_id AS game_id, conv_id || '-' || turn AS custom_id, {_EXTRACT.replace('guess', 'text')} AS x FROM conversations WHERE text IS NOT NULL AND turn % 2 = 0), g AS (SELECT game_id, custom_id, {S.norm('x')} AS guess FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY game_id, guess ORDER BY custom_id) AS r FROM g WHERE length(guess) >= 2 AND regexp_matches(guess, '\p{{L}}') AND NOT regexp_matches(guess, '\p{{N}}') AND guess NOT IN ({S.NEVER})) SELECT custom_id, game_id, guess FROM k WHERE r = 1",
+    "compact_text": rf"WITH {_GAME}, sw AS (SELECT game_id, idx, text, NOT is_word OR reveal_turn IS NOT NULL AS shown FROM rv), x AS (SELECT game_id, idx, CASE WHEN shown THEN text WHEN coalesce(lag(NOT shown) OVER (PARTITION BY game_id ORDER BY idx), false) THEN '' ELSE '__' END AS p FROM sw), t AS (SELECT game_id, regexp_replace(string_agg(p, '' ORDER BY idx), '[ \t]+', ' ', 'g') AS t FROM x GROUP BY game_id) SELECT game_id, trim(CASE WHEN length(t) <= 240 THEN t ELSE regexp_replace(left(t, 120), '(?s)^(.*) [^ ]*$', '\1') || chr(10) || '[...]' || chr(10) || regexp_replace(right(t, 120), '(?s)^[^ ]* (.*)$', '\1') END, 'BLANKS') AS text FROM t".replace("BLANKS", T._BLANKS),
+    "shaped_reward": _REWARD[:_LAST].rstrip() + f",\nfin AS ({_REWARD[_LAST:]}), tn AS (SELECT DISTINCT tk.game_id, norm, fi.turn AS t FROM tk LEFT JOIN fi ON fi.game_id = tk.game_id AND fi.ng = tk.norm WHERE is_word AND in_title), nn AS (SELECT game_id, turn, r AS norm, sim FROM fin JOIN sm ON sm.l = fin.guess WHERE NOT invalid UNION ALL SELECT game_id, turn, guess, 1.0 FROM fin WHERE NOT invalid), bn AS (SELECT nn.game_id, nn.turn, max(sim) AS best FROM nn JOIN tn ON tn.game_id = nn.game_id AND tn.norm = nn.norm WHERE t IS NULL OR t >= nn.turn GROUP BY ALL) SELECT fin.game_id, fin.turn, round(reward + 50.0 * greatest(0, coalesce(best, 0)), 4)::DOUBLE AS shaped FROM fin LEFT JOIN bn ON bn.game_id = fin.game_id AND bn.turn = fin.turn",
     "rescue_words": rf"""WITH {PAGES_SQL}, {_MODEL}, ti AS (SELECT DISTINCT page_id AS game_id, unnest(regexp_extract_all(lower(title), '[a-zA-ZÀ-ÿ]+')) AS r FROM pages_),
 w0 AS (SELECT page_id AS game_id, regexp_extract_all(lower(intro), '[\p{{L}}\p{{N}}_]+') AS ws, regexp_extract_all(intro, '[^\s]+') AS g FROM pages_),
 w1 AS (SELECT game_id, word, min(pos) AS pos FROM (SELECT game_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w0) WHERE regexp_matches(word, '^[a-zA-ZÀ-ÿ]{{5,}}$') AND word NOT IN ({S.STOP}) GROUP BY ALL),
