@@ -45,6 +45,8 @@ PIECE_BYTES = 300_000
 BUCKET_BYTES, HOT_BYTES = 64_000_000, 8_000_000
 #: Text that a partition stands for.
 PART_BYTES = 16_000_000
+#: Most cells into which a task deals what it holds. Beyond so many buckets it deals to groups of them, and another exchange to the buckets of each group.
+MOST_CELLS = 8192
 
 
 @dataclass(frozen=True)
@@ -161,7 +163,7 @@ def keyed_documents(docs: DataFrame) -> DataFrame:
         return plain
     marked = plain.withColumn("h", F.sha2("t", 256))
     pairs = marked.select("u", "h").distinct().repartitionByRange(shuffle_partitions(docs.sparkSession), "u", "h").sortWithinPartitions("u", "h")
-    placed = staged(pairs, "document-keys").orderBy("u", "h").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("u long, h string, v long")
+    placed = staged(pairs.withColumn("v", F.monotonically_increasing_id()), "document-keys")  # ascending over the ranges
     return staged(marked.join(placed, ["u", "h"]).select(F.col("v").alias("u"), "k", "t"), "keyed-documents")
 
 
@@ -171,7 +173,74 @@ CELLS_DDL = "b int, n long, blob binary, strings binary"
 PLACES = pa.schema([("u", pa.int64()), ("blob", pa.binary())])
 
 
-def _count_anchors(unit: Unit, buckets: int):
+def _dealt(b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Every number that occurs, with the places where it does. Time follows the places, not the numbers that there could be."""
+    order = np.argsort(b, kind="stable")
+    values, first = np.unique(b[order], return_index=True)
+    for value, part in zip(values.tolist(), np.split(order, first[1:]), strict=True):
+        yield value, part
+
+
+def _bucket_of(a: np.ndarray, u: np.ndarray, weight: np.ndarray, buckets: int) -> np.ndarray:
+    return np.where(weight < 0, (u * 31 + 7) % buckets, a % buckets)
+
+
+def _count_cells(a: np.ndarray, u: np.ndarray, p: np.ndarray, weight: np.ndarray, buckets: int, wide: int) -> Iterator[pa.RecordBatch]:
+    """Occurrences in cells of `wide` buckets."""
+    rows = []
+    for i, part in _dealt(_bucket_of(a, u, weight, buckets) // wide):
+        rows.append((i, len(part), pack([a[part], u[part], p[part], weight[part]]), b""))
+        if len(rows) >= 1024:
+            yield record_batch(CELLS, rows)
+            rows = []
+    if rows:
+        yield record_batch(CELLS, rows)
+
+
+def _narrow_counts(buckets: int):
+    """Cells of several buckets become cells of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        n = 0
+        for batch in batches:
+            for blob in batch.column(2).to_pylist():
+                held.append(unpack(blob, 4))
+                n += len(held[-1][0])
+                if n >= HOLD_ANCHORS:
+                    yield from _count_cells(*(np.concatenate(c) for c in zip(*held, strict=True)), buckets, 1)
+                    held, n = [], 0
+        if held:
+            yield from _count_cells(*(np.concatenate(c) for c in zip(*held, strict=True)), buckets, 1)
+
+    return run
+
+
+def _narrow_runs(buckets: int):
+    """The same of runs; removed stretches (b = -1) pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        strings: list[bytes] = []
+        n = 0
+        for batch in batches:
+            for b, size, blob, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b < 0:
+                    yield record_batch(CELLS, [(b, size, blob, packed)])
+                    continue
+                held.append(unpack(blob, 4))
+                strings += unpack_strings(packed)
+                n += size
+                if n >= HOLD_BYTES:
+                    yield from _cells(*(np.concatenate(c) for c in zip(*held, strict=True)), strings, buckets, 1)
+                    held, strings, n = [], [], 0
+        if held:
+            yield from _cells(*(np.concatenate(c) for c in zip(*held, strict=True)), strings, buckets, 1)
+
+    return run
+
+
+def _count_anchors(unit: Unit, buckets: int, wide: int):
     """Occurrences (anchor, u, place, weight) to the anchor's bucket; of those of an anchor in one task the first stands for all, the others are known to be repeated and go to a bucket of their document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,15 +256,7 @@ def _count_anchors(unit: Unit, buckets: int):
             weight = np.where(first, 0, -1)  # -1: known to be repeated
             at = np.flatnonzero(first)
             weight[at] = np.diff(np.append(at, len(a)))
-            b = np.where(first, a % buckets, (u * 31 + 7) % buckets)
-            order = np.argsort(b, kind="stable")
-            edges = np.searchsorted(b[order], np.arange(buckets + 1))
-            rows = []
-            for i in range(buckets):
-                part = order[edges[i] : edges[i + 1]]
-                if len(part):
-                    rows.append((i, len(part), pack([a[part], u[part], p[part], weight[part]]), b""))
-            yield record_batch(CELLS, rows)
+            yield from _count_cells(a, u, p, weight, buckets, wide)
 
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
@@ -253,18 +314,13 @@ def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield from _places(u[pick], [p[pick], a[pick]])
 
 
-def _cells(anchor: np.ndarray, u: np.ndarray, start: np.ndarray, count: np.ndarray, strings: list[bytes], buckets: int) -> Iterator[pa.RecordBatch]:
-    b = anchor % buckets
-    order = np.argsort(b, kind="stable")
-    edges = np.searchsorted(b[order], np.arange(buckets + 1))
-    for i in range(buckets):
-        part = order[edges[i] : edges[i + 1]]
-        if len(part):
-            held = [strings[j] for j in part]
-            yield record_batch(CELLS, [(i, sum(map(len, held)), pack([anchor[part], u[part], start[part], count[part]]), pack_strings(held))])
+def _cells(anchor: np.ndarray, u: np.ndarray, start: np.ndarray, count: np.ndarray, strings: list[bytes], buckets: int, wide: int) -> Iterator[pa.RecordBatch]:
+    for i, part in _dealt(anchor % buckets // wide):
+        held = [strings[j] for j in part.tolist()]
+        yield record_batch(CELLS, [(i, sum(map(len, held)), pack([anchor[part], u[part], start[part], count[part]]), pack_strings(held))])
 
 
-def _send_runs(unit: Unit, buckets: int):
+def _send_runs(unit: Unit, buckets: int, wide: int):
     """Documents with their repeated anchors: run strings to the anchors' buckets (b >= 0); later copies within the task as removed stretches (b = -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +335,7 @@ def _send_runs(unit: Unit, buckets: int):
             rows = [(a, u, s, c, x) for (a, x), places in best.items() for u, s, c in places]
             if rows:
                 a, u, s, c, strings = zip(*rows, strict=True)
-                yield from _cells(*(np.array(x, np.int64) for x in (a, u, s, c)), list(strings), buckets)
+                yield from _cells(*(np.array(x, np.int64) for x in (a, u, s, c)), list(strings), buckets, wide)
             for at in range(0, len(gone), 500_000):
                 part = gone[at : at + 500_000]
                 yield record_batch(CELLS, [(-1, 0, pack([np.array(x, np.int64) for x in zip(*part, strict=True)]), b"")])
@@ -339,7 +395,7 @@ def _split_hot(unit: Unit, hot: np.ndarray, buckets: int):
                         x = unit.join(cut, j, j + unit.window)
                         rows.append((xxhash.xxh64_intdigest(x) >> 8 | 1 << 56, u[i], start[i] + j, 1, x))
                 a, u, s, c, x = zip(*rows, strict=True)
-                yield from _cells(*(np.array(y, np.int64) for y in (a, u, s, c)), list(x), buckets)
+                yield from _cells(*(np.array(y, np.int64) for y in (a, u, s, c)), list(x), buckets, 1)
 
     return run
 
@@ -410,16 +466,24 @@ def removed_stretches(docs: DataFrame, unit: Unit) -> DataFrame:
     size = docs.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0
     parts = max(shuffle_partitions(docs.sparkSession), size // PART_BYTES)  # a task's work stays the same however large the corpus
     buckets = 4 * parts
+    wide = -(-buckets // MOST_CELLS)  # buckets of a cell
     texts = docs.select("u", "t")
-    counted = texts.mapInArrow(_count_anchors(unit, buckets), CELLS_DDL).repartition(parts, "b").mapInArrow(_repeated_anchors, "u long, blob binary")
+    cells = texts.mapInArrow(_count_anchors(unit, buckets, wide), CELLS_DDL)
+    if wide > 1:
+        cells = cells.repartition(MOST_CELLS, "b").mapInArrow(_narrow_counts(buckets), CELLS_DDL)
+    counted = cells.repartition(parts, "b").mapInArrow(_repeated_anchors, "u long, blob binary")
     listed = counted.groupBy("u").agg(F.collect_list("blob").alias("blobs"))  # a document's own anchors
-    sent = staged(texts.join(listed, "u").mapInArrow(_send_runs(unit, buckets), CELLS_DDL), "runs")
-    full = [r["b"] for r in sent.where("b >= 0").groupBy("b").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET_BYTES).collect()]  # over BUCKET_BYTES each, a share of all
-    if full:
-        hot = _hot_anchors(sent.where(F.col("b").isin(full)))
+    sent = texts.join(listed, "u").mapInArrow(_send_runs(unit, buckets, wide), CELLS_DDL)
+    if wide > 1:
+        sent = sent.repartition(MOST_CELLS, "b", F.when(F.col("b") < 0, F.xxhash64("blob"))).mapInArrow(_narrow_runs(buckets), CELLS_DDL)
+    sent = staged(sent, "runs")
+    # Buckets that hold too much, as a table: broadcast only where its measured size is under Spark's limit.
+    full = staged(sent.where("b >= 0").groupBy("b").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET_BYTES).select("b"), "full-buckets")
+    if not full.isEmpty():
+        large = staged(sent.join(full, "b", "left_semi"), "full-cells")
+        hot = _hot_anchors(large)
         if len(hot):
-            split = sent.where(F.col("b").isin(full)).mapInArrow(_split_hot(unit, hot, buckets), CELLS_DDL)
-            sent = sent.where(~F.col("b").isin(full)).union(split)
+            sent = sent.join(full, "b", "left_anti").union(large.mapInArrow(_split_hot(unit, hot, buckets), CELLS_DDL))
     solved = sent.repartition(parts, "b", F.when(F.col("b") < 0, F.xxhash64("blob"))).mapInArrow(_solve_buckets(unit), "u long, blob binary")
     return solved.groupBy("u").agg(F.collect_list("blob").alias("blobs"))
 
