@@ -115,6 +115,12 @@ def evaluation(steps: DataFrame) -> DataFrame:
     return games.agg(F.count("*").alias("games"), F.avg("s").alias("solve_rate"), F.avg("n").alias("mean_steps"), F.sum("r").alias("repeated"), F.sum("i").alias("invalid"))
 
 
+def evaluation_report(steps: DataFrame, choices: DataFrame) -> DataFrame:
+    """evaluation() with what the choice of guesses refused: rejected_repeated, rejected_invalid, and how often it fell back on a word of its own. choices: game_id, fallback, rejected_invalid, rejected_repeated."""
+    refused = choices.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rejected_repeated", "rejected_invalid")], F.coalesce(F.sum(F.col("fallback").cast("long")), F.lit(0)).alias("fallbacks"))
+    return evaluation(steps).join(F.broadcast(refused), F.lit(True))  # one row and one
+
+
 def opening_words(steps: DataFrame, first: int = 10, n: int = 25) -> DataFrame:
     return steps.where(F.col("turn") <= first).groupBy("guess").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "guess").limit(n)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text as T
 from lexiloom.operators.stage import scratch
 from lexiloom.plans import sql as S
-from lexiloom.sources import lines, readers
+from lexiloom.sources import lines, packed, readers
 
 
 def _copy(rows, order, form="json", **options):
@@ -56,12 +56,22 @@ def first_vectors_by_line(spark, sf):
     return found.select("word", F.posexplode("vec").alias("i", "x")).select("word", "i", F.round("x", 5).alias("x"))
 
 
-QUERIES = {f.__name__: f for f in (pages_in_file_order, page_line_faults, qids_by_line, first_vectors_by_line)}
+def packed_page_objects(spark, sf):
+    """Documents packed as objects, and read back."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id is not null").select("doc_id", "text", "lang")
+    path = scratch(spark, "objects")
+    packed.write_packed_objects(d, path, "doc_id")
+    body = F.from_json("object", "text string, lang string")
+    return packed.packed_objects(spark, path).select("page_id", F.md5(body["text"]).alias("text_md5"), body["lang"].alias("lang"))
+
+
+QUERIES = {f.__name__: f for f in (pages_in_file_order, page_line_faults, qids_by_line, first_vectors_by_line, packed_page_objects)}
 
 _LINES = """l AS (SELECT doc_id AS k, row_number() OVER (ORDER BY doc_id) AS position, text, CASE WHEN doc_id % 11 <> 3 THEN array_to_string(list_slice(regexp_extract_all(text, '[^\\s]+'), 1, 2), ' ') END AS title FROM documents WHERE doc_id IS NOT NULL)"""
 ORACLES = {
     "pages_in_file_order": f"WITH {_LINES}, g AS (SELECT *, row_number() OVER (ORDER BY k) AS n FROM l WHERE title <> '' AND text <> '' AND NOT (k % 3 = 2 AND k % 7 = 5)) SELECT CASE WHEN k % 5 = 0 THEN k + 1000000000 ELSE n END AS page_id, title, md5(text) AS intro_md5 FROM g",
     "page_line_faults": f"WITH {_LINES} SELECT position, 'missing required key ' || CASE WHEN title IS NULL THEN '''title''' ELSE '''intro''' END AS fault FROM l WHERE title IS NULL OR text IS NULL OR k % 3 <> 0",
+    "packed_page_objects": "SELECT doc_id AS page_id, md5(text) AS text_md5, lang FROM documents WHERE doc_id IS NOT NULL",
     "qids_by_line": "SELECT 'Q' || c_custkey AS qid, row_number() OVER (ORDER BY coalesce(c_acctbal, 0) DESC, c_custkey) AS rank FROM customer QUALIFY rank <= 1000",
     "first_vectors_by_line": """WITH v AS (SELECT 'mot' || (vec_id * 7919 % 300) AS word, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), f AS (SELECT word, arg_min(e, vec_id) AS e FROM v GROUP BY word HAVING bool_or(vec_id % 2 = 0)),
 u AS (SELECT word, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS i, sqrt(list_dot_product(e, e)) AS n FROM f) SELECT word, i::INT AS i, round(x / n, 5) AS x FROM u""",

@@ -11,6 +11,7 @@ from lexiloom.operators import lexical as L
 from lexiloom.operators import oracles as O
 from lexiloom.operators import rows as R
 from lexiloom.operators.corpus import global_rank
+from lexiloom.operators.policy import evaluation_report as evaluation_of
 from lexiloom.operators.stage import staged
 from lexiloom.plans.games import _alike, _guesses, _idf, _pages, _similarity
 from lexiloom.plans.play_sql import END, GAME, ORACLES, STEPS  # noqa: F401
@@ -127,13 +128,22 @@ def oracle_row_conversion(spark, sf):
     return R.oracle_training_rows(rows, 100, GAME, END).select(F.md5("prompt").alias("prompt_md5"), "completion", "page_title")
 
 
-def completion_choice(spark, sf):
+def _choices(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet").where("text is not null")
     said = c.select(F.col("conv_id").alias("game_id"), F.col("turn").alias("pos"), F.concat(F.lit("MOT: "), "text").alias("completion"))
     had = said.where("pos % 2 = 0").select("game_id", T.extract_guess(F.col("completion")).alias("guess"))
     return R.chosen_completions(said, had, [*T.THEME_SEEDS, *R.FALLBACKS])
 
 
+def completion_choice(spark, sf):
+    return _choices(spark, sf)
+
+
+def evaluation_report(spark, sf):
+    found = evaluation_of(_steps(spark, sf), _choices(spark, sf))
+    return found.select("games", F.round("solve_rate", 6).alias("solve_rate"), F.round("mean_steps", 6).alias("mean_steps"), *[F.col(c).cast("long").alias(c) for c in ("repeated", "invalid", "rejected_repeated", "rejected_invalid", "fallbacks")])
+
+
 def curriculum_pages(spark, sf):
     vocab = L.vocabulary(L.page_words(spark.read.parquet(f"{sf}/documents.parquet").where("text is not null"), "doc_id", "text"))
     return R.curriculum_pages(_pages(spark, sf), vocab, 2).select("page_id", "title")
@@ -209,7 +219,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_neighbors, full_text, stub_hints, guess_reward_checked, feedback_steps, completion_rewards, shaped_reward, strong_oracle_picks, soft_oracle_picks, soft_oracle_draws,
-        oracle_trajectories, rescue_words, step_prompts, thought_completions, transcript_rows, oracle_row_conversion, completion_choice, curriculum_pages,
+        oracle_trajectories, rescue_words, step_prompts, thought_completions, transcript_rows, oracle_row_conversion, completion_choice, evaluation_report, curriculum_pages,
         training_row_reasons, well_scored, popular_long_pages, shuffled_head, completion_vocabulary, agent_summary, mix_shares, sharded_evaluation, guessed_actions, expanded_actions, far_title_actions,
     )
 }

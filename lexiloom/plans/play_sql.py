@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lexiloom.functions import prompts
 from lexiloom.functions import text as T
+from lexiloom.operators.rows import FALLBACKS
 from lexiloom.plans import sql as S
 from lexiloom.plans.games import _GAME, _MODEL, _REWARD
 from lexiloom.plans.policies import _S
@@ -57,6 +58,13 @@ _ANSWER, _USER, _THINK = _sql(prompts.CHAT[2]), _sql(prompts.CHAT[0]), _sql(prom
 _PW = _NEIGHBOURS + ", acts AS (SELECT word, row_number() OVER (ORDER BY word) AS pos FROM vocab)"
 _STUB = r"'([A-ZÀ-Ü][a-zà-ü]+-)\(?_\((\d+)\)'"
 
+_OK = rf"length(X) >= 2 AND regexp_matches(X, '\p{{L}}') AND NOT regexp_matches(X, '\p{{N}}') AND X NOT IN ({S.NEVER})"
+_SPARE = [*T.THEME_SEEDS, *FALLBACKS]
+_CHOICE = rf"""c AS (SELECT conv_id AS game_id, turn AS pos, {_EXTRACT.replace('guess', 'text')} AS x FROM conversations WHERE text IS NOT NULL), g AS (SELECT game_id, pos, {S.norm('x')} AS guess FROM c),
+had AS (SELECT DISTINCT game_id, guess FROM g WHERE pos % 2 = 0), j AS (SELECT g.*, {_OK.replace('X', 'g.guess')} AS ok, had.guess IS NOT NULL AS h FROM g LEFT JOIN had ON had.game_id = g.game_id AND had.guess = g.guess),
+p AS (SELECT game_id, arg_min(guess, pos) FILTER (ok AND NOT h) AS picked, sum((NOT ok)::INT)::BIGINT AS rejected_invalid, sum((ok AND h)::INT)::BIGINT AS rejected_repeated FROM j GROUP BY game_id),
+fb AS (SELECT unnest([{S.quoted(_SPARE)}]) AS w, unnest(range({len(_SPARE)})) AS k), ok AS (SELECT * FROM fb WHERE {_OK.replace('X', 'w')}), fr AS (SELECT p.game_id, arg_min(w, k) AS w FROM p, ok WHERE NOT EXISTS (SELECT 1 FROM had WHERE had.game_id = p.game_id AND had.guess = ok.w) GROUP BY p.game_id),
+choice AS (SELECT p.game_id, coalesce(picked, w, '{_SPARE[-1]}') AS guess, picked IS NULL AS fallback, rejected_invalid, rejected_repeated FROM p LEFT JOIN fr ON fr.game_id = p.game_id)"""
 ORACLES = {
     "document_neighbors": f"WITH {_WORDS}, weights AS (SELECT l, r, n * a.idf * b.idf AS w FROM pairs JOIN vocab a ON l = a.word JOIN vocab b ON r = b.word), both_ AS (SELECT l AS word, r AS other, w FROM weights UNION ALL SELECT r, l, w FROM weights), model AS (SELECT word, other, row_number() OVER (PARTITION BY word ORDER BY round(w, 9) DESC, other) AS rank, w / max(w) OVER (PARTITION BY word) AS q FROM both_) SELECT word, other, rank::INT AS rank, round(q, 4) AS score FROM model WHERE rank <= 25",
     "full_text": rf"WITH {_GAME}, p AS (SELECT game_id, idx, in_title, CASE WHEN NOT is_word OR reveal_turn IS NOT NULL THEN text WHEN in_title THEN '?(' || length(text) || ')' ELSE '_(' || length(text) || ')' END AS x FROM rv WHERE text <> chr(10) || chr(10)), a AS (SELECT game_id, coalesce(string_agg(x, '' ORDER BY idx) FILTER (in_title), '') AS t, coalesce(string_agg(x, '' ORDER BY idx) FILTER (NOT in_title), '') AS b FROM p GROUP BY game_id) SELECT game_id, md5('TITRE: ' || trim(regexp_replace(t, '[ \t]+', ' ', 'g'), 'BLANKS') || chr(10) || chr(10) || trim(regexp_replace(b, '[ \t]+', ' ', 'g'), 'BLANKS')) AS text_md5 FROM a".replace("BLANKS", T._BLANKS),
@@ -68,6 +76,8 @@ ORACLES = {
     "batch_result_guesses": rf"WITH c AS (SELECT conv_id AS game_id, conv_id || '-' || turn AS custom_id, {_EXTRACT.replace('guess', 'text')} AS x FROM conversations WHERE text IS NOT NULL AND turn % 2 = 0), g AS (SELECT game_id, custom_id, {S.norm('x')} AS guess FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY game_id, guess ORDER BY custom_id) AS r FROM g WHERE length(guess) >= 2 AND regexp_matches(guess, '\p{{L}}') AND NOT regexp_matches(guess, '\p{{N}}') AND guess NOT IN ({S.NEVER})) SELECT custom_id, game_id, guess FROM k WHERE r = 1",
     "compact_text": rf"WITH {_GAME}, sw AS (SELECT game_id, idx, text, NOT is_word OR reveal_turn IS NOT NULL AS shown FROM rv), x AS (SELECT game_id, idx, CASE WHEN shown THEN text WHEN coalesce(lag(NOT shown) OVER (PARTITION BY game_id ORDER BY idx), false) THEN '' ELSE '__' END AS p FROM sw), t AS (SELECT game_id, regexp_replace(string_agg(p, '' ORDER BY idx), '[ \t]+', ' ', 'g') AS t FROM x GROUP BY game_id) SELECT game_id, trim(CASE WHEN length(t) <= 240 THEN t ELSE regexp_replace(left(t, 120), '(?s)^(.*) [^ ]*$', '\1') || chr(10) || '[...]' || chr(10) || regexp_replace(right(t, 120), '(?s)^[^ ]* (.*)$', '\1') END, 'BLANKS') AS text FROM t".replace("BLANKS", T._BLANKS),
     "shaped_reward": _REWARD[:_LAST].rstrip() + f",\nfin AS ({_REWARD[_LAST:]}), tn AS (SELECT DISTINCT tk.game_id, norm, fi.turn AS t FROM tk LEFT JOIN fi ON fi.game_id = tk.game_id AND fi.ng = tk.norm WHERE is_word AND in_title), nn AS (SELECT game_id, turn, r AS norm, sim FROM fin JOIN sm ON sm.l = fin.guess WHERE NOT invalid UNION ALL SELECT game_id, turn, guess, 1.0 FROM fin WHERE NOT invalid), bn AS (SELECT nn.game_id, nn.turn, max(sim) AS best FROM nn JOIN tn ON tn.game_id = nn.game_id AND tn.norm = nn.norm WHERE t IS NULL OR t >= nn.turn GROUP BY ALL) SELECT fin.game_id, fin.turn, round(reward + 50.0 * greatest(0, coalesce(best, 0)), 4)::DOUBLE AS shaped FROM fin LEFT JOIN bn ON bn.game_id = fin.game_id AND bn.turn = fin.turn",
+    "completion_choice": f"WITH {_CHOICE} SELECT * FROM choice",
+    "evaluation_report": f"WITH {_S}, m AS (SELECT *, row_number() OVER (PARTITION BY game_id, guess ORDER BY turn) > 1 AS rep FROM s), ge AS (SELECT max(turn) AS n, max(solved::INT) AS s, sum(rep::INT) AS r, sum(invalid::INT) AS i FROM m GROUP BY game_id), {_CHOICE} SELECT (SELECT count(*) FROM ge) AS games, (SELECT round(avg(s), 6) FROM ge) AS solve_rate, (SELECT round(avg(n), 6) FROM ge) AS mean_steps, (SELECT sum(r)::BIGINT FROM ge) AS repeated, (SELECT sum(i)::BIGINT FROM ge) AS invalid, sum(rejected_repeated)::BIGINT AS rejected_repeated, sum(rejected_invalid)::BIGINT AS rejected_invalid, sum(fallback::INT)::BIGINT AS fallbacks FROM choice",
     "rescue_words": rf"""WITH {PAGES_SQL}, {_MODEL}, ti AS (SELECT DISTINCT page_id AS game_id, unnest(regexp_extract_all(lower(title), '[a-zA-ZÀ-ÿ]+')) AS r FROM pages_),
 w0 AS (SELECT page_id AS game_id, regexp_extract_all(lower(intro), '[\p{{L}}\p{{N}}_]+') AS ws, regexp_extract_all(intro, '[^\s]+') AS g FROM pages_),
 w1 AS (SELECT game_id, word, min(pos) AS pos FROM (SELECT game_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w0) WHERE regexp_matches(word, '^[a-zA-ZÀ-ÿ]{{5,}}$') AND word NOT IN ({S.STOP}) GROUP BY ALL),
