@@ -109,11 +109,18 @@ def encode_ppm(pixels: np.ndarray) -> bytes:
 
 
 # --- features -----------------------------------------------------------------------------------
-def area_resize(gray: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    """Exact area means; borders inside a pixel take their share of it (the integral image is read between its grid points)."""
-    h, w = gray.shape
-    total = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(gray, 0, dtype=np.float64), 1, out=total[1:, 1:])
+#: Pixels that are summed at a time.
+SUMMED = 1 << 18
+
+
+def area_resize(image: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """Exact area means, of the channels' means where there are channels; borders inside a pixel take their share of it.
+
+    The integral image is read between its grid points; only the lines of it that
+    are read are kept, and pixels are summed by bands of rows, so memory holds a band
+    however large the image is.
+    """
+    h, w = image.shape[:2]
 
     def between(edges: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low = np.minimum(edges.astype(np.int64), size)
@@ -121,15 +128,25 @@ def area_resize(gray: np.ndarray, rows: int, columns: int) -> np.ndarray:
 
     y0, y1, fy = between(np.arange(rows + 1) * h / rows, h)
     x0, x1, fx = between(np.arange(columns + 1) * w / columns, w)
-    at_y = total[y0] * (1 - fy)[:, None] + total[y1] * fy[:, None]
+    read = np.unique(np.concatenate([y0, y1]))
+    lines = np.zeros((len(read), w + 1))
+    running, band = np.zeros(w), max(1, SUMMED // w)
+    for at in range(0, h, band):
+        part = image[at : at + band].astype(np.float64)
+        part = part.mean(axis=2) if part.ndim == 3 else part
+        upto = np.cumsum(part, 0, out=part)
+        here = np.flatnonzero((read > at) & (read <= at + len(part)))
+        lines[here, 1:] = np.cumsum(running + upto[read[here] - at - 1], axis=1)
+        running = running + upto[-1]
+    total = dict(zip(read.tolist(), lines, strict=True))
+    at_y = np.stack([total[a] * (1 - f) + total[b] * f for a, b, f in zip(y0.tolist(), y1.tolist(), fy, strict=True)])
     at = at_y[:, x0] * (1 - fx) + at_y[:, x1] * fx
     return np.diff(np.diff(at, axis=0), axis=1) / (h / rows * w / columns)
 
 
 def difference_hash(pixels: np.ndarray) -> str:
     """64 bits, row by row: is a cell of the 8 x 9 reduction darker than its right neighbour? As 16 hex digits."""
-    gray = pixels.astype(np.float64).mean(axis=2)
-    small = np.round(area_resize(gray, 8, 9), 6)
+    small = np.round(area_resize(pixels, 8, 9), 6)
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 

@@ -22,15 +22,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_bytes, record_batch, scratch_path, shuffle_partitions, table
+from .common import doc_bytes, record_batch, scratch_path, shuffle_partitions, staged, table
 from .tokens import load, tokenizer_path
 
 LENGTH = 1024
-#: Text in a shard.
-SHARD_BYTES = 64_000_000
+#: Text in a shard, and documents.
+SHARD_BYTES, SHARD_ROWS = 64_000_000, 1_000_000
+#: Documents whose index entries are held before they are written.
+INDEX_ROWS = 50_000
 #: Sequences in a record batch.
 GROUP = 256
 INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
@@ -47,7 +49,7 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class ShardWriter:
-    """Appends documents to a shard; memory holds one record batch of sequences and the shard's index."""
+    """Appends documents to a shard; memory holds one record batch of sequences and INDEX_ROWS entries of the index."""
 
     def __init__(self, uri: str, bits: int, length: int):
         self.fs, self.path = filesystem(uri)
@@ -56,13 +58,19 @@ class ShardWriter:
         self.kind = np.uint16 if bits == 16 else np.uint32
         self.out = self.fs.open_output_stream(self.path)
         self.writer = pa.ipc.new_stream(self.out, self.schema)
+        self.docs_out = self.fs.open_output_stream(self.path + ".docs")
+        self.docs = pa.ipc.new_stream(self.docs_out, INDEX)
         self.held: list[np.ndarray] = []
-        self.n_held = self.n_ids = 0
+        self.n_held = self.n_ids = self.n_docs = 0
         self.index: list[tuple[int, int, int]] = []
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
         self.index.append((doc_id, self.n_ids, len(ids)))
         self.n_ids += len(ids)
+        self.n_docs += 1
+        if len(self.index) >= INDEX_ROWS:
+            self.docs.write_batch(record_batch(INDEX, self.index))
+            self.index = []
         self.held.append(ids.astype(self.kind))
         self.n_held += len(ids)
         if self.n_held >= GROUP * self.length:
@@ -86,9 +94,10 @@ class ShardWriter:
         self._flush(self.n_held, -self.n_held % self.length)
         self.writer.close()
         self.out.close()
-        with self.fs.open_output_stream(self.path + ".docs") as out, pa.ipc.new_stream(out, INDEX) as writer:
-            for at in range(0, len(self.index), 100_000):
-                writer.write_batch(record_batch(INDEX, self.index[at : at + 100_000]))
+        if self.index:
+            self.docs.write_batch(record_batch(INDEX, self.index))
+        self.docs.close()
+        self.docs_out.close()
 
 
 class ShardReader:
@@ -123,13 +132,14 @@ class ShardReader:
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, mode: str, end_id: int, bits: int = 16, length: int = LENGTH) -> DataFrame:
     """Writes the shards (eagerly) and returns one row per shard: shard (URI), number, n_docs, n_ids.
 
-    Shard number is the place of its doc_id range.  A task writes under a name of
+    Shard number is the place of its range of (doc_id, hash of the text), so that
+    rows that share a doc_id, or have none, are more than one shard's.  A task writes under a name of
     its own attempt and the row that it returns says which file counts, so a task
     that is run again, or twice at once, does no harm.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
-    parts = max(shuffle_partitions(spark), 8, size // SHARD_BYTES)  # a shard and its index stay small however large the corpus
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long")).alias("bytes"), F.count("*").alias("rows")).first()
+    parts = max(shuffle_partitions(spark), 8, (size["bytes"] or 0) // SHARD_BYTES, size["rows"] // SHARD_ROWS)  # a shard and its index stay small however large the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, writer = TaskContext.get(), None
@@ -143,11 +153,11 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, mode: str,
                 writer.add(k, np.concatenate([ids, end]))
         if writer is not None:
             writer.close()
-            yield record_batch(SHARD, [(uri, task.partitionId(), len(writer.index), writer.n_ids)])
+            yield record_batch(SHARD, [(uri, task.partitionId(), writer.n_docs, writer.n_ids)])
 
-    ordered = doc_bytes(docs).repartitionByRange(parts, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
-    made = ordered.mapInArrow(run, "shard string, number int, n_docs long, n_ids long")
-    return spark.createDataFrame(made.collect(), made.schema)  # a row per shard, never per document
+    order = [F.col("k").asc_nulls_first(), F.col("h")]
+    ordered = doc_bytes(docs).withColumn("h", F.xxhash64("t")).repartitionByRange(parts, *order).sortWithinPartitions(*order, "t").drop("h")
+    return staged(ordered.mapInArrow(run, "shard string, number int, n_docs long, n_ids long"), "shards")
 
 
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -155,12 +165,8 @@ READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 
 def read_token_files(shards: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    spark = shards.sparkSession
-    found = sorted(shards.collect(), key=lambda r: r.number)
-    base, rows = 0, []
-    for r in found:
-        rows.append((r.shard, base))
-        base += r.n_ids
+    before = F.sum("n_ids").over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1))  # a row per shard
+    based = shards.select("shard", F.coalesce(before, F.lit(0)).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,8 +180,7 @@ def read_token_files(shards: DataFrame) -> DataFrame:
                             out = []
                 yield record_batch(READ, out)
 
-    listed = spark.createDataFrame(rows, "shard string, start long").repartition(max(1, len(rows)))
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.repartition(max(1, shards.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
