@@ -79,10 +79,12 @@ def batch_requests(states: DataFrame, model: str, system: str, max_tokens: int =
     return states.select("custom_id", F.to_json(whole).alias("request"))
 
 
-def batch_results(states: DataFrame, results: DataFrame) -> DataFrame:
-    """custom_id, game_id, guess: the answers' guesses, valid ones, the first of equal guesses of a game. results: value (JSON lines)."""
+def batch_results(states: DataFrame, results: DataFrame, real_words: DataFrame | None = None) -> DataFrame:
+    """custom_id, game_id, guess: the answers' guesses, valid ones (and such that real_words(word) has, if it is given), the first of equal guesses of a game. results: value (JSON lines)."""
     text = F.get_json_object("value", "$.response.body.choices[0].message.content")
     got = results.select(F.get_json_object("value", "$.custom_id").alias("custom_id"), T.extract_guess(text).alias("guess")).where(T.is_valid_guess(F.col("guess")))
+    if real_words is not None:
+        got = got.join(real_words.select(F.col("word").alias("guess")).distinct(), "guess", "left_semi")
     found = states.join(got, "custom_id")
     order = Window.partitionBy("game_id", "guess").orderBy("custom_id")
     return found.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("custom_id", "game_id", "guess")

@@ -15,7 +15,7 @@ from lexiloom.operators.policy import evaluation_report as evaluation_of
 from lexiloom.operators.stage import staged
 from lexiloom.plans.games import _alike, _guesses, _idf, _pages, _similarity
 from lexiloom.plans.play_sql import END, GAME, ORACLES, STEPS  # noqa: F401
-from lexiloom.plans.policies import _steps
+from lexiloom.plans.policies import _batch_results, _steps
 from lexiloom.plans.texts import _model
 
 
@@ -128,6 +128,20 @@ def oracle_row_conversion(spark, sf):
     return R.oracle_training_rows(rows, 100, GAME, END).select(F.md5("prompt").alias("prompt_md5"), "completion", "page_title")
 
 
+def _real_words(spark, sf):
+    """The documents' vocabulary, the parts' names and the theme words."""
+    names = spark.read.parquet(f"{sf}/part.parquet").select(F.explode(F.regexp_extract_all("p_name", F.lit(T.NONBLANK), F.lit(0))).alias("word"))
+    return R.real_words(_idf(spark, sf).select("word"), names)
+
+
+def real_word_union(spark, sf):
+    return _real_words(spark, sf)
+
+
+def batch_result_real_guesses(spark, sf):
+    return _batch_results(spark, sf, _real_words(spark, sf))
+
+
 def _choices(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet").where("text is not null")
     said = c.select(F.col("conv_id").alias("game_id"), F.col("turn").alias("pos"), F.concat(F.lit("MOT: "), "text").alias("completion"))
@@ -219,7 +233,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_neighbors, full_text, stub_hints, guess_reward_checked, feedback_steps, completion_rewards, shaped_reward, strong_oracle_picks, soft_oracle_picks, soft_oracle_draws,
-        oracle_trajectories, rescue_words, step_prompts, thought_completions, transcript_rows, oracle_row_conversion, completion_choice, evaluation_report, curriculum_pages,
+        oracle_trajectories, rescue_words, step_prompts, thought_completions, transcript_rows, oracle_row_conversion, completion_choice, evaluation_report, real_word_union, batch_result_real_guesses, curriculum_pages,
         training_row_reasons, well_scored, popular_long_pages, shuffled_head, completion_vocabulary, agent_summary, mix_shares, sharded_evaluation, guessed_actions, expanded_actions, far_title_actions,
     )
 }

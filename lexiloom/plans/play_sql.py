@@ -59,6 +59,7 @@ _PW = _NEIGHBOURS + ", acts AS (SELECT word, row_number() OVER (ORDER BY word) A
 _STUB = r"'([A-ZÀ-Ü][a-zà-ü]+-)\(?_\((\d+)\)'"
 
 _OK = rf"length(X) >= 2 AND regexp_matches(X, '\p{{L}}') AND NOT regexp_matches(X, '\p{{N}}') AND X NOT IN ({S.NEVER})"
+_REAL = rf"rw AS (SELECT DISTINCT word FROM (SELECT {S.norm('x')} AS word FROM (SELECT word AS x FROM vc UNION ALL SELECT unnest(regexp_extract_all(p_name, '[^\s]+')) FROM part UNION ALL SELECT unnest([{S.SEEDS}]))) WHERE word <> '')"
 _SPARE = [*T.THEME_SEEDS, *FALLBACKS]
 _CHOICE = rf"""c AS (SELECT conv_id AS game_id, turn AS pos, {_EXTRACT.replace('guess', 'text')} AS x FROM conversations WHERE text IS NOT NULL), g AS (SELECT game_id, pos, {S.norm('x')} AS guess FROM c),
 had AS (SELECT DISTINCT game_id, guess FROM g WHERE pos % 2 = 0), j AS (SELECT g.*, {_OK.replace('X', 'g.guess')} AS ok, had.guess IS NOT NULL AS h FROM g LEFT JOIN had ON had.game_id = g.game_id AND had.guess = g.guess),
@@ -78,6 +79,8 @@ ORACLES = {
     "shaped_reward": _REWARD[:_LAST].rstrip() + f",\nfin AS ({_REWARD[_LAST:]}), tn AS (SELECT DISTINCT tk.game_id, norm, fi.turn AS t FROM tk LEFT JOIN fi ON fi.game_id = tk.game_id AND fi.ng = tk.norm WHERE is_word AND in_title), nn AS (SELECT game_id, turn, r AS norm, sim FROM fin JOIN sm ON sm.l = fin.guess WHERE NOT invalid UNION ALL SELECT game_id, turn, guess, 1.0 FROM fin WHERE NOT invalid), bn AS (SELECT nn.game_id, nn.turn, max(sim) AS best FROM nn JOIN tn ON tn.game_id = nn.game_id AND tn.norm = nn.norm WHERE t IS NULL OR t >= nn.turn GROUP BY ALL) SELECT fin.game_id, fin.turn, round(reward + 50.0 * greatest(0, coalesce(best, 0)), 4)::DOUBLE AS shaped FROM fin LEFT JOIN bn ON bn.game_id = fin.game_id AND bn.turn = fin.turn",
     "completion_choice": f"WITH {_CHOICE} SELECT * FROM choice",
     "evaluation_report": f"WITH {_S}, m AS (SELECT *, row_number() OVER (PARTITION BY game_id, guess ORDER BY turn) > 1 AS rep FROM s), ge AS (SELECT max(turn) AS n, max(solved::INT) AS s, sum(rep::INT) AS r, sum(invalid::INT) AS i FROM m GROUP BY game_id), {_CHOICE} SELECT (SELECT count(*) FROM ge) AS games, (SELECT round(avg(s), 6) FROM ge) AS solve_rate, (SELECT round(avg(n), 6) FROM ge) AS mean_steps, (SELECT sum(r)::BIGINT FROM ge) AS repeated, (SELECT sum(i)::BIGINT FROM ge) AS invalid, sum(rejected_repeated)::BIGINT AS rejected_repeated, sum(rejected_invalid)::BIGINT AS rejected_invalid, sum(fallback::INT)::BIGINT AS fallbacks FROM choice",
+    "real_word_union": f"WITH {_MODEL}, {_REAL} SELECT word FROM rw",
+    "batch_result_real_guesses": rf"WITH {_MODEL}, {_REAL}, c AS (SELECT conv_id AS game_id, conv_id || '-' || turn AS custom_id, {_EXTRACT.replace('guess', 'text')} AS x FROM conversations WHERE text IS NOT NULL AND turn % 2 = 0), g AS (SELECT game_id, custom_id, {S.norm('x')} AS guess FROM c) SELECT custom_id, game_id, guess FROM g WHERE {_OK.replace('X', 'guess')} AND guess IN (SELECT word FROM rw) QUALIFY row_number() OVER (PARTITION BY game_id, guess ORDER BY custom_id) = 1",
     "rescue_words": rf"""WITH {PAGES_SQL}, {_MODEL}, ti AS (SELECT DISTINCT page_id AS game_id, unnest(regexp_extract_all(lower(title), '[a-zA-ZÀ-ÿ]+')) AS r FROM pages_),
 w0 AS (SELECT page_id AS game_id, regexp_extract_all(lower(intro), '[\p{{L}}\p{{N}}_]+') AS ws, regexp_extract_all(intro, '[^\s]+') AS g FROM pages_),
 w1 AS (SELECT game_id, word, min(pos) AS pos FROM (SELECT game_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w0) WHERE regexp_matches(word, '^[a-zA-ZÀ-ÿ]{{5,}}$') AND word NOT IN ({S.STOP}) GROUP BY ALL),

@@ -92,13 +92,27 @@ def end_marked_completions(spark, sf):
     return D.with_end_mark(once, "<eos>").select("conv_id", "turn", F.md5("completion").alias("completion_md5"))
 
 
-def batch_result_guesses(spark, sf):
+def _batch_results(spark, sf, real=None):
     c = spark.read.parquet(f"{sf}/conversations.parquet").where("text is not null")
     states = c.where("turn % 2 = 0").select(F.concat_ws("-", "conv_id", "turn").alias("custom_id"), F.col("conv_id").alias("game_id"))
     message = F.struct(F.concat(F.lit("MOT: "), "text").alias("content"))
     response = F.struct(F.struct(F.array(F.struct(message.alias("message"))).alias("choices")).alias("body"))
     results = c.select(F.to_json(F.struct(F.concat_ws("-", "conv_id", "turn").alias("custom_id"), response.alias("response"))).alias("value"))
-    return D.batch_results(states, results)
+    return D.batch_results(states, results, real)
+
+
+def batch_result_guesses(spark, sf):
+    return _batch_results(spark, sf)
+
+
+def best_actions(spark, sf):
+    """A game's next action by its mean reward, then by a prior, among those that its first two guesses weren't."""
+    steps = _steps(spark, sf)
+    q = steps.groupBy("game_id", F.col("guess").alias("action")).agg((F.floor(F.avg("reward") / 50)).alias("value"))
+    words = steps.select(F.col("guess").alias("word")).distinct()
+    vocabulary = C.global_rank(words, [F.asc("word")], "pos").select("pos", "word")
+    priors = words.where("length(word) > 4").select("word", (F.length("word") % 3).cast("double").alias("prior"))
+    return P.best_action(q, priors, vocabulary, steps.where("turn <= 2"))
 
 
 def softmax_choice(spark, sf):
@@ -152,7 +166,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         group_advantage, reward_ema, state_keys, prefix_histories, spiral_steps, training_log, evaluation_rollup, opening_words, trend_hints, step_rewards, warm_stop_states, curriculum_rows,
-        title_oversampling, end_marked_completions, batch_result_guesses, softmax_choice, softmax_draws, weighted_draws, weighted_curriculum_sample, page_sample, probe_words, closed_set_solver,
+        title_oversampling, end_marked_completions, batch_result_guesses, best_actions, softmax_choice, softmax_draws, weighted_draws, weighted_curriculum_sample, page_sample, probe_words, closed_set_solver,
     )
 }
 
@@ -178,6 +192,7 @@ ORACLES = {
     "warm_stop_states": f"WITH {_S} SELECT game_id, turn FROM s WHERE turn - 1 IN (0, 3, 6, 10, 15, 20)",
     "title_oversampling": f"WITH {_S} SELECT title, sum(CASE WHEN title = 2 THEN 3 ELSE 1 END)::BIGINT AS n FROM s GROUP BY title",
     "end_marked_completions": "SELECT conv_id, turn, md5(CASE WHEN ends_with(text, '<eos>') THEN text ELSE text || '<eos>' END) AS completion_md5 FROM conversations WHERE text IS NOT NULL",
+    "best_actions": f"WITH {_S}, q AS (SELECT game_id, guess AS action, floor(avg(reward) / 50) AS value FROM s GROUP BY ALL), v AS (SELECT guess AS action, row_number() OVER (ORDER BY guess) AS pos, CASE WHEN length(guess) > 4 THEN length(guess) % 3 ELSE 0 END AS prior FROM (SELECT DISTINCT guess FROM s)) SELECT game_id, action FROM q JOIN v USING (action) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.game_id = q.game_id AND s.guess = q.action AND turn <= 2) QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY value DESC, prior DESC, pos) = 1",
     "softmax_draws": f"WITH {_S}, r AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY reward DESC, turn) AS k FROM s), n AS (SELECT *, max(reward) OVER w AS hi, min(reward) OVER w AS lo FROM r WHERE k <= 5 WINDOW w AS (PARTITION BY game_id)) SELECT game_id, turn, guess FROM n QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY CASE WHEN hi > lo THEN (reward - lo) / (hi - lo) ELSE 0 END / 0.7 - ln(-ln(((turn * 7919 + game_id * 104729) % 100003 + 0.5) / 100003)) DESC, turn) = 1",
     "weighted_draws": "WITH l AS (SELECT p_partkey, sum(p_size) OVER (ORDER BY p_partkey) - p_size AS f, sum(p_size) OVER () AS w FROM part WHERE p_size > 0), d AS (SELECT event_id AS draw, (event_id * 7919 % 100003) / 100003 * (SELECT max(w) FROM l) AS spot FROM events WHERE event_id IS NOT NULL) SELECT draw, p_partkey FROM d ASOF JOIN l ON d.spot >= l.f",
     "softmax_choice": f"WITH {_S}, r AS (SELECT game_id, turn, guess, row_number() OVER (PARTITION BY game_id ORDER BY reward DESC, turn) AS k FROM s) SELECT game_id, turn, guess FROM r WHERE k = 1",
