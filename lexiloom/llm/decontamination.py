@@ -13,8 +13,8 @@ A benchmark up to BLOCK_BYTES is broadcast; a larger one is cut into blocks of
 that size in the shared folder, and each shard is searched block after block.
 
 Null texts have no words and are never hit; a null item_id is listed as the empty
-string; equal item_ids count once; an empty table on either side gives no hits;
-other columns are not read.
+string; equal item_ids count once; very long texts are searched whole, a few at a time; an
+empty table on either side gives no hits; other columns are not read.
 """
 
 from __future__ import annotations

@@ -31,7 +31,8 @@ then per host, so that a host with a third of all pages is no single task's work
 are kept as a table and joined to the pages by host.
 
 Null html has no text; pages without a host are their own group; repeated rows
-repeat; an empty table gives an empty result; other columns are not read.
+repeat (and count once for the template); very long and very deep pages are parsed
+whole, one at a time; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

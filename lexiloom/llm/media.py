@@ -6,7 +6,9 @@ The hash comes from an area resize: every target pixel is the exact mean of the
 source area that it covers, read off an integral image in four look-ups.
 
 Null or undecodable media give no tiles and the row `error`; repeated rows give
-repeated tiles; other columns are not looked at.  A text travels as a P6 image
+repeated tiles; other columns are not looked at.  In the query a null text counts as
+empty, and an empty one is 192 blanks; a very long one is one tall image, summed by
+bands of rows; rows without doc_id stay.  A text travels as a P6 image
 of 64 x n pixels (its UTF-8 bytes padded with blanks to 192 n), without loss.
 """
 

@@ -11,8 +11,9 @@ the last pieces go by best fit, longest first, on counts.
 The plan is a bounded table (ranks of each length -> sequence and offset) that
 tasks apply to pieces ranked by a window over (length, bucket).
 
-Null texts count as empty (a single end id); repeated rows are separate pieces;
-an empty table packs to no rows; other columns are not read.
+Null texts count as empty (a single end id); very long texts become many pieces,
+the first the shorter one; ties of length go by bucket and key; repeated rows are
+separate pieces; an empty table packs to no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ distinct seeds or more add the identifiers of a fitting shape that they surround
 The graph stays in tables of the shared folder; nothing of it reaches the driver.
 
 Null texts count as empty; repeated rows get equal spans; rows without doc_id are
-searched like others; an empty table gives an empty result; other columns are not
+searched like others; very long texts are searched whole, very long identifiers and
+words known by their hash; an empty table gives an empty result; other columns are not
 read.  Spans are code points, end exclusive.
 """
 

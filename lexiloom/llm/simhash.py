@@ -14,7 +14,8 @@ is a task's bucket of its own, so that no task holds a hot key.
 
 Null texts count as empty (fingerprint zero, linked like any other); null doc_ids
 never name a component unless it has no other id; repeated rows share a component;
-an empty table gives an empty result; other columns are not read.
+very long texts are hashed whole; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ byte and the next one's rank, and both are merged.  Neighbours of the array
 whose first 100 bytes agree are equal windows.
 
 Null texts count as empty; null doc_ids come last; rows that repeat a doc_id
-count as documents in the order of their texts' SHA-256 (equal rows as one); an
-empty table gives an empty result; other columns are not read.
+count as documents in the order of their texts' SHA-256 (equal rows as one); very
+long texts are taken whole, their windows dealt like others'; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ minimiser's bucket, where sorting the windows counts them exactly.  See
 
 A word goes if a window over it also starts in a document with a smaller doc_id.
 Null texts have no words; null doc_ids come last; rows that repeat a doc_id count
-as documents in the order of their texts' SHA-256 (equal rows as one); an empty
-table gives an empty result; other columns are not read.
+as documents in the order of their texts' SHA-256 (equal rows as one); very long
+texts are taken whole; an empty table gives an empty result; other columns are not
+read.
 """
 
 from __future__ import annotations
