@@ -3,6 +3,12 @@
 Every stage takes the table that the one before it wrote and returns all of its
 columns, but for the last, which returns packed token pieces.  A stage only works
 on what its predecessor kept.
+
+In every stage null texts count as empty and stay null, very long texts are taken
+whole, and an empty table gives an empty one.  Rows that repeat stay as often as they
+come but in near-dedup, where a group keeps its row of least doc_id (ties: one of the
+equal rows); rows without doc_id are kept, or go, by their text alone.  Private columns
+have names that no column of the documents has.
 """
 
 from __future__ import annotations
