@@ -2,15 +2,14 @@
 
 Chains are followed by pointer doubling: in every round each page takes over the
 pointer of the page that it points to, so a chain of n redirects takes log2(n)
-joins whatever its length.  Pages whose pointer has reached an end leave the rounds,
-so an end that many pages share is no hot key; what still points on after log2 of
-all redirects runs into a circle.
+joins whatever its length.  Pages whose pointer has reached an end leave the rounds and are written once,
+so an end that many pages share is no hot key.  A round in which no page arrives
+is the last: chains of every length up to the longest have pages that arrive in each
+round before, so what still points on runs into a circle.
 """
 
 from __future__ import annotations
 
-from math import ceil, log2
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +23,19 @@ def resolved(links: DataFrame) -> DataFrame:
     Of several targets of a source the smallest counts; rows without source or target are left out.
     """
     edges = links.where("source is not null and target is not null").groupBy("source").agg(F.min("target").alias("target"))
-    hops = staged(edges.select("source", "target", F.lit(1).cast("long").alias("steps"), F.lit(False).alias("arrived")), "redirects")
-    n = hops.count()
-    for _ in range(ceil(log2(n)) + 1 if n else 0):
-        pointers = hops.select(F.col("source").alias("target"), F.col("target").alias("_next"), F.col("steps").alias("_more"), F.col("arrived").alias("_arrived"))
-        jumped = hops.where("not arrived").join(pointers, "target", "left").select(
+    active = staged(edges.select("source", "target", F.lit(1).cast("long").alias("steps")), "redirects")
+    arrived, left = active.where(F.lit(False)), active.count()
+    while left:
+        pointers = [df.select(F.col("source").alias("target"), F.col("target").alias("_next"), F.col("steps").alias("_more"), F.lit(there).alias("_arrived")) for df, there in ((active, False), (arrived, True))]
+        jumped = active.join(pointers[0].union(pointers[1]), "target", "left").select(
             "source", F.coalesce("_next", "target").alias("target"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"), (F.col("_next").isNull() | F.col("_arrived")).alias("arrived"))
-        hops = staged(hops.where("arrived").union(jumped), "redirects")
-        if hops.where("not arrived").isEmpty():
+        jumped = staged(jumped, "redirects")
+        arrived, active, before = arrived.union(jumped.where("arrived").drop("arrived")), jumped.where("not arrived").drop("arrived"), left
+        left = active.count()
+        if left == before:
             break
-    return hops.select("source", F.when(F.col("arrived"), F.col("target")).alias("target"), F.when(F.col("arrived"), F.col("steps")).alias("steps"))
+    none = active.select("source", F.lit(None).cast(edges.schema["target"].dataType).alias("target"), F.lit(None).cast("long").alias("steps"))
+    return arrived.union(none)
 
 
 def cleaned(extract: Column) -> Column:
