@@ -80,3 +80,18 @@ def test_pairs_are_counted_in_tasks(spark, monkeypatch):
         for words in (lists, long):
             assert {tuple(r) for r in lexical.pair_counts(words, vocab, 3).collect()} == want
     assert lexical.pair_counts(lists, vocab.limit(0)).count() == 0
+
+
+def test_pages_of_many_words_give_all_their_pairs(spark, monkeypatch):
+    pages = [(p, [f"w{i:03}" for i in range(p, 300, step)]) for p, step in ((0, 1), (1, 1), (2, 7), (3, 2))]
+    lists = spark.createDataFrame(pages, "page_id long, words array<string>").repartition(2)
+    vocab = spark.createDataFrame([(f"w{i:03}",) for i in range(300)], "word string")
+    want = {}
+    for _, words in pages:
+        for at, l in enumerate(words):
+            for r in words[at + 1 :]:
+                want[l, r] = want.get((l, r), 0) + 1
+    for dense, some, held in ((2048, 2, 4_000_000), (0, 2, 1000)):
+        for name, n in (("DENSE_WORDS", dense), ("DENSE_PAGES", some), ("HELD_PAIRS", held)):
+            monkeypatch.setattr(lexical, name, n)
+        assert {(r.l, r.r): r.n for r in lexical.pair_counts(lists, vocab).collect()} == want
